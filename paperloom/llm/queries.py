@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.llm.linededup import MIN_CHARS, dedup_lines
 from paperloom.llm.simhash import near_duplicate_groups
 
 
@@ -18,8 +19,30 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier document, or line, has."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": f"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM (SELECT DISTINCT doc_id, text FROM documents)
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY trim(line, ' ') ORDER BY doc_id, pos) AS nth FROM lines
+        ), judged AS (
+            SELECT doc_id, line, pos, nth = 1 OR length(trim(line, ' ')) < {MIN_CHARS} AS stays FROM ranked
+        ), kept AS (
+            SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '') AS text, bool_and(stays) AS whole
+            FROM judged GROUP BY doc_id
+        )
+        SELECT doc_id, text FROM kept WHERE whole OR regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]')
+        UNION ALL SELECT doc_id, text FROM documents WHERE text IS NULL""",
+}
