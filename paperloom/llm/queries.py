@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.llm import puquality, rules
 from paperloom.llm.linededup import MIN_CHARS, dedup_lines
 from paperloom.llm.simhash import near_duplicate_groups
 
@@ -14,6 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the learnt decision list keeps."""
+    judged = rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.where("rule = 0").select("doc_id")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their scores."""
+    return puquality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that has a near duplicate, with its group."""
     return near_duplicate_groups(_table(spark, sf_dir, "documents"))
@@ -26,6 +38,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
 }
