@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import puquality, rules
+from paperloom.llm import mixing, packing, puquality, rules
 from paperloom.llm.linededup import MIN_CHARS, dedup_lines
 from paperloom.llm.simhash import near_duplicate_groups
 
@@ -21,6 +22,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where("rule = 0").select("doc_id")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all sources; labelled documents weigh 1 or a quarter, others a half."""
+    quality = F.col("quality")
+    weights = _table(spark, sf_dir, "labels").select("doc_id", F.when(quality == 1, 1.0).when(quality == 0, 0.25).otherwise(0.5).alias("weight"))
+    return mixing.sample_plan(_table(spark, sf_dir, "documents"), weights)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their scores."""
     return puquality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -37,14 +45,40 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs)
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences of at most packing.CAPACITY tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_source_mixing": op3_source_mixing,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": f"""
+        WITH weights AS (
+            SELECT doc_id, min(CASE quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.25 ELSE 0.5 END)::DOUBLE AS weight FROM labels GROUP BY doc_id
+        ), items AS (
+            SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^ \\t\\n\\r\\x0B\\f]+'))::BIGINT AS tokens,
+                   -ln((('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+                       / coalesce(w.weight, 0.5) AS key
+            FROM documents d LEFT JOIN weights w ON d.doc_id = w.doc_id
+        ), totals AS (
+            SELECT source, sum(tokens)::BIGINT AS total FROM items GROUP BY source HAVING sum(tokens) > 0
+        ), own AS (
+            SELECT source, total, floor((SELECT sum(total) FROM totals)::DOUBLE * sqrt(total::DOUBLE) / (SELECT sum(sqrt(total::DOUBLE)) FROM totals))::BIGINT AS own FROM totals
+        ), plan AS (
+            SELECT source, least(own // total, {mixing.MAX_EPOCHS}) AS epochs, CASE WHEN own // total < {mixing.MAX_EPOCHS} THEN own % total ELSE 0 END AS rest FROM own
+        ), ran AS (
+            SELECT i.*, p.epochs, p.rest, sum(tokens) OVER (PARTITION BY i.source ORDER BY key, doc_id) AS run
+            FROM items i JOIN plan p ON i.source IS NOT DISTINCT FROM p.source
+        )
+        SELECT doc_id, source, tokens, unnest(range(1, epochs + 1 + CASE WHEN run <= rest THEN 1 ELSE 0 END)) AS epoch FROM ran""",
     "op9_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
