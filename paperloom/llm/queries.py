@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixing, packing, puquality, rules
+from paperloom.llm import mixing, packing, puquality, rules, topk, urlrules
 from paperloom.llm.linededup import MIN_CHARS, dedup_lines
 from paperloom.llm.simhash import near_duplicate_groups
 
@@ -29,11 +29,40 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample_plan(_table(spark, sf_dir, "documents"), weights)
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topk.K largest inner products of every embedding."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their scores."""
     return puquality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+#: (rule_id, pattern, action)
+URL_RULES = [
+    (1, "spam-farm.example.org/", "block"),
+    (2, "casino-win.example.com/", "block"),
+    (3, "m.casino-win.example.com/en/", "allow"),
+    (4, "m.casino-win.example.com/en/1", "block"),
+    (5, "blog.tionsh.example.net/es/", "block"),
+    (6, "tionsh.example.net/es/533/", "allow"),
+    (7, "ththth.example.net/en/25", "block"),
+    (8, "ththon.example.org/de/", "block"),
+    (9, "www.ththon.example.org/de/", "allow"),
+    (10, "example.org/fr/", "block"),
+    (11, "tionble.example.org/", "allow"),
+    (12, "HTTP://WWW.Ththre.Example.net:80/./fr//", "block"),
+    (13, "no-such-host.example.com/", "block"),
+]
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the URL of every page."""
+    rule_table = spark.createDataFrame(URL_RULES, "rule_id bigint, pattern string, action string")
+    return urlrules.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rule_table)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that has a near duplicate, with its group."""
     return near_duplicate_groups(_table(spark, sf_dir, "documents"))
@@ -53,13 +82,63 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_source_mixing": op3_source_mixing,
+    "op4_exact_topk": op4_exact_topk,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_url_filters": op7_url_filters,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+_RULE_VALUES = ", ".join(f"({i}, '{p}', '{a}')" for i, p, a in URL_RULES)
+
+
+def _sql_host(url: str) -> str:
+    rest = f"regexp_replace(regexp_replace(trim({url}), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\\\\-]*://', '')"
+    return f"lower(regexp_replace(regexp_replace(regexp_extract({rest}, '^([^/?]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
+
+
+def _sql_tail(url: str, pattern: str) -> str:
+    rest = f"regexp_replace(regexp_replace(trim({url}), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\\\\-]*://', '')"
+    return f"regexp_extract(regexp_extract({rest}, '^[^/?]*(.*)$', 1), '{pattern}', 1)"
+
+
+def _sql_path(url: str) -> str:
+    """The path; these tables have no ``..`` steps."""
+    path = f"regexp_replace(regexp_replace({_sql_tail(url, '^([^?]*)')}, '(/\\\\.)+/', '/', 'g'), '/+', '/', 'g')"
+    return f"CASE WHEN {path} = '' THEN '/' ELSE {path} END"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_exact_topk": f"""
+        WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        pairs AS (
+            SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_inner_product(a.e, b.e), {topk.DIGITS}) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id
+        )
+        SELECT * FROM (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS rank, neighbor_id, score FROM pairs)
+        WHERE rank <= {topk.K}""",
+    "op7_url_filters": f"""
+        WITH rules AS (
+            SELECT rule_id, action, {_sql_host('pattern')} || {_sql_path('pattern')} || {_sql_tail('pattern', '([?].*)$')} AS expression
+            FROM (VALUES {_RULE_VALUES}) t(rule_id, pattern, action)
+        ), urls AS (
+            SELECT DISTINCT url, {_sql_host('url')} AS host, {_sql_path('url')} AS path, {_sql_tail('url', '([?].*)$')} AS query FROM pages
+        ), suffixes AS (
+            SELECT url, path, query, host AS suffix FROM urls
+            UNION SELECT url, path, query, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')
+            FROM (SELECT *, unnest(range(greatest(2, len(string_split(host, '.')) - {urlrules.MAX_SUFFIXES - 1}), len(string_split(host, '.')))) AS i FROM urls)
+        ), paths AS (
+            SELECT url, suffix, path || query AS p FROM suffixes UNION SELECT url, suffix, path FROM suffixes UNION SELECT url, suffix, '/' FROM suffixes
+            UNION SELECT url, suffix, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') || '/'
+            FROM (SELECT *, unnest(range(1, least(len(string_split(path, '/')) - 1, {urlrules.MAX_DIRECTORIES - 1}) + 1)) AS i FROM suffixes)
+        ), hits AS (
+            SELECT url, action, rule_id,
+                   row_number() OVER (PARTITION BY url ORDER BY length(suffix) DESC, length(suffix || p) DESC, action, rule_id) AS nth
+            FROM paths JOIN rules ON suffix || p = expression
+        )
+        SELECT page_id, p.url, coalesce(action, 'allow') AS verdict, rule_id::BIGINT AS rule_id
+        FROM pages p LEFT JOIN hits h ON p.url = h.url AND nth = 1""",
     "op3_source_mixing": f"""
         WITH weights AS (
             SELECT doc_id, min(CASE quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.25 ELSE 0.5 END)::DOUBLE AS weight FROM labels GROUP BY doc_id
