@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixing, packing, puquality, rules, topk, urlrules
+from paperloom.llm import mixing, packing, pii, puquality, rules, toolchat, topk, urlrules
 from paperloom.llm.linededup import MIN_CHARS, dedup_lines
 from paperloom.llm.simhash import near_duplicate_groups
 
@@ -22,6 +22,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where("rule = 0").select("doc_id")
 
 
+#: JSON schemas of the tools that conversations may call.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}, "required": ["query"], "additionalProperties": False},
+    "fetch": {"type": "object", "properties": {"url": {"type": "string", "pattern": "^https?://"}}, "required": ["url"]},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}, "precision": {"type": "integer", "minimum": 0}}, "required": ["expression"]},
+}
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as canonical JSON with its tool calls linked."""
+    return toolchat.link_tool_calls(_table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all sources; labelled documents weigh 1 or a quarter, others a half."""
     quality = F.col("quality")
@@ -39,6 +52,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return puquality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of personal data in every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find_private(docs, pii.train_on(docs))
+
+
 #: (rule_id, pattern, action)
 URL_RULES = [
     (1, "spam-farm.example.org/", "block"),
@@ -81,9 +100,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_source_mixing": op3_source_mixing,
     "op4_exact_topk": op4_exact_topk,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_private_spans": op6_private_spans,
     "op7_url_filters": op7_url_filters,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
