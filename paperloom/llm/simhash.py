@@ -31,6 +31,8 @@ MAX_BITS = 14
 SEGMENTS = ((0, 26), (26, 26), (52, 26), (78, 25), (103, 25))
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 _POPCOUNT_ROWS = 1 << 20
+#: Runs of equal keys up to the first size are compared by shifts, up to the second by a matrix, beyond by pivots.
+_SMALL_RUN, _MATRIX_RUN = 32, 2048
 
 
 def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,22 +144,40 @@ def spanning_edges(points: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[i
     return edges
 
 
+def _matrix_edges(points: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
+    """Index pairs (member, first of its component) from all distances at once."""
+    near = distances(points[:, None], points[None]) <= max_bits
+    n = len(points)
+    if near.sum() == n:
+        return np.zeros((0, 2), np.int64)
+    label = np.arange(n)
+    while True:
+        after = np.where(near, label[None], n).min(1)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    member = np.flatnonzero(label != np.arange(n))
+    return np.stack([label[member], member], 1)
+
+
 def _edges(key: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
-    """Edges within each run of equal keys, as rows of four halves."""
+    """Rows of four halves that connect, within each run of equal keys, what verified pairs connect."""
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(first, len(key)))
     out = []
-    two = first[size == 2]
-    if len(two):
-        a, b = points[two], points[two + 1]
-        near = distances(a, b) <= MAX_BITS
-        out.append(np.concatenate([a[near], b[near]], 1))
-    for f, n in zip(first[size > 2], size[size > 2], strict=True):
+    small = (size > 1) & (size <= _SMALL_RUN)
+    last = np.repeat(first[small] + size[small], size[small])
+    at = np.arange(len(last)) + np.repeat(first[small] - (np.cumsum(size[small]) - size[small]), size[small])
+    for ahead in range(1, int(size[small].max(initial=1))):
+        going = at + ahead < last
+        at, last = at[going], last[going]
+        near = at[distances(points[at], points[at + ahead]) <= MAX_BITS]
+        out.append(np.concatenate([points[near], points[near + ahead]], 1))
+    for f, n in zip(first[size > _SMALL_RUN], size[size > _SMALL_RUN], strict=True):
         own = points[f : f + n]
-        pairs = spanning_edges(own)
-        if pairs:
-            p = np.array(pairs)
-            out.append(np.concatenate([own[p[:, 0]], own[p[:, 1]]], 1))
+        pairs = _matrix_edges(own) if n <= _MATRIX_RUN else np.array(spanning_edges(own), np.int64).reshape(-1, 2)
+        out.append(np.concatenate([own[pairs[:, 0]], own[pairs[:, 1]]], 1))
     return out
 
 
