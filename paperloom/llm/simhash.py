@@ -8,7 +8,9 @@ The search is exact. The fingerprint is cut into five segments of 25 or 26 bits.
 that differ in at most 14 bits differ in at most 2 bits within some segment, and two values at most
 2 bits apart have a common value at most 1 bit from either. So each fingerprint enters the table of
 every segment under its Hamming ball of radius 1 (133 entries in all), and whoever shares an entry
-is verified on all 128 bits. Equal fingerprints are collapsed first. An entry that many share is
+is verified on all 128 bits. A table is cut into blocks by the first bits of its keys; a fingerprint
+is sent to the few blocks that its ball touches and its entries are made there. Equal fingerprints
+are collapsed first. An entry that many share is
 worked off around pivots: what lies within 14 bits of a pivot is tied to it, and two such clusters
 are compared member by member only if their pivots are within 42 bits, which the triangle
 inequality requires of any verified pair. No entry is capped.
@@ -29,6 +31,8 @@ from paperloom.session import discard, fresh_name, written
 BITS = 128
 MAX_BITS = 14
 SEGMENTS = ((0, 26), (26, 26), (52, 26), (78, 25), (103, 25))
+#: A block of a segment's table holds about as many fingerprints, or the bits that name it are at their limits.
+BLOCK_PRINTS, LEAST_TOP, MOST_TOP = 1 << 15, 4, 22
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 _POPCOUNT_ROWS = 1 << 20
 #: Runs of equal keys up to the first size are compared by shifts, up to the second by a matrix, beyond by pivots.
@@ -75,32 +79,58 @@ def fingerprint(text: Column) -> Column:
     return F.arrow_udf(_fingerprint, "hi bigint, lo bigint, words bigint")(text)
 
 
-def segment_entries(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """One row for each fingerprint: the keys of its ball of radius 1 in every segment."""
-    hi, lo = hi.astype(np.int64).view(np.uint64), lo.astype(np.int64).view(np.uint64)
-    keys = []
-    for s, (at, size) in enumerate(SEGMENTS):
-        shift = BITS - at - size
-        if shift >= 64:
-            value = hi >> np.uint64(shift - 64)
-        elif shift + size <= 64:
-            value = lo >> np.uint64(shift)
-        else:
-            value = (hi << np.uint64(64 - shift)) | (lo >> np.uint64(shift)) if shift else lo
-        value = (value & np.uint64((1 << size) - 1)) | np.uint64(s << 32)
-        flips = np.append(np.uint64(0), np.uint64(1) << np.arange(size, dtype=np.uint64))
-        keys.append(value[:, None] ^ flips[None])
-    return np.concatenate(keys, 1).view(np.int64)
-
-
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        all_hi, all_lo = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-        for i in range(0, len(all_hi), 1024):
-            hi, lo = all_hi[i : i + 1024], all_lo[i : i + 1024]
-            keys = segment_entries(hi, lo)
-            each = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(hi, each)), pa.array(np.repeat(lo, each))], names=["key", "hi", "lo"])
+def segment_value(hi: np.ndarray, lo: np.ndarray, segment: int) -> np.ndarray:
+    """The bits of one segment of each fingerprint, as uint64."""
+    at, size = SEGMENTS[segment]
+    hi, lo = hi.view(np.uint64), lo.view(np.uint64)
+    shift = BITS - at - size
+    if shift >= 64:
+        value = hi >> np.uint64(shift - 64)
+    elif shift + size <= 64:
+        value = lo >> np.uint64(shift)
+    else:
+        value = (hi << np.uint64(64 - shift)) | (lo >> np.uint64(shift))
+    return value & np.uint64((1 << size) - 1)
+
+
+def _flips(bits: range) -> np.ndarray:
+    return np.append(np.uint64(0), np.uint64(1) << np.array(bits, np.uint64))
+
+
+def _emit(top: int):
+    """Sends each fingerprint to the table blocks in which its balls lie.
+
+    A block is a segment and the ``top`` first bits of its value: the ball of radius 1 lies in the
+    fingerprint's own block but for the flips of these bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hi, lo = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for segment, (_, size) in enumerate(SEGMENTS):
+                own = segment_value(hi, lo, segment) >> np.uint64(size - top)
+                blocks = (own[:, None] ^ _flips(range(top))[None] | np.uint64(segment << 32)).astype(np.int64)
+                each = blocks.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks.ravel()), pa.array(np.repeat(hi, each)), pa.array(np.repeat(lo, each))], names=["block", "hi", "lo"])
+
+    return run
+
+
+def block_entries(block: int, top: int, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, indices of points): the table entries of one block, sorted by key."""
+    segment, bits = block >> 32, np.uint64(block & 0xFFFFFFFF)
+    size = SEGMENTS[segment][1]
+    low = size - top
+    value = segment_value(np.ascontiguousarray(points[:, 0]), np.ascontiguousarray(points[:, 1]), segment)
+    home = (value >> np.uint64(low)) == bits
+    at = np.flatnonzero(home)
+    inside = (value[at][:, None] ^ _flips(range(low))[None]).ravel()
+    guests = np.flatnonzero(~home)
+    moved = (value[guests] & np.uint64((1 << low) - 1)) | (bits << np.uint64(low))
+    keys = np.concatenate([inside, moved])
+    index = np.concatenate([np.repeat(at, low + 1), guests])
+    order = np.argsort(keys)
+    return keys[order], index[order]
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,30 +211,36 @@ def _edges(key: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["hi_a", "lo_a", "hi_b", "lo_b"]
-    kept_key, kept = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def block_edges(block: int, top: int, points: np.ndarray) -> np.ndarray:
+    """The distinct edges that the entries of one block give, as rows of four halves."""
+    keys, index = block_entries(block, top, points)
+    same = keys[1:] == keys[:-1]
+    shared = np.append(same, False) | np.append(False, same)
+    found = _edges(keys[shared], points[index[shared]]) if shared.any() else []
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
 
-    def made(key: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
-        rows = _edges(key, points) if len(key) else []
-        rows = np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 4), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in range(4)], names=names)
 
-    for batch in batches:
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        points = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)], 1)
-        if not len(key):
-            continue
-        held.append((key, points))
-        if held[0][0][0] == key[-1]:  # one key so far: its run may go on
-            continue
-        kept_key, kept = np.concatenate([k for k, _ in held]), np.concatenate([p for _, p in held])
-        cut = int(np.searchsorted(kept_key, kept_key[-1], side="left"))
-        held = [(kept_key[cut:], kept[cut:])]
-        yield made(kept_key[:cut], kept[:cut])
-    if held:
-        yield made(np.concatenate([k for k, _ in held]), np.concatenate([p for _, p in held]))
+def _verify(top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def made() -> pa.RecordBatch:
+            rows = block_edges(int(held[0][0][0]), top, np.concatenate([p for _, p in held]))
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in range(4)], names=["hi_a", "lo_a", "hi_b", "lo_b"])
+
+        for batch in batches:
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            points = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)], 1)
+            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            for i, j in zip(starts, [*starts[1:], len(block)], strict=True):
+                if held and held[0][0][0] != block[i]:
+                    yield made()
+                    held = []
+                held.append((block[i:j], points[i:j]))
+        if held:
+            yield made()
+
+    return run
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -243,9 +279,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("f")).select("doc_id", "f.hi", "f.lo", "f.words")
     prints = written(prints.where("words > 0").drop("words"), "simhash-prints")
     distinct = written(prints.groupBy("hi", "lo").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")), "simhash-distinct")
-    entries = distinct.select("hi", "lo").mapInArrow(_emit, "key bigint, hi bigint, lo bigint")
+    top = max(LEAST_TOP, int(np.ceil(np.log2(max(1, distinct.count()) / BLOCK_PRINTS))))
+    blocks = distinct.select("hi", "lo").mapInArrow(_emit(min(top, MOST_TOP)), "block bigint, hi bigint, lo bigint")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_verify, "hi_a bigint, lo_a bigint, hi_b bigint, lo_b bigint")
+    edges = blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_verify(min(top, MOST_TOP)), "hi_a bigint, lo_a bigint, hi_b bigint, lo_b bigint")
     roots = _components(edges)
     nodes = distinct.join(roots, ["hi", "lo"], "left").select(
         "hi", "lo", "first", "n", F.coalesce("root_hi", "hi").alias("root_hi"), F.coalesce("root_lo", "lo").alias("root_lo")
