@@ -129,7 +129,7 @@ def block_entries(block: int, top: int, points: np.ndarray) -> tuple[np.ndarray,
     moved = (value[guests] & np.uint64((1 << low) - 1)) | (bits << np.uint64(low))
     keys = np.concatenate([inside, moved])
     index = np.concatenate([np.repeat(at, low + 1), guests])
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")
     return keys[order], index[order]
 
 
@@ -212,7 +212,11 @@ def _edges(key: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
 
 
 def block_edges(block: int, top: int, points: np.ndarray) -> np.ndarray:
-    """The distinct edges that the entries of one block give, as rows of four halves."""
+    """The distinct edges that the entries of one block give, as rows of four halves.
+
+    They depend on the set of points alone: a task that is run again gives the same edges.
+    """
+    points = points[np.lexsort((points[:, 1], points[:, 0]))]
     keys, index = block_entries(block, top, points)
     same = keys[1:] == keys[:-1]
     shared = np.append(same, False) | np.append(False, same)
@@ -250,7 +254,8 @@ def _components(edges: DataFrame) -> DataFrame:
     rounds follow the logarithm of the diameter. Every round is a written table.
     """
     node = lambda x: F.struct(F.col(f"hi_{x}").alias("hi"), F.col(f"lo_{x}").alias("lo"))
-    both = written(edges.select(node("a").alias("u"), node("b").alias("v")).union(edges.select(node("b").alias("u"), node("a").alias("v"))).distinct(), "simhash-edges")
+    ways = F.explode(F.array(F.struct(node("a").alias("u"), node("b").alias("v")), F.struct(node("b").alias("u"), node("a").alias("v"))))
+    both = written(edges.select(ways.alias("way")).select("way.u", "way.v").distinct(), "simhash-edges")
     labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("l")), "simhash-labels")
     while True:
         spread = both.join(labels.select(F.col("u").alias("v"), F.col("l").alias("lv")), "v").groupBy("u").agg(F.min("lv").alias("lv"))
