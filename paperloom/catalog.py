@@ -1,10 +1,706 @@
-"""Registered queries of the engine's own operators and their DuckDB equivalents."""
+"""Registered queries of the engine's own operators and their DuckDB equivalents.
+
+``documents`` stand for text files (``source`` is the directory, lines are the blocks), ``pages`` for
+HTML files and ``benchmark`` for queries. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.functions import markup, structure, text, tokens
+from paperloom.operators import blockdedup, chunking, discovery, linkgraph, readiness, retrieval, snapshots
+from paperloom.plans import pipeline
+from paperloom.session import written
+from paperloom.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+MAX_WORDS, TARGET_CHUNKS, SUBCHUNK_WORDS = 20_000, 12, 200
+IGNORE = ["src1*/", "!src12/", "*_00001?.txt", "/src3/doc_0000*"]
+LLMS = "# Docs\n- [Home](https://a.example/x) and [again](https://a.example/x)\nhttps://a.example/y\nnot https://a.example/z\n  https://a.example/w  \n"
+SITEMAPS = [
+    ("https://a.example/docs/sitemap.xml", "<sitemapindex><sitemap><loc> https://a.example/docs/s1.xml </loc></sitemap><sitemap><loc>https://b.example/other/s.xml</loc></sitemap></sitemapindex>"),
+    ("https://a.example/docs/s1.xml", "<sitemapindex><sitemap><loc>https://a.example/docs/sitemap.xml</loc></sitemap><sitemap><loc>https://a.example/docs/s2.xml</loc></sitemap></sitemapindex>"),
+    ("https://a.example/docs/s2.xml", "<urlset><url><loc>https://a.example/docs/p1</loc></url><url><loc>https://a.example/docs/p2</loc></url><url><loc>https://a.example/docs/p1</loc></url></urlset>"),
+    ("https://b.example/other/s.xml", "<urlset><url><loc>https://b.example/p9</loc></url></urlset>"),
+]
+
+WS, NOT_WS = text.WS, text.NOT_WS
+
+
+def query(sql: str | None = None):
+    """Registers the function under its name, with its SQL if there is one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _words(c: str) -> str:
+    return f"len(regexp_extract_all({c}, '{NOT_WS}+'))::BIGINT"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _norm(c: str) -> str:
+    return _strip(f"regexp_replace(lower({c}), '{WS}+', ' ', 'g')")
+
+
+def _tokens(c: str) -> str:
+    return f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
+
+
+_FILES = "files AS (SELECT printf('%s/doc_%06d.txt', source, doc_id) AS path, text, source, doc_id FROM documents)"
+_BLOCKS = f"""{_FILES}, lists AS (
+    SELECT path, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS l FROM files
+), blocks AS (
+    SELECT path, unnest(l) AS block, generate_subscripts(l, 1) - 1 AS pos FROM lists
+), eligible AS (
+    SELECT path, pos, {_norm('block')} AS norm, {_words('block')} AS words FROM blocks WHERE {_words('block')} >= {text.MIN_BLOCK_WORDS}
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY md5(norm) ORDER BY path, pos) AS nth FROM eligible
+)"""
+_SIZED = f"{_FILES}, sized AS (SELECT path, {_words('text')} AS words, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files)"
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return readers.document_files(spark, d)
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("path", text.word_count(F.col("text")).alias("words"))
+
+
+def _searchable(spark: SparkSession, d: str) -> DataFrame:
+    return readers.table(spark, d, "documents").select("doc_id", "text")
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return readers.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with all views, parsed once and written."""
+    p = readers.page_files(spark, d)
+    return written(p.select("page_id", "path", "url", "html", markup.parse_page(F.col("html")).alias("v")).select("page_id", "path", "url", "html", "v.*"), "pages-parsed")
+
+
+# --- scalar functions over texts
+
+
+@query(f"SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE {_words('text')} END AS words FROM documents")
+def word_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _searchable(spark, d).select("doc_id", text.word_count(F.col("text")).alias("words"))
+
+
+@query(f"SELECT doc_id, md5({_norm('text')}) AS digest FROM documents")
+def doc_normalize_md5(spark: SparkSession, d: str) -> DataFrame:
+    return _searchable(spark, d).select("doc_id", F.md5(text.normalize(F.col("text"))).alias("digest"))
+
+
+@query(f"SELECT doc_id, len({_tokens('text')})::BIGINT AS tokens, len(list_distinct({_tokens('text')}))::BIGINT AS terms FROM documents")
+def ascii_tokens_stats(spark: SparkSession, d: str) -> DataFrame:
+    t = text.tokenize(F.col("text"))
+    return _searchable(spark, d).select("doc_id", F.size(t).cast("bigint").alias("tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("terms"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {_words('text')} <= 50 THEN text ELSE array_to_string(list_slice(regexp_extract_all(text, '{NOT_WS}+'), 1, 50), ' ') || ' […]' END AS excerpt FROM documents")
+def excerpt_50(spark: SparkSession, d: str) -> DataFrame:
+    return _searchable(spark, d).select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(f"WITH {_FILES} SELECT path, CASE WHEN length(path) > 15 THEN '...' || right(path, 12) ELSE path END AS short FROM files")
+def truncated_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("path", text.truncate_path(F.col("path"), 15).alias("short"))
+
+
+@query(f"SELECT count(*) AS chunks, sum(w)::BIGINT AS total, min(w) AS least, max(w) AS most, (sum(w) // count(*))::BIGINT AS average FROM (SELECT {_words('text')} AS w FROM documents)")
+def token_totals(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.totals(_searchable(spark, d).select(tokens.token_count(F.col("text")).alias("tokens")))
+
+
+# --- block dedup
+
+
+@query(f"WITH {_BLOCKS} SELECT (SELECT count(*) FROM blocks) AS blocks, (SELECT count(*) FROM eligible) AS eligible, (SELECT sum(words)::BIGINT FROM eligible) AS words")
+def block_split_stats(spark: SparkSession, d: str) -> DataFrame:
+    b = text.blocks(_docs(spark, d), "\n").withColumn("words", text.word_count(F.col("block")))
+    long_ = F.col("words") >= text.MIN_BLOCK_WORDS
+    return b.agg(F.count("*").alias("blocks"), F.count_if(long_).alias("eligible"), F.sum(F.when(long_, F.col("words"))).alias("words"))
+
+
+@query(f"WITH {_BLOCKS} SELECT path, pos::BIGINT AS pos, block FROM blocks WHERE {_words('block')} < {text.MIN_BLOCK_WORDS}")
+def short_block_passthrough(spark: SparkSession, d: str) -> DataFrame:
+    b = text.blocks(_docs(spark, d), "\n").where(text.word_count(F.col("block")) < text.MIN_BLOCK_WORDS)
+    return b.select("path", F.col("pos").cast("bigint").alias("pos"), "block")
+
+
+@query(f"WITH {_BLOCKS} SELECT path, pos::BIGINT AS pos, words FROM ranked WHERE nth > 1")
+def dedup_exact_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return blockdedup.exact_removed(blockdedup.eligible(_docs(spark, d), "\n")).select("path", F.col("pos").cast("bigint").alias("pos"), "words")
+
+
+@query(f"""WITH {_FILES}, keyed AS (SELECT path, row_number() OVER (PARTITION BY md5({_norm('text')}) ORDER BY path) AS nth FROM files WHERE {_words('text')} >= {text.MIN_BLOCK_WORDS})
+SELECT path FROM keyed WHERE nth > 1""")
+def dedup_exact_docs(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select("path", F.lit(0).alias("pos"), text.normalize(F.col("text")).alias("norm"), text.word_count(F.col("text")).alias("words"))
+    return blockdedup.exact_removed(docs.where(F.col("words") >= text.MIN_BLOCK_WORDS)).select("path")
+
+
+@query(f"WITH {_BLOCKS} SELECT (SELECT count(*) FROM blocks) AS total_blocks, count(*) AS removed_exact, 0::BIGINT AS removed_fuzzy, coalesce(sum(words), 0)::BIGINT AS words_removed FROM ranked WHERE nth > 1")
+def dedup_stats_exact(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return blockdedup.dedup_stats(docs, blockdedup.removed_blocks(docs, "exact", delimiter="\n"), "\n")
+
+
+@query(f"""WITH {_BLOCKS}, kept AS (SELECT b.path, b.pos, b.block FROM blocks b ANTI JOIN (SELECT path, pos FROM ranked WHERE nth > 1) r ON b.path = r.path AND b.pos = r.pos)
+SELECT f.path, coalesce(string_agg(block, chr(10) ORDER BY pos), '') AS text FROM files f LEFT JOIN kept k ON f.path = k.path WHERE f.text IS NOT NULL GROUP BY f.path""")
+def dedup_rebuild_text(spark: SparkSession, d: str) -> DataFrame:
+    return blockdedup.deduplicate(_docs(spark, d), "exact", delimiter="\n").where("text is not null")
+
+
+_BITS = ", ".join(f"sum(((h{'i' if b < 32 else 'o'} >> {31 - b % 32}) & 1)) * 2 > count(*) AS b{b}" for b in range(64))
+_HALF = lambda lo: " + ".join(f"(b{b}::BIGINT << {31 - b % 32})" for b in range(32 * lo, 32 * lo + 32))
+_HEX = lambda c, at: f"('0x' || substr(md5({c}), {at}, 8))::BIGINT"
+_PRINTS = f"""texts AS (SELECT DISTINCT {_norm('text')} AS norm FROM documents WHERE text IS NOT NULL), split AS (
+    SELECT norm, string_split(norm, ' ') AS w FROM texts
+), shingles AS (
+    SELECT norm, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS s FROM split WHERE len(w) >= 3
+), hashed AS (SELECT norm, {_HEX('s', 1)} AS hi, {_HEX('s', 9)} AS ho FROM shingles
+), voted AS (SELECT norm, {_BITS} FROM hashed GROUP BY norm
+), prints AS (
+    SELECT norm, {_HALF(0)} AS sim_hi, {_HALF(1)} AS sim_lo FROM voted
+    UNION ALL SELECT norm, {_HEX('norm', 1)}, {_HEX('norm', 9)} FROM split WHERE len(w) < 3
+)"""
+
+
+def _fingerprinted(spark: SparkSession, d: str) -> DataFrame:
+    return _searchable(spark, d).where("text is not null").select("doc_id", blockdedup.simhash(text.normalize(F.col("text"))).alias("fp"))
+
+
+def _halves(fp: Column, suffix: str = "") -> list[Column]:
+    mask = F.lit(0xFFFFFFFF).cast("bigint")
+    return [F.shiftrightunsigned(fp, 32).bitwiseAND(mask).alias("sim_hi" + suffix), fp.bitwiseAND(mask).alias("sim_lo" + suffix)]
+
+
+@query(f"WITH {_PRINTS} SELECT d.doc_id, sim_hi, sim_lo FROM documents d JOIN prints p ON {_norm('d.text')} = p.norm")
+def simhash_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return _fingerprinted(spark, d).select("doc_id", *_halves(F.col("fp")))
+
+
+@query(f"""WITH {_PRINTS}, p AS (SELECT DISTINCT sim_hi, sim_lo FROM prints)
+SELECT least(a.sim_hi, b.sim_hi) AS least_hi, greatest(a.sim_hi, b.sim_hi) AS greatest_hi, (bit_count(xor(a.sim_hi, b.sim_hi)) + bit_count(xor(a.sim_lo, b.sim_lo)))::BIGINT AS distance
+FROM p a JOIN p b ON (a.sim_hi, a.sim_lo) < (b.sim_hi, b.sim_lo) AND bit_count(xor(a.sim_hi, b.sim_hi)) + bit_count(xor(a.sim_lo, b.sim_lo)) <= 3""")
+def simhash_pairs_t3(spark: SparkSession, d: str) -> DataFrame:
+    pairs = blockdedup.similar_pairs(_fingerprinted(spark, d).select("fp").distinct(), 3)
+    a, b = _halves(F.col("a"))[0], _halves(F.col("b"))[0]
+    return pairs.select(F.least(a, b).alias("least_hi"), F.greatest(a, b).alias("greatest_hi"), "distance")
+
+
+@query()
+def dedup_fuzzy_leaders(spark: SparkSession, d: str) -> DataFrame:
+    return blockdedup.removed_blocks(_docs(spark, d), "fuzzy", delimiter="\n")
+
+
+@query()
+def dedup_both(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return blockdedup.dedup_stats(docs, written(blockdedup.removed_blocks(docs, "both", delimiter="\n"), "dedup-both"), "\n")
+
+
+# --- selection of files and URLs
+
+
+@query("SELECT page_id, url FROM pages WHERE NOT (" + " OR ".join(f"lower(url) LIKE '%.{s}'" for s in discovery._SUFFIXES.split()) + ")")
+def binary_ext_filter(spark: SparkSession, d: str) -> DataFrame:
+    return readers.table(spark, d, "pages").where(~discovery.is_binary(F.col("url"))).select("page_id", "url")
+
+
+@query(f"""WITH {_FILES} SELECT path FROM files WHERE NOT CASE WHEN regexp_matches(path, '^src3/doc_0000[^/]*$') THEN true WHEN regexp_matches(path, '_00001[^/][.]txt$') THEN true
+WHEN regexp_matches(path, '^src12/') THEN false WHEN regexp_matches(path, '^src1[^/]*/') THEN true ELSE false END""")
+def gitignore_filter(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.filter_files(_docs(spark, d).select("path"), IGNORE)
+
+
+@query("SELECT page_id, regexp_matches(lower(url), '[.]html?$') AS html FROM pages")
+def html_predicate(spark: SparkSession, d: str) -> DataFrame:
+    return readers.table(spark, d, "pages").select("page_id", text.is_html(F.col("url")).alias("html"))
+
+
+_URL_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+_SLASHED = f"regexp_replace({_URL_PATH}, '/+$', '') || '/'"
+_SEGMENTS = f"len(list_filter(string_split({_URL_PATH}, '/'), lambda s: s <> ''))"
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+
+
+@query(f"SELECT page_id, url, {_HOST} AS host, {_SEGMENTS}::BIGINT AS segments FROM pages WHERE starts_with({_SLASHED}, '/en/')")
+def url_scope_filter(spark: SparkSession, d: str) -> DataFrame:
+    p = readers.table(spark, d, "pages")
+    u = F.col("url")
+    slashed = F.concat(F.regexp_replace(discovery.url_path(u), "/+$", ""), F.lit("/"))
+    return p.where(slashed.startswith("/en/")).select("page_id", "url", discovery.host(u).alias("host"), discovery.segments(discovery.url_path(u)).cast("bigint").alias("segments"))
+
+
+_FIRST_HOST = f"(SELECT min({_HOST}) FROM pages)"
+
+
+def _first_base(spark: SparkSession, d: str) -> str:
+    host = readers.table(spark, d, "pages").agg(F.min(discovery.host(F.col("url")))).first()[0]
+    return f"https://{host}/"
+
+
+@query(f"SELECT url, min(page_id) AS pos FROM pages WHERE regexp_matches(url, '^https?://') AND {_HOST} = {_FIRST_HOST} AND {_SEGMENTS} <= 2 GROUP BY url")
+def url_depth_filter(spark: SparkSession, d: str) -> DataFrame:
+    urls = readers.table(spark, d, "pages").select("url", F.col("page_id").alias("pos"))
+    return discovery.filter_urls(urls, _first_base(spark, d), 2)
+
+
+@query("SELECT url, min(page_id) AS pos FROM pages GROUP BY url")
+def url_distinct_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return readers.table(spark, d, "pages").groupBy("url").agg(F.min("page_id").alias("pos"))
+
+
+@query(f"SELECT page_id, {_HOST} = {_FIRST_HOST} OR starts_with(regexp_replace(regexp_extract({_URL_PATH}, '^(.*)/[^/]*$', 1), '/+$', '') || '/', '/') AS in_scope FROM pages")
+def sub_sitemap_scope(spark: SparkSession, d: str) -> DataFrame:
+    return readers.table(spark, d, "pages").select("page_id", discovery.sub_sitemap_in_scope(F.col("url"), _first_base(spark, d)).alias("in_scope"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'https://a.example/x', 100000::BIGINT), ('a', 'https://a.example/y', 200000::BIGINT), ('a', 'https://a.example/w', 400000::BIGINT)) t(source, url, pos)")
+def llms_txt_parse(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.llms_links(spark.createDataFrame([("a", LLMS)], "source string, body string"))
+
+
+@query("SELECT * FROM (VALUES ('https://a.example/docs/p1'), ('https://a.example/docs/p2')) t(url)")
+def sitemap_expand(spark: SparkSession, d: str) -> DataFrame:
+    bodies = spark.createDataFrame(SITEMAPS, "url string, body string")
+    return discovery.sitemap_urls(bodies, spark.createDataFrame([(SITEMAPS[0][0],)], "url string"), "https://a.example/docs")
+
+
+@query("WITH l AS (SELECT CASE WHEN page_id = 1 THEN 1 WHEN starts_with(url, 'https:') THEN 2 ELSE 3 END AS layer, url FROM pages) SELECT DISTINCT layer::INTEGER AS layer, url FROM l WHERE layer = (SELECT min(layer) FROM (SELECT layer FROM l GROUP BY layer HAVING count(DISTINCT url) >= 3))")
+def cascade_winner(spark: SparkSession, d: str) -> DataFrame:
+    layer = F.when(F.col("page_id") == 1, 1).when(F.col("url").startswith("https:"), 2).otherwise(3)
+    return discovery.cascade(readers.table(spark, d, "pages").select(layer.alias("layer"), "url"))
+
+
+# --- retrieval
+
+_TERMS = f"terms AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark) GROUP BY ALL)"
+_INDEX = f"""tok AS (SELECT doc_id, {_tokens('text')} AS t FROM documents), stats AS (SELECT count(*) AS n, avg(coalesce(len(t), 0)) AS avgdl FROM tok),
+posted AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM posted GROUP BY term)"""
+
+
+def _scores_sql(common: str = "") -> str:
+    return f"""{_TERMS}, {_INDEX}, scored AS (
+    SELECT query_id, doc_id, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))), 6) AS score
+    FROM terms JOIN posted USING (term) JOIN dfs USING (term), stats {common} GROUP BY query_id, doc_id
+)"""
+
+
+_COMMON = "WHERE df <= 0.5 * n OR n < 5"
+_TOP5 = "SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored) WHERE rank <= 5"
+
+
+@query(f"WITH {_INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM stats")
+def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.index_stats(_searchable(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {_INDEX} SELECT term, df FROM dfs")
+def bm25_df(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.document_frequency(retrieval.postings(_searchable(spark, d)))
+
+
+@query(f"WITH {_scores_sql()} {_TOP5}")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search(_searchable(spark, d), _questions(spark, d), 5)
+
+
+@query(f"WITH {_scores_sql()} SELECT query_id, count(*) AS hits FROM scored WHERE score > 0 GROUP BY query_id")
+def bm25_positive_hits(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.scores(_searchable(spark, d), _questions(spark, d)).where("score > 0").groupBy("query_id").agg(F.count("*").alias("hits"))
+
+
+_ASSIGN = f"{_scores_sql(_COMMON)}, claimed AS (SELECT min(query_id) AS query_id, doc_id, arg_min(score, query_id) AS score FROM scored WHERE score > 0 GROUP BY doc_id)"
+
+
+@query(f"WITH {_ASSIGN} SELECT query_id, doc_id, score FROM claimed")
+def query_pack_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.assignments(_searchable(spark, d), _questions(spark, d))
+
+
+@query(f"WITH {_ASSIGN} SELECT d.doc_id, query_id, score, row_number() OVER (ORDER BY query_id IS NULL, query_id, score DESC, d.doc_id) AS seq FROM documents d LEFT JOIN claimed c ON d.doc_id = c.doc_id")
+def query_pack_order(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.query_order(_searchable(spark, d), _questions(spark, d))
+
+
+@query(f"WITH {_scores_sql(_COMMON)} SELECT item_id AS query_id, count(doc_id) AS total_hits FROM benchmark LEFT JOIN (SELECT * FROM scored WHERE score > 0) s ON item_id = s.query_id GROUP BY item_id")
+def query_pack_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.query_hits(_searchable(spark, d), _questions(spark, d))
+
+
+_FIRST_LINE = "trim(string_split(text, chr(10))[1], ' ')"
+_GOLD = f"gold AS (SELECT doc_id, {_FIRST_LINE} AS heading FROM documents WHERE {_FIRST_LINE} <> '')"
+
+
+def _golden(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.golden_questions(_searchable(spark, d).select(F.col("doc_id").alias("id"), F.array(F.get(F.split("text", "\n"), 0)).alias("breadcrumb")))
+
+
+@query(f"WITH {_GOLD} SELECT 'What does the documentation say about ' || heading || '?' AS question, doc_id AS expected_id, heading FROM gold")
+def golden_qa(spark: SparkSession, d: str) -> DataFrame:
+    return _golden(spark, d)
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Golden questions of the labelled documents."""
+    labelled = readers.table(spark, d, "labels").select(F.col("doc_id").alias("expected_id"), F.col("quality").cast("string").alias("grade")).distinct()
+    gold = _golden(spark, d).join(labelled, "expected_id", "left_semi").select(F.col("expected_id").alias("query_id"), "expected_id", F.col("question").alias("text"))
+    found = retrieval.outcomes(_searchable(spark, d), gold)
+    return found.join(labelled, "expected_id", "left").withColumn("grade", F.coalesce("grade", F.lit("unknown")))
+
+
+_ASKED = f"""{_GOLD}, asked AS (SELECT DISTINCT g.doc_id AS query_id, 'What does the documentation say about ' || heading || '?' AS text FROM gold g SEMI JOIN labels l ON g.doc_id = l.doc_id)"""
+_EVAL = f"""{_ASKED}, {_scores_sql().replace('item_id AS query_id', 'query_id').replace('FROM benchmark', 'FROM asked')}, best AS ({_TOP5}),
+graded AS (SELECT DISTINCT doc_id, quality::VARCHAR AS grade FROM labels),
+outcome AS (SELECT a.query_id, coalesce(g.grade, 'unknown') AS grade, b.rank FROM asked a JOIN graded g ON g.doc_id = a.query_id LEFT JOIN best b ON a.query_id = b.query_id AND b.doc_id = a.query_id)"""
+_RATES = "count(*) AS questions, count(rank) AS hits, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr"
+
+
+@query(f"WITH {_EVAL} SELECT {_RATES} FROM outcome")
+def eval_hit_rate(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.evaluation(_outcomes(spark, d)).select("questions", "hits", "hit_rate", "mrr")
+
+
+@query(f"WITH {_EVAL} SELECT grade, {_RATES} FROM outcome GROUP BY grade")
+def eval_per_grade(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.evaluation(_outcomes(spark, d), ["grade"])
+
+
+# --- packing
+
+_NEXT_FIT = f"""{_SIZED}, seq AS (SELECT *, row_number() OVER (ORDER BY path) AS i FROM sized), fold AS (
+    SELECT i, path, words, 1::BIGINT AS chunk, CASE WHEN words > {MAX_WORDS} THEN -1 ELSE words END::BIGINT AS run FROM seq WHERE i = 1
+    UNION ALL
+    SELECT s.i, s.path, s.words, f.chunk + CASE WHEN f.run < 0 OR f.run + s.words > {MAX_WORDS} THEN 1 ELSE 0 END,
+           CASE WHEN s.words > {MAX_WORDS} THEN -1 WHEN f.run < 0 OR f.run + s.words > {MAX_WORDS} THEN s.words ELSE f.run + s.words END
+    FROM fold f JOIN seq s ON s.i = f.i + 1
+)"""
+
+
+@query(f"WITH RECURSIVE {_NEXT_FIT} SELECT path, words, chunk FROM fold")
+def chunk_by_size(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_by_size(_sized(spark, d), MAX_WORDS)
+
+
+@query(f"WITH RECURSIVE {_NEXT_FIT} SELECT printf('docs_chunk_%02d', chunk) AS chunk_id, count(*) AS files, sum(words)::BIGINT AS words FROM fold GROUP BY chunk")
+def chunk_totals(spark: SparkSession, d: str) -> DataFrame:
+    out = chunking.chunk_totals(chunking.chunk_by_size(_sized(spark, d), MAX_WORDS))
+    return out.select(chunking.chunk_id(F.col("chunk")).alias("chunk_id"), "files", "words")
+
+
+@query()
+def chunk_by_semantic(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_by_directory(_sized(spark, d), MAX_WORDS)
+
+
+@query()
+def chunk_balance(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.balance(chunking.chunk_by_size(_sized(spark, d), MAX_WORDS), TARGET_CHUNKS, MAX_WORDS * 10)
+
+
+@query(f"WITH {_SIZED} SELECT path, words FROM sized WHERE words > 2000")
+def oversize_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _sized(spark, d).where("words > 2000")
+
+
+@query()
+def subchunk_split(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select("path", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return docs.select("path", F.posexplode(structure.subchunks(F.col("text"), SUBCHUNK_WORDS)).alias("piece", "p")).select("path", "piece", "p.char_offset", text.word_count(F.col("p.text")).alias("words"))
+
+
+@query()
+def structural_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("path", F.size(structure.structural(F.regexp_replace("text", "\n", "\n\n"))).alias("blocks"))
+
+
+# --- readiness
+
+_FACTS = """facts AS (SELECT d.doc_id, greatest(n_chars, 1) AS raw_words, floor(greatest(n_chars, 1) * (doc_id % 10) / 10.0)::BIGINT AS extracted_words,
+    doc_id % 4 AS headings, doc_id % 3 AS max_level, doc_id % 7 <> 0 AS whole FROM documents d), judged AS (
+    SELECT doc_id, CASE WHEN raw_words <= 0 THEN 0 ELSE greatest(0, least(1, 1 - extracted_words / raw_words)) END AS noise, whole, CASE WHEN headings > 0 THEN max_level ELSE 0 END AS depth FROM facts
+), scored AS (SELECT *, CASE WHEN depth >= 2 THEN 1.0 WHEN depth = 1 THEN 0.5 ELSE 0.0 END AS context, CASE WHEN whole THEN 1.0 ELSE 0.0 END AS boundary FROM judged
+), graded AS (SELECT *, (1 - noise) * 0.4::DOUBLE + boundary::DOUBLE * 0.3::DOUBLE + context::DOUBLE * 0.3::DOUBLE AS score FROM scored
+), final AS (SELECT *, CASE WHEN score >= 0.8::DOUBLE THEN 'A' WHEN score >= 0.5::DOUBLE THEN 'B' ELSE 'C' END AS grade FROM graded)"""
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Scores over numbers derived from each document."""
+    raw = F.greatest("n_chars", F.lit(1))
+    facts = readers.table(spark, d, "documents").select(
+        "doc_id", raw.cast("bigint").alias("raw_words"), F.floor(raw * (F.col("doc_id") % 10) / 10.0).alias("extracted_words"),
+        (F.col("doc_id") % 4).alias("headings"), (F.col("doc_id") % 3).alias("max_level"), (F.col("doc_id") % 7 != 0).alias("whole"),
+    )
+    return readiness.score_rows(facts)
+
+
+@query(f"WITH {_FACTS} SELECT doc_id, round(noise, 6) AS noise_ratio, depth AS context_depth, round(score, 6) AS score, grade FROM final")
+def noise_ratio_grade(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", F.round("noise_ratio", 6).alias("noise_ratio"), "context_depth", F.round("score", 6).alias("score"), "grade")
+
+
+@query(f"WITH {_FACTS} SELECT count(*) AS total_chunks, round(avg(score), 6) AS avg_score, count_if(grade = 'A')::BIGINT AS grade_a, count_if(grade = 'B')::BIGINT AS grade_b, count_if(grade = 'C')::BIGINT AS grade_c FROM final")
+def readiness_summary(spark: SparkSession, d: str) -> DataFrame:
+    return readiness.summary(_scored(spark, d))
+
+
+@query(f"""WITH {_FACTS}, p AS (SELECT doc_id, noise * 0.4::DOUBLE AS a, (1 - boundary)::DOUBLE * 0.3::DOUBLE AS b, (1 - context)::DOUBLE * 0.3::DOUBLE AS c FROM final)
+SELECT doc_id, round(a, 6) AS noise, round(b, 6) AS boundary, round(c, 6) AS context, CASE WHEN greatest(a, b, c) <= 0 THEN 'none' WHEN a >= greatest(b, c) THEN 'noise' WHEN b >= c THEN 'boundary' ELSE 'context' END AS dominant FROM p""")
+def penalty_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    p = readiness.penalties(F.col("noise_ratio"), F.col("whole"), F.col("context_depth"))
+    rows = _scored(spark, d).select("doc_id", p.alias("p"))
+    part = lambda i, n: F.round(F.get("p", F.lit(i))["penalty"], 6).alias(n)
+    return rows.select("doc_id", part(0, "noise"), part(1, "boundary"), part(2, "context"), readiness.dominant_penalty(F.col("p")).alias("dominant"))
+
+
+@query(f"WITH {_FACTS} SELECT doc_id, round(score, 6) AS score, rank FROM (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9), doc_id) AS rank FROM final)")
+def worst_first(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scored(spark, d).select("doc_id", F.round("score", 9).alias("key"), F.round("score", 6).alias("score"))
+    return chunking.numbered(rows, ["key", "doc_id"], "rank").select("doc_id", "score", "rank")
+
+
+@query("""SELECT doc_id, (len(regexp_extract_all(text, '```')) % 2 = 0) AND len(regexp_extract_all(text, '(?i)<pre[\\s>]')) = len(regexp_extract_all(text, '(?i)</pre>')) AS whole FROM documents""")
+def boundary_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _searchable(spark, d).select("doc_id", structure.intact(F.col("text")).alias("whole"))
+
+
+@query("SELECT * FROM (VALUES (50, 'Guide'), (250, 'Guide > Installation > Requirements'), (450, 'Guide > Installation > Steps'), (650, 'Guide > Configuration'), (750, 'Guide > Configuration > Database')) t(place, breadcrumb)")
+def active_headings(spark: SparkSession, d: str) -> DataFrame:
+    held = [(1, "Guide", 0), (2, "Installation", 100), (3, "Requirements", 200), (3, "Steps", 400), (2, "Configuration", 600), (3, "Database", 700)]
+    kind = "place int, headings array<struct<level:int,text:string,char_offset:bigint>>"
+    rows = spark.createDataFrame([(at, held) for at in (50, 250, 450, 650, 750)], kind)
+    names = F.transform(linkgraph.active_headings(F.col("headings"), F.col("place")), lambda h: h["text"])
+    return rows.select("place", F.array_join(names, " > ").alias("breadcrumb"))
+
+
+@query(f"""WITH {_BLOCKS}, kept AS (SELECT path, block, count(*) AS n FROM blocks WHERE pos % 3 > 0 GROUP BY ALL),
+gone AS (SELECT b.path, b.pos, b.block FROM (SELECT *, row_number() OVER (PARTITION BY path, block ORDER BY pos) AS nth FROM blocks) b LEFT JOIN kept k ON b.path = k.path AND b.block = k.block WHERE nth > coalesce(n, 0))
+SELECT path, pos::BIGINT AS pos, substr(block, 1, 200) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pos) AS r FROM gone) WHERE r <= 5""")
+def removed_blocks(spark: SparkSession, d: str) -> DataFrame:
+    b = text.split_blocks(F.col("text"), "\n")
+    docs = _docs(spark, d).select("path", "text", F.array_join(F.filter(b, lambda x, i: i % 3 > 0), "\n").alias("less"))
+    return readiness.removed_samples(docs, "text", "less", "\n")
+
+
+_DRY = f"dry AS (SELECT printf('%s/doc_%06d.txt', source, doc_id) AS path, n_chars AS before, {_words('text')} AS after, {_words('text')} // 2 AS deduped FROM documents)"
+
+
+def _dry(spark: SparkSession, d: str) -> DataFrame:
+    w = text.word_count(F.col("text"))
+    path = F.format_string("%s/doc_%06d.txt", "source", "doc_id")
+    return readers.table(spark, d, "documents").select(path.alias("path"), F.col("n_chars").alias("before"), w.alias("after"), F.floor(w / 2).alias("deduped"))
+
+
+@query(f"WITH {_DRY} SELECT path, deduped AS words FROM dry ORDER BY deduped DESC, path LIMIT 10")
+def dry_run_top10(spark: SparkSession, d: str) -> DataFrame:
+    return _dry(spark, d).select("path", F.coalesce("deduped", "after").alias("words")).orderBy(F.desc("words"), "path").limit(10)
+
+
+@query(f"""WITH {_DRY}, t AS (SELECT count(*) AS files, sum(before)::BIGINT AS before, sum(after)::BIGINT AS after, sum(deduped)::BIGINT AS deduped FROM dry)
+SELECT *, CASE WHEN before > 0 THEN (before - after) * 100 // before ELSE 0 END::BIGINT AS extraction_percent, CASE WHEN after > 0 THEN (after - deduped) * 100 // after ELSE 0 END::BIGINT AS dedup_percent FROM t""")
+def dry_run_totals(spark: SparkSession, d: str) -> DataFrame:
+    return readiness.dry_run_totals(_dry(spark, d))
+
+
+# --- pages
+
+
+@query()
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).select("page_id", "raw_text")
+
+
+@query()
+def main_content(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).select("page_id", "main_text", text.word_count(F.col("main_text")).alias("words"))
+
+
+@query()
+def html_headings(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).select("page_id", F.posexplode("headings").alias("pos", "h")).select("page_id", "pos", "h.*")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href'))::BIGINT AS links FROM pages")
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).select("page_id", F.size("links").cast("bigint").alias("links"))
+
+
+@query()
+def spa_shells(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.is_shell_site(_parsed(spark, d))
+
+
+@query("""SELECT * FROM (VALUES ('docs/page.html', 'other.html', 'docs/other.html', ''), ('docs/sub/page.html', '../sibling/page.html', 'docs/sibling/page.html', ''),
+('docs/page.html', 'routing.html#advanced', 'docs/routing.html', '#advanced'), ('page.html', '../up.html', '../up.html', ''), ('a/b.html', '/x/../y/index.html', '/y', ''), ('a/b.html', 'https://x.example', NULL, ''), ('a/b.html', '#top', NULL, '#top'), ('b.html', 'index.html', NULL, '')) t(source, href, target, anchor)""")
+def link_path_resolve(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("docs/page.html", "other.html"), ("docs/sub/page.html", "../sibling/page.html"), ("docs/page.html", "routing.html#advanced"), ("page.html", "../up.html"), ("a/b.html", "/x/../y/index.html"), ("a/b.html", "https://x.example"), ("a/b.html", "#top"), ("b.html", "index.html")]
+    df = spark.createDataFrame(rows, "source string, href string")
+    return df.select("source", "href", linkgraph.resolve(F.col("source"), F.col("href")).alias("target"), linkgraph.anchor(F.col("href")).alias("anchor"))
+
+
+def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed pages whose links are read against the site root, and their edges."""
+    pages = _parsed(spark, d)
+    home = pages.select("path", "raw_text", F.regexp_extract("path", "^([^/]*)", 1).alias("site"), "links")
+    rooted = home.select("path", "raw_text", F.transform("links", lambda l: F.struct(F.when(l["href"].startswith("/"), F.concat(F.lit("/"), "site", l["href"])).otherwise(l["href"]).alias("href"), l["text"].alias("text"))).alias("links"))
+    links = linkgraph.link_table(rooted).withColumn("target_path", F.regexp_replace("target_path", "^/", ""))
+    target = pages.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "path").groupBy("folder").agg(F.min("path").alias("page"))
+    links = links.join(target, links["target_path"] == target["folder"], "left").withColumn("target_path", F.coalesce("page", "target_path")).drop("folder", "page")
+    members = chunking.chunk_by_directory(pages.select("path", text.word_count(F.col("main_text")).alias("words")), 2_000)
+    return rooted, linkgraph.edges(links, members)
+
+
+@query()
+def cross_ref_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d)[1].select("source_path", "pos", "target_path", "anchor", "link_text", "source_chunk", "target_chunk")
+
+
+@query()
+def cross_ref_index(spark: SparkSession, d: str) -> DataFrame:
+    return linkgraph.reference_sets(_edges(spark, d)[1])
+
+
+@query()
+def cross_ref_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    return linkgraph.unresolved(_edges(spark, d)[1])
+
+
+@query()
+def annotate(spark: SparkSession, d: str) -> DataFrame:
+    pages, edges = _edges(spark, d)
+    return linkgraph.annotated_pages(pages.select("path", F.col("raw_text").alias("text")), edges)
+
+
+# --- snapshots
+
+_SNAP = """old AS (SELECT doc_id::VARCHAR AS key, text, strlen(text) AS size_bytes, 1.0::DOUBLE AS mtime, md5(text) AS content_hash FROM documents WHERE doc_id % 10 <> 0 AND text IS NOT NULL),
+fresh AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1 AND text IS NOT NULL),
+new AS (SELECT doc_id::VARCHAR AS key, strlen(text) AS size_bytes, 1.0 + doc_id % 2 AS mtime, md5(text) AS content_hash FROM fresh),
+diffs AS (SELECT coalesce(o.key, n.key) AS key, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' WHEN o.size_bytes <> n.size_bytes THEN 'modified' WHEN o.mtime = n.mtime THEN NULL WHEN o.content_hash <> n.content_hash THEN 'modified' END AS change FROM old o FULL JOIN new n ON o.key = n.key)"""
+
+
+def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two states of the documents: rows come and go, some texts and times change."""
+    base = readers.table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    shape = lambda df, t: snapshots.manifest(df.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), t.alias("mtime")))
+    old = shape(base.where("doc_id % 10 <> 0"), F.lit(1.0))
+    fresh = base.where("doc_id % 10 <> 1").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")))
+    return old, shape(fresh, 1.0 + F.col("doc_id") % 2)
+
+
+@query("SELECT doc_id::VARCHAR AS key, strlen(text)::BIGINT AS size_bytes, md5(text) AS content_hash FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 0")
+def manifest_build(spark: SparkSession, d: str) -> DataFrame:
+    return _snapshots(spark, d)[0].select("key", "size_bytes", "content_hash")
+
+
+@query(f"WITH {_SNAP} SELECT key, change FROM diffs WHERE change IS NOT NULL")
+def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.manifest_diff(*_snapshots(spark, d))
+
+
+@query(f"WITH {_SNAP} SELECT n.key, n.size_bytes::BIGINT AS size_bytes, CASE WHEN o.size_bytes = n.size_bytes THEN 'tag-' || o.key END AS etag FROM new n LEFT JOIN old o ON o.key = n.key")
+def manifest_merge(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _snapshots(spark, d)
+    tagged = old.select("key", "size_bytes", F.concat(F.lit("tag-"), "key").alias("etag"), F.lit("then").alias("last_modified"))
+    return snapshots.merge(tagged, new).select("key", "size_bytes", "etag")
+
+
+@query(f"WITH {_SNAP} SELECT key, change FROM diffs WHERE change = 'removed' OR (change IS NOT NULL AND key::BIGINT % 3 = 0)")
+def manifest_narrow(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _snapshots(spark, d)
+    return snapshots.narrow(snapshots.manifest_diff(old, new), new.where(F.col("key").cast("bigint") % 3 == 0).select("key"))
+
+
+@query(f"WITH {_SNAP} SELECT count(*) > 0 AS run FROM diffs WHERE change IS NOT NULL")
+def delta_gate(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(snapshots.gate(snapshots.manifest_diff(*_snapshots(spark, d))),)], "run boolean")
+
+
+_DRIFT = f"""{_FACTS}, o AS (SELECT printf('docs_chunk_%02d', doc_id) AS chunk_id, round(score, 6) AS score, grade FROM final WHERE doc_id % 10 <> 0),
+n AS (SELECT printf('docs_chunk_%02d', doc_id) AS chunk_id, round(CASE WHEN doc_id % 7 = 0 THEN score / 2 ELSE score END, 6) AS score, grade FROM final WHERE doc_id % 10 <> 1),
+changes AS (SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN o.chunk_id IS NULL THEN 'added' WHEN n.chunk_id IS NULL THEN 'removed' WHEN o.score <> n.score OR o.grade <> n.grade THEN 'modified' END AS change,
+    o.score AS old_score, n.score AS new_score, o.grade AS old_grade, n.grade AS new_grade FROM o FULL JOIN n ON o.chunk_id = n.chunk_id)"""
+
+
+def _two_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _scored(spark, d).select("doc_id", chunking.chunk_id(F.col("doc_id")).alias("chunk_id"), "score", "grade")
+    old = rows.where("doc_id % 10 <> 0").select("chunk_id", F.round("score", 6).alias("score"), "grade")
+    half = F.when(F.col("doc_id") % 7 == 0, F.col("score") / 2).otherwise(F.col("score"))
+    return old, rows.where("doc_id % 10 <> 1").select("chunk_id", F.round(half, 6).alias("score"), "grade")
+
+
+@query(f"WITH {_DRIFT} SELECT * FROM changes WHERE change IS NOT NULL")
+def readiness_drift(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.drift(*_two_scores(spark, d))
+
+
+@query(f"""WITH {_DRIFT} SELECT count_if(change = 'added')::BIGINT AS added, count_if(change = 'modified')::BIGINT AS modified, count_if(change = 'removed')::BIGINT AS removed,
+(SELECT round(avg(score), 6) FROM o) AS old_avg, (SELECT round(avg(score), 6) FROM n) AS new_avg, count(change) > 0 AS has_drift FROM changes""")
+def drift_summary(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.drift_summary(*_two_scores(spark, d))
+
+
+# --- rendering and whole plans
+
+
+def _page_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).select("path", "raw_text", F.col("main_text").alias("text"), "headings", "links")
+
+
+def _run(spark: SparkSession, d: str, **config) -> pipeline.Packed:
+    return pipeline.pack(_page_corpus(spark, d), pipeline.PackConfig.preset("rag", max_words=2_000, **config))
+
+
+@query()
+def jsonl_records(spark: SparkSession, d: str) -> DataFrame:
+    run = _run(spark, d)
+    return writers.jsonl_records(run.pieces, grades=run.scores)
+
+
+@query()
+def context_header(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d, format="md").bodies
+
+
+@query()
+def explain_sections(spark: SparkSession, d: str) -> DataFrame:
+    bodies = _run(spark, d, format="md").bodies
+    return bodies.select("chunk", F.posexplode(writers.sections(F.col("body"))).alias("nth", "s")).select("chunk", "nth", "s.source", F.array_join("s.breadcrumb", " > ").alias("breadcrumb"), text.word_count(F.col("s.content")).alias("words"))
+
+
+@query()
+def import_guide(spark: SparkSession, d: str) -> DataFrame:
+    pages = _page_corpus(spark, d)
+    members = chunking.chunk_by_directory(pages.select("path", text.word_count(F.col("text")).alias("words")), 2_000)
+    return writers.import_guide(members, pages)
+
+
+@query()
+def pack_scores(spark: SparkSession, d: str) -> DataFrame:
+    return readiness.artifact_columns(_run(spark, d, dry_run=True).scores)
+
+
+@query()
+def pack_notebook(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.pack(_page_corpus(spark, d), pipeline.PackConfig.preset("notebooklm", max_chunks=8)).members
