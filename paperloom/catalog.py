@@ -595,7 +595,7 @@ def annotate(spark: SparkSession, d: str) -> DataFrame:
 # --- snapshots
 
 _SNAP = """old AS (SELECT doc_id::VARCHAR AS key, text, strlen(text) AS size_bytes, 1.0::DOUBLE AS mtime, md5(text) AS content_hash FROM documents WHERE doc_id % 10 <> 0 AND text IS NOT NULL),
-fresh AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1 AND text IS NOT NULL),
+fresh AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(text, 'e', 'a') ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1 AND text IS NOT NULL),
 new AS (SELECT doc_id::VARCHAR AS key, strlen(text) AS size_bytes, 1.0 + doc_id % 2 AS mtime, md5(text) AS content_hash FROM fresh),
 diffs AS (SELECT coalesce(o.key, n.key) AS key, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' WHEN o.size_bytes <> n.size_bytes THEN 'modified' WHEN o.mtime = n.mtime THEN NULL WHEN o.content_hash <> n.content_hash THEN 'modified' END AS change FROM old o FULL JOIN new n ON o.key = n.key)"""
 
@@ -605,7 +605,7 @@ def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     base = readers.table(spark, d, "documents").where("text is not null").select("doc_id", "text")
     shape = lambda df, t: snapshots.manifest(df.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), t.alias("mtime")))
     old = shape(base.where("doc_id % 10 <> 0"), F.lit(1.0))
-    fresh = base.where("doc_id % 10 <> 1").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")))
+    fresh = base.where("doc_id % 10 <> 1").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.replace("text", F.lit("e"), F.lit("a"))).otherwise(F.col("text")))
     return old, shape(fresh, 1.0 + F.col("doc_id") % 2)
 
 
