@@ -31,6 +31,8 @@ TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, STRIDE = 96, 48
 #: Documents that lend their text to the training windows, at most.
 CARRIER_DOCS = 400
+#: Characters that a training document lends at most; searching has no such bound.
+CARRIER_CHARS = 4000
 TRAINING_WINDOWS = 2400
 EPOCHS = 7
 _EMBED, _HIDDEN, _CHARS = 12, 20, 100
@@ -373,10 +375,10 @@ def labelled_windows(carriers: list[str], n: int, seed: int) -> tuple[np.ndarray
 
 
 def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carriers: int = CARRIER_DOCS, windows: int = TRAINING_WINDOWS, seed: int = 0) -> Tagger:
-    """A tagger whose training windows borrow the words of at most ``carriers`` documents."""
+    """A tagger whose training windows borrow the words of at most ``carriers`` documents, CARRIER_CHARS of each."""
     chosen = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(carriers).distinct()
     texts = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t")).join(F.broadcast(chosen.select("h").distinct()), "h")  # carriers rows at most
-    rows = texts.orderBy("h", "t").limit(carriers).select(F.substring("t", 1, 4000).alias("t")).collect()
+    rows = texts.orderBy("h", "t").limit(carriers).select(F.substring("t", 1, CARRIER_CHARS).alias("t")).collect()
     return train(*labelled_windows([r.t for r in rows], windows, seed), seed)
 
 
