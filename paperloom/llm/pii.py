@@ -33,7 +33,7 @@ WINDOW, STRIDE = 96, 48
 CARRIER_DOCS = 400
 #: Characters that a training document lends at most; searching has no such bound.
 CARRIER_CHARS = 4000
-TRAINING_WINDOWS = 2400
+TRAINING_WINDOWS = 4800
 EPOCHS = 7
 _EMBED, _HIDDEN, _CHARS = 12, 20, 100
 _BATCH = 2048

@@ -87,7 +87,7 @@ def test_risk_gradient_lowers_loss():
 @pytest.fixture(scope="module")
 def tagger():
     rng = np.random.default_rng(1)
-    return pii.train(*pii.labelled_windows([good(rng) for _ in range(60)], 1500, 3), seed=0, epochs=5)
+    return pii.train(*pii.labelled_windows([good(rng) for _ in range(60)], pii.TRAINING_WINDOWS, 3), seed=0)
 
 
 def test_crf_loss_is_that_of_all_paths():
