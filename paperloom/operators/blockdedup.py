@@ -85,7 +85,7 @@ def _keys(fp: Column, threshold: int, fingerprints: int) -> Column:
     for table, cells in enumerate(key_plan(threshold, fingerprints)):
         value, total = F.lit(0).cast("bigint"), 0
         for shift, bits in cells:
-            piece = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1))
+            piece = fp if bits == FINGERPRINT_BITS else F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1))
             value = F.shiftleft(value, bits).bitwiseOR(piece) if total else piece
             total += bits
         out.append(F.struct(F.lit(table).alias("table"), value.alias("value")))
