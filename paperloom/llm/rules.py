@@ -132,8 +132,9 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def train(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules from at most ``rows`` labelled documents, those of least id hash."""
     label = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = stats.where("words > 0").join(label, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *NAMES).limit(rows).toPandas()
-    chosen = chosen.sort_values(["doc_id", *NAMES])
+    chosen = stats.where("words > 0").join(label, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *NAMES).limit(rows)
+    # written first: collecting a sorted limit would send that many rows of every partition to the driver
+    chosen = written(chosen, "rules-sample").toPandas().sort_values(["doc_id", *NAMES])
     return learn(chosen[list(NAMES)].to_numpy(), chosen["quality"].to_numpy() == 0)
 
 
