@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources brought to shares by the square root of their tokens, repeated or sampled."""
+    """Sources brought to shares by the square root of their tokens, repeated or sampled by quality weight."""
     return mixing.mix_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

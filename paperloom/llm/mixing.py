@@ -91,6 +91,20 @@ def take(rows: DataFrame, plan: DataFrame, source: str, doc_id: str, key: Column
     return out.drop(*own.values())
 
 
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight): good documents weigh 1, bad ones a quarter, unjudged ones a half."""
+    quality = F.col("quality")
+    return labels.select("doc_id", F.when(quality == 1, 1.0).when(quality == 0, 0.25).otherwise(0.5).alias("weight"))
+
+
+def _items(docs: DataFrame, weights: DataFrame, seed: int, other: float) -> DataFrame:
+    """(doc_id, source, tokens, key): one row for each document, without texts."""
+    weights = weights.groupBy(F.col("doc_id").alias("weight_id")).agg(F.min(F.coalesce("weight", F.lit(0.0))).alias("weight"))
+    counted = written(docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens")), "mix-tokens")
+    items = counted.join(weights, counted["doc_id"] == weights["weight_id"], "left").withColumn("weight", F.when(F.col("weight_id").isNull(), F.lit(other)).otherwise(F.col("weight")))
+    return written(items.select("doc_id", "source", "tokens", draw_key(F.col("doc_id"), F.col("weight"), seed).alias("key")), "mix-items")
+
+
 def sample_plan(docs: DataFrame, weights: DataFrame, targets: dict[str, float] | None = None, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, other: float = 0.5) -> DataFrame:
     """(doc_id, source, tokens, epoch): the mixture over all of ``docs``, without texts.
 
@@ -100,35 +114,21 @@ def sample_plan(docs: DataFrame, weights: DataFrame, targets: dict[str, float] |
     have no tokens. Rows with equal doc_id draw the same key and are taken together. No rows give no
     rows.
     """
-    weights = weights.groupBy(F.col("doc_id").alias("weight_id")).agg(F.min(F.coalesce("weight", F.lit(0.0))).alias("weight"))
-    counted = written(docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens")), "mix-tokens")
-    items = counted.join(weights, counted["doc_id"] == weights["weight_id"], "left").withColumn("weight", F.when(F.col("weight_id").isNull(), F.lit(other)).otherwise(F.col("weight")))
-    items = written(items.select("doc_id", "source", "tokens", draw_key(F.col("doc_id"), F.col("weight"), seed).alias("key")), "mix-items")
+    items = _items(docs, weights, seed, other)
     return take(items, source_plan(items, targets, budget, max_epochs), "source", "doc_id", F.col("key"), "epoch").select("doc_id", "source", "tokens", "epoch")
 
 
-def stratum_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(source, lang, weight): the share of good documents among those labelled, one added to either side."""
-    label = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"))
-    rows = docs.select("doc_id", "source", "lang").join(label, F.col("doc_id") == F.col("label_id"), "left")
-    return rows.groupBy("source", "lang").agg(((F.count_if(F.col("quality") == 1) + 1) / (F.count("quality") + 2)).alias("weight"))
-
-
-def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, other: float = 0.5) -> DataFrame:
     """``docs``, all columns, with documents repeated or left out so that sources meet their budgets.
 
-    A document weighs as its source and language do by :func:`stratum_weights`: so the texts are not
-    shuffled, only read twice. Nulls and repeated rows as in :func:`sample_plan`.
+    The selection is that of :func:`sample_plan` with :func:`quality_weights`. It is made without
+    texts and brought back to them by doc_id and source, so the texts are shuffled once.
     """
-    strata = written(stratum_weights(docs, labels), "mix-strata").select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("weight").alias("_w"))
-    own = {c: fresh_name(docs, c) for c in ("_s", "_l", "_w")}
-    strata = _small(strata.select(*(F.col(c).alias(n) for c, n in own.items())))
-
-    def weighed(df: DataFrame) -> DataFrame:
-        return df.join(strata, F.col("source").eqNullSafe(F.col(own["_s"])) & F.col("lang").eqNullSafe(F.col(own["_l"])))
-
-    key = draw_key(F.col("doc_id"), F.col(own["_w"]), seed)
-    narrow = weighed(docs.select("doc_id", "source", "lang", token_count(F.col("text")).alias("tokens")))
-    items = written(narrow.select("doc_id", "source", "tokens", key.alias("key")), "mix-items")
+    items = _items(docs, quality_weights(labels), seed, other)
+    plan = take(items, source_plan(items, targets, budget, max_epochs), "source", "doc_id", F.col("key"), "epoch")
+    own = {c: fresh_name(docs, c) for c in ("_id", "_source", "_times")}
+    times = plan.groupBy(F.col("doc_id").alias(own["_id"]), F.col("source").alias(own["_source"])).agg(F.max("epoch").alias(own["_times"]))
+    same = F.col("doc_id").eqNullSafe(F.col(own["_id"])) & F.col("source").eqNullSafe(F.col(own["_source"]))
     epoch = fresh_name(docs, "_epoch")
-    return take(weighed(docs), source_plan(items, targets, budget, max_epochs), "source", "doc_id", key, epoch).select(*docs.columns)
+    out = docs.join(times.hint("shuffle_hash"), same).withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(own["_times"]))))
+    return out.select(*docs.columns)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, packing, pii, puquality, rules, toolchat, topk, urlrules
 from paperloom.llm.linededup import MIN_CHARS, dedup_lines
@@ -37,9 +36,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all sources; labelled documents weigh 1 or a quarter, others a half."""
-    quality = F.col("quality")
-    weights = _table(spark, sf_dir, "labels").select("doc_id", F.when(quality == 1, 1.0).when(quality == 0, 0.25).otherwise(0.5).alias("weight"))
-    return mixing.sample_plan(_table(spark, sf_dir, "documents"), weights)
+    return mixing.sample_plan(_table(spark, sf_dir, "documents"), mixing.quality_weights(_table(spark, sf_dir, "labels")))
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

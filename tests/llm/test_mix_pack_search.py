@@ -47,6 +47,25 @@ def test_mix_equals_brute_force(spark):
     assert got == brute_mix(rows, weights, budget)
 
 
+def test_mixed_documents_are_drawn_by_their_own_weight(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(1, 60)), ["a", "b", None][i % 3] if i % 5 else "b", 1) for i in range(120)] + [(None, "x y", "a", 1), (7, "again " * 9, "c", 1), (201, "z " * 5000, "c", 1)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], DOCS + ", lang string")
+    quality = {i: [1, 0, None][int(rng.integers(0, 3))] for i in range(80)}
+    labels = spark.createDataFrame(list(quality.items()), "doc_id bigint, quality int")
+    weights = {i: {1: 1.0, 0: 0.25, None: 0.5}[q] for i, q in quality.items()}
+    totals = {s: sum(len(r[1].split()) for r in rows if r[2] == s) for s in {r[2] for r in rows}}
+    shares = sum(math.sqrt(t) for t in totals.values())
+    budget = {s: math.floor(sum(totals.values()) * math.sqrt(t) / shares) for s, t in totals.items()}
+    want = Counter()
+    for (i, source, _), n in brute_mix(rows, weights, budget).items():
+        want[i, source] += n
+    mixed = mixing.mix_documents(docs, labels)
+    assert mixed.columns == docs.columns
+    assert Counter((r.doc_id, r.source) for r in mixed.collect()) == want
+    assert {(r.doc_id, r.source, r.text) for r in mixed.collect()} <= {(r[0], r[2], r[1]) for r in rows}
+
+
 def test_mix_edges(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 1), (1, "a b", "s", 1), (2, "", "s", 1), (3, "c", None, 1)], DOCS)
     none = spark.createDataFrame([], "doc_id bigint, weight double")
