@@ -20,6 +20,7 @@ from paperloom.llm import scan
 from paperloom.session import fresh_name, written
 
 SEED = 42
+#: the cap in the SQL of op3; the operator has none unless it is given one
 MAX_EPOCHS = 4
 #: Below this many sources the plan is broadcast; above it the join is left to Spark.
 BROADCAST_SOURCES = 20000
@@ -46,12 +47,28 @@ def _small(df: DataFrame, rows: int = BROADCAST_SOURCES) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def source_plan(items: DataFrame, targets: dict[str, float] | None = None, budget: int | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def _capped(totals: DataFrame, max_epochs: int) -> DataFrame:
+    """``totals`` (source, total, share, size) with ``own``; each round fixes the sources that are full."""
+    most = F.col("total") * max_epochs
+    held, full = totals.withColumn("full", F.lit(False)), 0
+    while True:
+        left = held.groupBy().agg(F.sum(F.when(~F.col("full"), F.col("share"))).alias("shares"), F.sum(F.when(F.col("full"), most).otherwise(0)).alias("given"))
+        own = F.floor((F.col("size") - F.col("given")) * F.col("share") / F.col("shares"))
+        held = held.crossJoin(F.broadcast(left)).withColumn("own", F.when(F.col("full"), most).otherwise(F.least(own, most))).withColumn("full", F.col("full") | (own > most))  # one row
+        held = written(held.drop("shares", "given"), "mix-full")
+        now = held.where("full").count()
+        if now == full:
+            return held
+        held, full = held.drop("own"), now
+
+
+def source_plan(items: DataFrame, targets: dict[str, float] | None = None, budget: int | None = None, max_epochs: int | None = None) -> DataFrame:
     """(source, epochs, last_bucket, cut): how much of each source is taken.
 
     ``items`` has (doc_id, source, tokens, key). Without targets a source's weight is the square root
     of its tokens; given targets are scaled to sum to 1 and a source they don't name gets nothing.
-    Without a budget it is the tokens of all items. More than ``max_epochs`` epochs are never taken.
+    Without a budget it is the tokens of all items. With ``max_epochs`` no source gets more epochs than
+    that, and what it can't take goes to the other sources by their shares, until all fit or are full.
     """
     totals = items.groupBy("source").agg(F.sum("tokens").alias("total")).where("total > 0")
     if targets is None:
@@ -62,8 +79,10 @@ def source_plan(items: DataFrame, targets: dict[str, float] | None = None, budge
     all_ = totals.groupBy().agg(F.sum("share").alias("shares"), F.sum("total").alias("tokens"))
     size = F.lit(budget).cast("double") if budget is not None else F.col("tokens").cast("double")
     plan = totals.crossJoin(F.broadcast(all_)).withColumn("own", F.floor(size * F.col("share") / F.col("shares")))  # one row
-    plan = plan.withColumn("epochs", F.least(F.expr("own div total"), F.lit(max_epochs).cast("bigint")))
-    plan = written(plan.select("source", "epochs", F.when(F.col("epochs") < max_epochs, F.col("own") - F.col("epochs") * F.col("total")).otherwise(F.lit(0)).alias("rest")), "mix-plan")
+    if max_epochs is not None:
+        plan = _capped(totals.crossJoin(F.broadcast(all_.select(size.alias("size")))), max_epochs)
+    plan = plan.withColumn("epochs", F.expr("own div total"))
+    plan = written(plan.select("source", "epochs", (F.col("own") - F.col("epochs") * F.col("total")).alias("rest")), "mix-plan")
     keyed = items.where("key is not null").withColumn("bucket", _bucket(F.col("key")))
     counted = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens"))
     ran = counted.withColumn("before", F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket")) - F.col("tokens"))
@@ -105,7 +124,7 @@ def _items(docs: DataFrame, weights: DataFrame, seed: int, other: float) -> Data
     return written(items.select("doc_id", "source", "tokens", draw_key(F.col("doc_id"), F.col("weight"), seed).alias("key")), "mix-items")
 
 
-def sample_plan(docs: DataFrame, weights: DataFrame, targets: dict[str, float] | None = None, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, other: float = 0.5) -> DataFrame:
+def sample_plan(docs: DataFrame, weights: DataFrame, targets: dict[str, float] | None = None, budget: int | None = None, max_epochs: int | None = None, seed: int = SEED, other: float = 0.5) -> DataFrame:
     """(doc_id, source, tokens, epoch): the mixture over all of ``docs``, without texts.
 
     ``weights`` has (doc_id, weight); documents it doesn't name weigh ``other``, of several weights
@@ -118,7 +137,7 @@ def sample_plan(docs: DataFrame, weights: DataFrame, targets: dict[str, float] |
     return take(items, source_plan(items, targets, budget, max_epochs), "source", "doc_id", F.col("key"), "epoch").select("doc_id", "source", "tokens", "epoch")
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, other: float = 0.5) -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: int | None = None, max_epochs: int | None = None, seed: int = SEED, other: float = 0.5) -> DataFrame:
     """``docs``, all columns, with documents repeated or left out so that sources meet their budgets.
 
     The selection is that of :func:`sample_plan` with :func:`quality_weights`. It is made without

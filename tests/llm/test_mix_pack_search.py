@@ -66,6 +66,36 @@ def test_mixed_documents_are_drawn_by_their_own_weight(spark):
     assert {(r.doc_id, r.source, r.text) for r in mixed.collect()} <= {(r[0], r[2], r[1]) for r in rows}
 
 
+SKEWED = [(i, "w " * 40, f"s{i % 19}", 1) for i in range(950)] + [(2000 + i, "w " * 4, "tiny", 1) for i in range(10)]
+
+
+def test_skewed_sources_get_their_whole_targets(spark, monkeypatch):
+    docs = spark.createDataFrame(SKEWED, DOCS)
+    none = spark.createDataFrame([], "doc_id bigint, weight double")
+    totals = Counter()
+    for r in SKEWED:
+        totals[r[2]] += len(r[1].split())
+    shares = sum(math.sqrt(t) for t in totals.values())
+    budget = {s: math.floor(sum(totals.values()) * math.sqrt(t) / shares) for s, t in totals.items()}
+    assert budget["tiny"] > 6 * totals["tiny"]
+    rows = mixing.sample_plan(docs, none).collect()
+    got = Counter()
+    for r in rows:
+        got[r.source] += r.tokens
+    assert all(budget[s] - 40 < got[s] <= budget[s] for s in totals)
+    monkeypatch.setattr(mixing, "MAX_EPOCHS", 10**9)  # the cap of brute_mix
+    assert Counter((r.doc_id, r.source, r.epoch) for r in rows) == brute_mix(SKEWED, {}, budget)
+
+
+def test_a_given_cap_hands_the_rest_of_the_budget_on(spark):
+    docs = spark.createDataFrame(SKEWED, DOCS)
+    none = spark.createDataFrame([], "doc_id bigint, weight double")
+    got = Counter()
+    for r in mixing.sample_plan(docs, none, targets={"tiny": 1.0, "s0": 1.0}, budget=4000, max_epochs=2).collect():
+        got[r.source] += r.tokens
+    assert got == {"tiny": 2 * 40, "s0": 4000 - 80}
+
+
 def test_mix_edges(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 1), (1, "a b", "s", 1), (2, "", "s", 1), (3, "c", None, 1)], DOCS)
     none = spark.createDataFrame([], "doc_id bigint, weight double")
