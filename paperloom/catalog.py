@@ -363,9 +363,9 @@ def golden_qa(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Golden questions of the labelled documents."""
+    """Every golden question, ``unknown`` the grade of documents without a label."""
     labelled = readers.table(spark, d, "labels").select(F.col("doc_id").alias("expected_id"), F.col("quality").cast("string").alias("grade")).distinct()
-    gold = _golden(spark, d).join(labelled, "expected_id", "left_semi").select(F.col("expected_id").alias("query_id"), "expected_id", F.col("question").alias("text"))
+    gold = _golden(spark, d).select(F.col("expected_id").alias("query_id"), "expected_id", F.col("question").alias("text"))
     found = retrieval.outcomes(_searchable(spark, d), gold)
     return found.join(labelled, "expected_id", "left").withColumn("grade", F.coalesce("grade", F.lit("unknown")))
 
