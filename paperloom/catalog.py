@@ -611,7 +611,9 @@ def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("SELECT doc_id::VARCHAR AS key, strlen(text)::BIGINT AS size_bytes, md5(text) AS content_hash FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 0")
 def manifest_build(spark: SparkSession, d: str) -> DataFrame:
-    return _snapshots(spark, d)[0].select("key", "size_bytes", "content_hash")
+    docs = readers.table(spark, d, "documents").where("text is not null")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.lit(1.0).alias("mtime"))
+    return snapshots.manifest(files).select("key", "size_bytes", "content_hash")
 
 
 @query(f"WITH {_SNAP} SELECT key, change FROM diffs WHERE change IS NOT NULL")
