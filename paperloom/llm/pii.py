@@ -2,50 +2,57 @@
 
 Kinds are EMAIL, PHONE, IP, CARD and SECRET in begin/inside tags. The network is trained on labelled
 spans: windows of real text into which made-up items of each kind are set, together with decoys that
-look alike (dates, prices, versions, times, handles, plain numbers).
+look alike (dates, prices, versions, times, handles, plain numbers, long words, paths).
 
-Every kind holds a digit or an at sign, so the CRF admits only O in a window without one and such
-windows are not run: the result is that of running all. The other windows, 96 characters every
-48, are decoded by Viterbi's algorithm. Then spans are reconciled over the document: a character takes
+The network reads every character of every text, in windows of 384 characters every 288; equal windows
+of a batch are run once. Each window is decoded by Viterbi's algorithm. Where no tag but O can be on the
+best path (in every place the best other tag, with the dearest two transitions in its favour, still
+loses to O) that path is known without the search. Then spans are reconciled over the document: a character takes
 its tag from the window in which it lies nearest the middle; a span is widened to the whole run of
-characters that its kind can hold; it is dropped if it can't be of its kind (a card number must pass
-the Luhn check, an address's numbers must be under 256); and every other occurrence of a found text in
-the document gets the same kind.
+characters that its kind can hold and kept if the tags cover half of it; it is dropped if it can't be of
+its kind (a card number must pass the Luhn check, an address's numbers must be under 256, a secret has 16
+characters at least); and every other occurrence of a found text in the document gets the same kind.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import scan
+from paperloom.session import written
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW, STRIDE = 96, 48
-#: Documents that lend their text to the training windows, at most.
-CARRIER_DOCS = 400
-#: Characters that a training document lends at most; searching has no such bound.
-CARRIER_CHARS = 4000
-TRAINING_WINDOWS = 4800
-EPOCHS = 7
+WINDOW, STRIDE = 384, 288
+#: Length of the training windows.
+TRAIN_WINDOW = 160
+#: Documents that lend words to the training windows, and from how many places of its whole text each does, at most.
+CARRIER_DOCS, CARRIER_PLACES, CARRIER_WORDS = 400, 8, 40
+TRAINING_WINDOWS = 4000
+EPOCHS = 6
 _EMBED, _HIDDEN, _CHARS = 12, 20, 100
-_BATCH = 2048
-_ANCHOR = np.zeros(256, bool)
-_ANCHOR[list(b"0123456789@")] = True
+#: Window lengths are rounded up to a multiple of this, so that a window's padding depends on the window alone.
+_STEP = 64
+_BATCH, _SLICE_CHARS = 384, 1 << 24
 _FORBIDDEN = -1e4
+#: More than the prefix sums of a window can err.
+_ROUNDING = 0.05
+_CODE = np.concatenate([np.full(32, 96), np.arange(32, 127) - 31, [97]]).astype(np.uint8)
 
 
 def char_ids(text: str) -> np.ndarray:
     """One small number for each character: ASCII as it is, one for all others; 0 is padding."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(code < 32, 96, np.where(code < 127, code - 31, 97)).astype(np.int64)
+    return _CODE[np.minimum(code, 127)]
 
 
 def _allowed() -> np.ndarray:
@@ -61,20 +68,16 @@ _RULES = _allowed()
 _START = np.array([_FORBIDDEN if t.startswith("I-") else 0.0 for t in TAGS])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
-def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """States (T, B, H) over inputs (T, B, E), and what the gradient needs."""
-    t_max, n, h_size = x.shape[0], x.shape[1], wh.shape[0]
-    z = x @ wx + b
-    h, c = np.zeros((n, h_size), x.dtype), np.zeros((n, h_size), x.dtype)
-    out, kept = np.empty((t_max, n, h_size), x.dtype), []
-    for t in range(t_max):
+def _both_ways(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
+    """States (T, 2, B, H) over inputs (T, 2, B, E), direction 1 reversed in time, and what the gradient needs."""
+    h_size = wh.shape[1]
+    z = x @ wx + b[:, None]
+    h = np.zeros((*z.shape[1:3], h_size), x.dtype)
+    c, out, kept = np.zeros_like(h), np.empty((*z.shape[:3], h_size), x.dtype), []
+    for t in range(len(z)):
         a = z[t] + h @ wh
-        ifo, g = _sigmoid(a[:, : 3 * h_size]), np.tanh(a[:, 3 * h_size :])
-        i, f, o = ifo[:, :h_size], ifo[:, h_size : 2 * h_size], ifo[:, 2 * h_size :]
+        ifo, g = 0.5 * (1 + np.tanh(0.5 * a[..., : 3 * h_size])), np.tanh(a[..., 3 * h_size :])
+        i, f, o = ifo[..., :h_size], ifo[..., h_size : 2 * h_size], ifo[..., 2 * h_size :]
         before = c
         c = f * c + i * g
         tc = np.tanh(c)
@@ -84,95 +87,158 @@ def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple
     return out, kept
 
 
-def _lstm_back(dout: np.ndarray, x: np.ndarray, wx: np.ndarray, wh: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, h_size = dout.shape[1], wh.shape[0]
-    dh, dc = np.zeros((n, h_size), x.dtype), np.zeros((n, h_size), x.dtype)
-    dz, dwh = np.empty((*dout.shape[:2], 4 * h_size), x.dtype), np.zeros_like(wh)
+def _both_ways_back(dout: np.ndarray, x: np.ndarray, wx: np.ndarray, wh: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    dh, dc = np.zeros_like(dout[0]), np.zeros_like(dout[0])
+    dz, dwh, back = np.empty((*dout.shape[:3], 4 * dout.shape[3]), x.dtype), np.zeros_like(wh), wh.swapaxes(1, 2)
     for t in range(len(kept) - 1, -1, -1):
         i, f, o, g, before, tc, h = kept[t]
         dh = dh + dout[t]
         dc = dc + dh * o * (1 - tc * tc)
-        dz[t] = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
-        dwh += h.T @ dz[t]
-        dh, dc = dz[t] @ wh.T, dc * f
-    flat = dz.reshape(-1, 4 * h_size)
-    return (flat @ wx.T).reshape(x.shape), x.reshape(-1, x.shape[2]).T @ flat, dwh, flat.sum(0)
-
-
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
+        dz[t] = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], 2)
+        dwh += h.swapaxes(1, 2) @ dz[t]
+        dh, dc = dz[t] @ back, dc * f
+    dwx = np.stack([x[:, k].reshape(-1, x.shape[3]).T @ dz[:, k].reshape(-1, dz.shape[3]) for k in range(2)])
+    return dz @ wx.swapaxes(1, 2), dwx, dwh, dz.sum((0, 2))
 
 
 def crf_loss(emit: np.ndarray, move: np.ndarray, tags: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Mean negative log-likelihood over the batch and its gradients by emissions and transitions."""
     t_max, n, k = emit.shape
-    move = move + _RULES
-    alpha, beta = np.empty_like(emit), np.zeros_like(emit)
-    alpha[0] = emit[0] + _START
-    for t in range(1, t_max):
-        alpha[t] = emit[t] + _lse(alpha[t - 1][:, :, None] + move, 1)
+    top = emit.max(2, keepdims=True)
+    e, m = np.exp(emit - top), np.exp(move + _RULES)
+    alpha, beta, norm = np.empty_like(e), np.ones_like(e), np.empty((t_max, n, 1))
+    for t in range(t_max):
+        a = e[t] * ((alpha[t - 1] @ m) if t else np.exp(_START))
+        norm[t] = a.sum(1, keepdims=True)
+        alpha[t] = a / norm[t]
     for t in range(t_max - 2, -1, -1):
-        beta[t] = _lse(move + (emit[t + 1] + beta[t + 1])[:, None], 2)
-    z = _lse(alpha[-1], 1)
-    demit = np.exp(alpha + beta - z[None, :, None])
-    dmove = np.zeros((k, k))
-    for t in range(1, t_max):
-        dmove += np.exp(alpha[t - 1][:, :, None] + move + (emit[t] + beta[t])[:, None] - z[:, None, None]).sum(0)
+        beta[t] = ((e[t + 1] * beta[t + 1]) @ m.T) / norm[t + 1]
+    z = (np.log(norm) + top).sum((0, 2))
+    demit = alpha * beta
+    dmove = alpha[:-1].reshape(-1, k).T @ (e[1:] * beta[1:] / norm[1:]).reshape(-1, k) * m
     row = np.arange(n)
-    gold = _START[tags[0]] + emit[0, row, tags[0]]
-    for t in range(1, t_max):
-        gold = gold + move[tags[t - 1], tags[t]] + emit[t, row, tags[t]]
-    np.add.at(demit, (np.arange(t_max)[:, None], row[None], tags), -1)
+    place = np.arange(t_max)[:, None], row[None], tags
+    gold = _START[tags[0]] + emit[place].sum(0) + (move + _RULES)[tags[:-1], tags[1:]].sum(0)
+    np.add.at(demit, place, -1)
     np.add.at(dmove, (tags[:-1].ravel(), tags[1:].ravel()), -1)
     return float((z - gold).mean()), demit / n, dmove / n
 
 
 @dataclass
 class Tagger:
-    """Weights: embedding, two LSTMs (input, recurrent, bias each), output, bias, transitions."""
+    """Weights: embedding; input, recurrent and bias of both LSTMs, gates in the order input, forget, output, candidate; output, bias, transitions."""
 
     theta: list[np.ndarray]
 
     def emissions(self, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
         """(T, B, tags) of windows (B, T), and what the gradient needs."""
-        embed, wxf, whf, bf, wxb, whb, bb, w, b, _ = self.theta
-        x = embed[ids.T]
-        forward, kept_f = _lstm(x, wxf, whf, bf)
-        backward, kept_b = _lstm(x[::-1], wxb, whb, bb)
-        both = np.concatenate([forward, backward[::-1]], 2)
-        return both @ w + b, (x, both, kept_f, kept_b)
-
-    def tags(self, ids: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each window (B, T), by Viterbi's algorithm."""
-        emit, _ = self.emissions(ids)
-        move = (self.theta[-1] + _RULES).astype(emit.dtype)
+        embed, wx, wh, b, w, bias, _ = self.theta
+        turned = np.stack([ids.T, ids.T[::-1]], 1)
+        x = embed[turned]
+        states, kept = _both_ways(x, wx, wh, b)
+        both = np.concatenate([states[:, 0], states[::-1, 1]], 2)
+        return both @ w + bias, (turned, x, both, kept)
+
+    def __post_init__(self) -> None:
+        """What :meth:`advantage` runs on: sums of embedding and input weights by character, and halved
+        weights, because a sigmoid is ``(1 + tanh(x / 2)) / 2`` and the states are kept doubled."""
+        embed, wx, wh, b, w, bias, _ = self.theta
+        half = np.array([0.5, 0.5, 0.5, 1.0], wx.dtype)[:, None, None, None]
+        gates = lambda v: v.reshape(*v.shape[:-1], 4, _HIDDEN)
+        self._table = np.ascontiguousarray(np.moveaxis(gates(embed @ wx + b[:, None]), 2, 0) * half).reshape(-1, _HIDDEN)
+        self._held = np.empty(0, self._table.dtype)
+        self._recur = np.ascontiguousarray(np.moveaxis(gates(wh), 2, 0) * half * 0.5)
+        self._out = np.ascontiguousarray((w[:, 1:] - w[:, :1]).reshape(2, _HIDDEN, -1).swapaxes(1, 2) * 0.5)
+        self._bias = (bias[1:] - bias[0])[:, None]
+
+    def advantage(self, ids: np.ndarray) -> np.ndarray:
+        """(tags but O, T, B): how far the emission of each tag is above that of O."""
+        n, t_max = ids.shape
+        kind = self._table.dtype
+        size = 2 * t_max * n * _HIDDEN
+        if len(self._held) < size:  # kept for the next batch: fresh pages would cost as much as the sums
+            self._held = np.empty(size, kind)
+        states = self._held[:size].reshape(2, t_max, n, _HIDDEN)
+        ways = np.stack([ids.T, ids.T[::-1]], 1).astype(np.intp)
+        first = (np.arange(8) * _CHARS).reshape(4, 2, 1)
+        at = np.empty((4, 2, n), np.intp)
+        a, r = np.empty((2, 4, 2, n, _HIDDEN), kind)
+        c, u, h = np.zeros((3, 2, n, _HIDDEN), kind)
+        for t in range(t_max):
+            np.add(ways[t], first, out=at)
+            self._table.take(at, axis=0, out=a, mode="clip")
+            np.matmul(h, self._recur, out=r)
+            np.add(a, r, out=a)
+            np.tanh(a, out=a)
+            np.multiply(a[1], c, out=u)
+            np.add(c, u, out=c)
+            np.multiply(a[0], a[3], out=u)
+            np.add(c, u, out=c)
+            np.add(c, a[3], out=c)
+            np.multiply(c, kind.type(0.5), out=c)
+            np.tanh(c, out=u)
+            np.multiply(a[2], u, out=h)
+            np.add(h, u, out=h)
+            states[0, t], states[1, t_max - 1 - t] = h
+        flat = states.reshape(2, -1, _HIDDEN)
+        return (self._out[0] @ flat[0].T + self._out[1] @ flat[1].T + self._bias).reshape(-1, t_max, n)
+
+    def tags(self, ids: np.ndarray, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, their best tag sequences) of windows (B, T); rows that aren't named are O throughout.
+
+        A path that leaves O is made of runs of one kind. What a run can gain over O is at most the
+        advantage of the tag that begins it with the best transition into it, those of its inside
+        tags with the best transition within, and the best transition out of it; where no run
+        can gain, which prefix sums tell, the path O throughout is the best. Without ``prune`` all rows are
+        searched and named.
+        """
+        ahead = self.advantage(ids)
+        move = self.theta[-1] - self.theta[-1][0, 0]
+        if prune:
+            best_of = lambda v: v.max(0)[:, None, None].astype(ahead.dtype)
+            begin = ahead[0::2] + best_of(move[:, 1::2])
+            inside = np.cumsum(ahead[1::2] + best_of(np.where(_RULES == 0, move, _FORBIDDEN)[:, 2::2]), axis=1)
+            gain = inside - np.minimum.accumulate(inside - begin, axis=1)
+            rows = np.flatnonzero((gain > -max(0.0, float(move[1:, 0].max())) - _ROUNDING).any((0, 1)))
+        else:
+            rows = np.arange(len(ids))
+        emit = np.concatenate([np.zeros((1, ids.shape[1], len(rows)), ahead.dtype), ahead[:, :, rows]]).transpose(1, 2, 0)
+        move = (move + _RULES).astype(emit.dtype)
         best, back = emit[0] + _START.astype(emit.dtype), []
         for t in range(1, len(emit)):
             way = best[:, :, None] + move
-            back.append(way.argmax(1))
-            best = emit[t] + np.take_along_axis(way, back[-1][:, None], 1)[:, 0]
-        out = np.empty(ids.shape, np.int64)
+            back.append(way.argmax(1).astype(np.uint8))
+            best = emit[t] + way.max(1)
+        out = np.empty((len(rows), ids.shape[1]), np.uint8)
         out[:, -1] = best.argmax(1)
         for t in range(len(emit) - 2, -1, -1):
             out[:, t] = np.take_along_axis(back[t], out[:, t + 1, None], 1)[:, 0]
-        return out
+        return rows, out
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the weights as a table of one row."""
+        held = io.BytesIO()
+        np.savez(held, *self.theta)
+        spark.createDataFrame([(bytearray(held.getvalue()),)], "weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Tagger:
+        """A tagger from what :meth:`save` wrote."""
+        held = np.load(io.BytesIO(bytes(spark.read.parquet(path).first().weights)))
+        return cls([held[f"arr_{k}"] for k in range(len(held.files))])
 
 
 def train(windows: np.ndarray, tags: np.ndarray, seed: int = 0, epochs: int = EPOCHS) -> Tagger:
-    """A tagger from windows of character ids (N, WINDOW) and their tags."""
+    """A tagger from windows of character ids (N, T) and their tags."""
     rng = np.random.default_rng(seed)
     k, kind = len(TAGS), np.float32
 
     def weights(*shape: int) -> np.ndarray:
-        return rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(kind)
-
-    def bias() -> np.ndarray:
-        out = np.zeros(4 * _HIDDEN, kind)
-        out[_HIDDEN : 2 * _HIDDEN] = 1  # forget gates start open
-        return out
+        return rng.normal(0, 1 / np.sqrt(shape[-2]), shape).astype(kind)
 
-    theta = [rng.normal(0, 0.5, (_CHARS, _EMBED)).astype(kind), weights(_EMBED, 4 * _HIDDEN), weights(_HIDDEN, 4 * _HIDDEN), bias(), weights(_EMBED, 4 * _HIDDEN), weights(_HIDDEN, 4 * _HIDDEN), bias(), weights(2 * _HIDDEN, k), np.zeros(k, kind), np.zeros((k, k), kind)]
+    bias = np.zeros((2, 4 * _HIDDEN), kind)
+    bias[:, _HIDDEN : 2 * _HIDDEN] = 1  # forget gates start open
+    theta = [rng.normal(0, 0.5, (_CHARS, _EMBED)).astype(kind), weights(2, _EMBED, 4 * _HIDDEN), weights(2, _HIDDEN, 4 * _HIDDEN), bias, weights(2 * _HIDDEN, k), np.zeros(k, kind), np.zeros((k, k), kind)]
     model, first, second = Tagger(theta), [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     step, size = 0, 48
     total = epochs * max(1, len(windows) // size)
@@ -181,23 +247,20 @@ def train(windows: np.ndarray, tags: np.ndarray, seed: int = 0, epochs: int = EP
         for i in range(0, len(order), size):
             step += 1
             ids, gold = windows[order[i : i + size]], tags[order[i : i + size]].T
-            emit, (x, both, kept_f, kept_b) = model.emissions(ids)
-            _, demit, dmove = crf_loss(emit.astype(np.float64), theta[9].astype(np.float64), gold)
+            emit, (turned, x, both, kept) = model.emissions(ids)
+            _, demit, dmove = crf_loss(emit.astype(np.float64), theta[6].astype(np.float64), gold)
             demit = demit.astype(kind)
-            flat, dflat = both.reshape(-1, 2 * _HIDDEN), demit.reshape(-1, k)
-            dboth = demit @ theta[7].T
-            dx_f, dwx_f, dwh_f, db_f = _lstm_back(dboth[..., :_HIDDEN], x, theta[1], theta[2], kept_f)
-            dx_b, dwx_b, dwh_b, db_b = _lstm_back(dboth[::-1, :, _HIDDEN:], x[::-1], theta[4], theta[5], kept_b)
-            dembed = np.zeros_like(theta[0])
-            np.add.at(dembed, ids.T, dx_f + dx_b[::-1])
-            grads = [dembed, dwx_f, dwh_f, db_f, dwx_b, dwh_b, db_b, flat.T @ dflat, dflat.sum(0), dmove.astype(kind)]
+            dboth = demit @ theta[4].T
+            dx, dwx, dwh, db = _both_ways_back(np.stack([dboth[..., :_HIDDEN], dboth[::-1, :, _HIDDEN:]], 1), x, theta[1], theta[2], kept)
+            dembed = np.stack([np.bincount(turned.ravel(), weights=dx[..., e].ravel(), minlength=_CHARS) for e in range(_EMBED)], 1).astype(kind)
+            grads = [dembed, dwx, dwh, db, both.reshape(-1, 2 * _HIDDEN).T @ demit.reshape(-1, k), demit.sum((0, 1)), dmove.astype(kind)]
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             rate = 0.015 * min(1, 5 / (norm + 1e-9)) * (1 - 0.9 * step / (total + 1))
             for j, g in enumerate(grads):
                 first[j] = 0.9 * first[j] + 0.1 * g
                 second[j] = 0.99 * second[j] + 0.01 * g * g
                 theta[j] -= (rate * (first[j] / (1 - 0.9**step)) / (np.sqrt(second[j] / (1 - 0.99**step)) + 1e-8)).astype(kind)
-    return model
+    return Tagger(theta)
 
 
 def luhn(digits: str) -> bool:
@@ -241,7 +304,7 @@ def _settled(text: str, kind: str, start: int, end: int) -> list[tuple[int, int]
     elif kind == "PHONE":
         hits = [m for m in _PHONE.finditer(own) if 7 <= len(number(m)) <= 15]
     else:
-        hits = [m for m in _SECRET.finditer(own) if re.search(r"\d", m.group()) and re.search(r"[A-Za-z]", m.group())]
+        hits = list(_SECRET.finditer(own))
     return [(start + m.start(), start + m.end()) for m in hits]
 
 
@@ -257,7 +320,7 @@ def reconcile(text: str, tag: np.ndarray) -> list[tuple[int, int, str]]:
         j = i + 1
         while j < len(tag) and TAGS[tag[j]] == f"I-{kind}":
             j += 1
-        found += [(*span, kind) for span in _settled(text, kind, i, j)]
+        found += [(s, e, kind) for s, e in _settled(text, kind, i, j) if 2 * (min(e, j) - max(s, i)) >= e - s]
         i = j
     for surface, kind in {(text[s:e], k) for s, e, k in found}:
         at = text.find(surface)
@@ -273,35 +336,43 @@ def reconcile(text: str, tag: np.ndarray) -> list[tuple[int, int, str]]:
     return out
 
 
-def spans(model: Tagger, texts: list[str], gate: bool = True) -> list[list[tuple[int, int, str]]]:
-    """The spans of whole texts. Without ``gate`` windows that can hold no span are run as well."""
-    where, rows = [], []
-    codes = [char_ids(t) for t in texts]
-    for d, ids in enumerate(codes):
-        anchor = ((ids >= 17) & (ids <= 26)) | (ids == 33)
-        padded = np.zeros(max(1, -(-len(ids) // STRIDE)) * STRIDE + STRIDE, np.int64)
-        padded[: len(ids)] = ids
-        live = np.zeros(len(padded) // STRIDE + 1, bool)
-        live[np.flatnonzero(anchor) // STRIDE] = True
-        for k in range(len(padded) // STRIDE - 1):
-            if live[k] or live[k + 1] or not gate:
-                where.append((d, k * STRIDE, live[k] or live[k + 1]))
-                rows.append(padded[k * STRIDE : k * STRIDE + WINDOW])
-    tags = [np.zeros(len(c), np.int64) for c in codes]
-    sure = [np.full(len(c), -1, np.int64) for c in codes]
-    depth = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))
-    for i in range(0, len(rows), _BATCH):
-        for (d, at, can), best in zip(where[i : i + _BATCH], model.tags(np.stack(rows[i : i + _BATCH])), strict=True):
-            if not can:
-                continue
-            n = min(WINDOW, len(tags[d]) - at)
-            own = depth[:n].copy()
-            if at == 0:
-                own[:STRIDE] = WINDOW
-            better = own > sure[d][at : at + n]
-            tags[d][at : at + n][better] = best[:n][better]
-            sure[d][at : at + n][better] = own[better]
-    return [reconcile(t, g) for t, g in zip(texts, tags, strict=True)]
+def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, length) of the windows that cover texts of these lengths."""
+    count = np.where(lengths > 0, np.maximum(0, -(-(lengths - WINDOW) // STRIDE)) + 1, 0)
+    text = np.repeat(np.arange(len(lengths)), count)
+    start = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+    return text, start, np.minimum(WINDOW, lengths[text] - start)
+
+
+def spans(model: Tagger, texts: list[str], prune: bool = True) -> list[list[tuple[int, int, str]]]:
+    """The spans of whole texts; ``prune`` is that of :meth:`Tagger.tags` and changes no result."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    codes = np.concatenate([char_ids("".join(texts)), np.zeros(WINDOW, np.uint8)])
+    base = np.cumsum(lengths) - lengths
+    text, start, length = windows_of(lengths)
+    tag = np.zeros(len(codes), np.uint8)
+    last = np.append(text[1:] != text[:-1], True) if len(text) else np.zeros(0, bool)
+    margin = (WINDOW - STRIDE) // 2
+    padded = -(-length // _STEP) * _STEP
+    for size in np.unique(padded):
+        own = np.flatnonzero(padded == size)
+        at = np.arange(size)
+        ids = codes[(base[text[own]] + start[own])[:, None] + at] * (at < length[own][:, None])
+        ids, which = np.unique(np.ascontiguousarray(ids).view(f"V{size}").ravel(), return_inverse=True)
+        ids = ids.view(np.uint8).reshape(-1, size)
+        order = np.argsort(which, kind="stable")
+        first = np.searchsorted(which[order], np.arange(len(ids) + 1))
+        for i in range(0, len(ids), _BATCH):
+            rows, best = model.tags(ids[i : i + _BATCH], prune)
+            for row, found in zip(rows, best, strict=True):
+                if not found.any():
+                    continue
+                for k in own[order[first[i + row] : first[i + row + 1]]]:
+                    a, b = margin if start[k] else 0, length[k] if last[k] else STRIDE + margin
+                    to = base[text[k]] + start[k]
+                    tag[to + a : to + b] = found[a:b]
+    hit = np.add.reduceat(np.append(tag > 0, False), np.append(base, len(tag)))[:-1] * (lengths > 0) if len(texts) else []
+    return [reconcile(t, tag[b : b + n]) if h else [] for t, b, n, h in zip(texts, base, lengths, hit, strict=True)]
 
 
 def _item(rng: np.random.Generator, kind: str) -> tuple[str, str, str]:
@@ -321,12 +392,17 @@ def _item(rng: np.random.Generator, kind: str) -> tuple[str, str, str]:
         n = pick("4", "5", "9", "3", "") + digits(15)
         n = n[:16] if len(n) >= 16 else n + digits(16 - len(n))
         return "", n if rng.random() < 0.8 else pick(" ", "-").join(n[i : i + 4] for i in range(0, 16, 4)), ""
-    body = "".join(rng.choice(list("0123456789abcdef"), int(rng.choice([32, 40, 40, 40, 64])))) if rng.random() < 0.7 else "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), int(rng.integers(24, 44))))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    way = rng.random()
+    body = "".join(rng.choice(list("0123456789abcdef"), int(rng.choice([32, 40, 40, 40, 64])))) if way < 0.6 else "".join(rng.choice(list(letters + "0123456789" * (way < 0.8)), int(rng.integers(24, 44))))
     quote = pick('"', '"', "'", "")
     return pick("token = ", "token = ", "key: ", "secret=", "password = ", "api_key = ") + quote, body, quote
 
 
-def _decoy(rng: np.random.Generator) -> str:
+def _decoy(rng: np.random.Generator, words: list[str]) -> str:
+    if rng.random() < 0.3:  # what has the length of a secret and is none
+        some = [re.sub(r"\W", "", str(w)) for w in (words[i] for i in rng.integers(0, len(words), int(rng.integers(2, 6))))]
+        return str(rng.choice(["", "", "_", "-", "/", "."])).join(some)
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     return str(rng.choice([digits(4), digits(2), f"{digits(1)}.{digits(2)}", f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f"{digits(2)}:{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", f"${digits(3)}.{digits(2)}", f"#{digits(5)}", "@name", "@", f"{digits(3)}%", "x" + digits(3), digits(6), f"{digits(1)},{digits(3)}", f"1{digits(3)}"]))
 
@@ -335,12 +411,12 @@ def labelled_windows(carriers: list[str], n: int, seed: int) -> tuple[np.ndarray
     """``n`` windows with their tags: pieces of the carriers with items and decoys set between words."""
     rng = np.random.default_rng(seed)
     words = [w for t in carriers for w in t.split() if not re.search(r"[0-9@]", w)] or ["a", "text", "of", "words"]
-    ids, tags = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
+    ids, tags = np.zeros((n, TRAIN_WINDOW), np.uint8), np.zeros((n, TRAIN_WINDOW), np.int64)
     for k in range(n):
         start = int(rng.integers(0, len(words)))
         mode = rng.random()
         parts: list[tuple[str, str]] = []
-        for w in [words[(start + j) % len(words)] for j in range(30)]:
+        for w in [words[(start + j) % len(words)] for j in range(40)]:
             chance = rng.random()
             if chance < 0.16:
                 kind = str(rng.choice(KINDS))
@@ -352,7 +428,7 @@ def labelled_windows(carriers: list[str], n: int, seed: int) -> tuple[np.ndarray
                     parts.append((after, ""))
                 parts.append((str(rng.choice([" ", " ", " ", ". ", ", ", "\n", "!! ", "%%% ", "### ", "*** ", " | "])), ""))
             elif chance < 0.24:
-                parts.append((_decoy(rng) + " ", ""))
+                parts.append((_decoy(rng, words) + " ", ""))
             parts.append((w + (str(rng.choice(["!!", "%%%", "***", "$$$"])) if mode < 0.1 else "") + (" | " if mode > 0.95 else " "), ""))
         text = "".join(p for p, _ in parts)
         tag = np.zeros(len(text), np.int64)
@@ -365,20 +441,38 @@ def labelled_windows(carriers: list[str], n: int, seed: int) -> tuple[np.ndarray
         if mode < 0.08:
             up = text.upper()
             text = up if len(up) == len(text) else text
-        cut = int(rng.integers(0, max(1, min(120, len(text) - WINDOW)))) if rng.random() < 0.9 else 0
-        own, own_tag = char_ids(text)[cut : cut + WINDOW], tag[cut : cut + WINDOW].copy()
+        cut = int(rng.integers(0, max(1, min(120, len(text) - TRAIN_WINDOW)))) if rng.random() < 0.9 else 0
+        own, own_tag = char_ids(text)[cut : cut + TRAIN_WINDOW], tag[cut : cut + TRAIN_WINDOW].copy()
         inside = own_tag[0] > 0 and own_tag[0] % 2 == 0
         if inside:  # a window that begins within an item begins one
             own_tag[0] -= 1
+        if rng.random() < 0.25:  # a text that ends in the window
+            end = int(rng.integers(1, TRAIN_WINDOW))
+            own, own_tag = own[:end], own_tag[:end]
         ids[k, : len(own)], tags[k, : len(own)] = own, own_tag
     return ids, tags
 
 
+def _lent(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        out = []
+        for h, t in zip(batch["h"], batch["t"], strict=True):
+            words, rng = t.split(), np.random.default_rng(h & 0x7FFFFFFF)
+            starts = rng.integers(0, max(1, len(words)), CARRIER_PLACES) if len(words) > CARRIER_PLACES * CARRIER_WORDS else range(0, len(words), CARRIER_WORDS)
+            out.append((h, " ".join(w for s in starts for w in words[s : s + CARRIER_WORDS])))
+        yield pd.DataFrame(out, columns=["h", "t"])
+
+
 def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carriers: int = CARRIER_DOCS, windows: int = TRAINING_WINDOWS, seed: int = 0) -> Tagger:
-    """A tagger whose training windows borrow the words of at most ``carriers`` documents, CARRIER_CHARS of each."""
-    chosen = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(carriers).distinct()
-    texts = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t")).join(F.broadcast(chosen.select("h").distinct()), "h")  # carriers rows at most
-    rows = texts.orderBy("h", "t").limit(carriers).select(F.substring("t", 1, CARRIER_CHARS).alias("t")).collect()
+    """A tagger whose training windows borrow the words of at most ``carriers`` documents, those of least id hash.
+
+    A document lends at most CARRIER_PLACES runs of CARRIER_WORDS words, from places all over its text.
+    No documents, or texts without words, leave the network with items between a few stock words.
+    """
+    chosen = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h")).distinct().orderBy("h").limit(carriers)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "h")  # carriers rows at most
+    lent = texts.mapInPandas(_lent, "h bigint, t string").groupBy("h").agg(F.min("t").alias("t"))
+    rows = sorted(written(lent, "pii-carriers").collect())  # one bounded row for each carrier
     return train(*labelled_windows([r.t for r in rows], windows, seed), seed)
 
 
@@ -386,16 +480,16 @@ def _find(model: Tagger):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            data, offsets = scan.string_buffers(texts)
-            count = np.concatenate([[0], np.cumsum(_ANCHOR[data])])
-            rows = np.flatnonzero(count[offsets[1:]] > count[offsets[:-1]])
-            for i in range(0, len(rows), 256):
-                own = rows[i : i + 256]
-                found = spans(model, texts.take(pa.array(own)).to_pylist())
-                flat = [(r, *s) for r, ss in zip(own, found, strict=True) for s in ss]
+            _, offsets = scan.string_buffers(texts)
+            i = 0
+            while i < len(texts):
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _SLICE_CHARS, side="right")) - 1)
+                found = spans(model, [t or "" for t in texts.slice(i, j - i).to_pylist()])
+                flat = [(r, *s) for r, ss in enumerate(found, i) for s in ss]
                 at = pa.array([f[0] for f in flat], pa.int64())
                 cols = [batch.column(0).take(at), *(pa.array([f[c] for f in flat], t) for c, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string())))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "kind"])
+                i = j
 
     return run
 
@@ -404,7 +498,8 @@ def find_private(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_co
     """(doc_id, start, end, kind): every span of personal data, in characters from 0, end exclusive.
 
     Whole texts are searched, however long. Null and empty texts have no spans; repeated rows give
-    repeated spans; a null doc_id is carried along. Other columns are not looked at.
+    repeated spans; a null doc_id is carried along; of spans that overlap the first counts, then the
+    longest. Other columns, whatever their names, are not looked at. No rows give no rows.
     """
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_find(model), f"doc_id {kind}, start int, end int, kind string")

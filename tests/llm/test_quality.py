@@ -129,6 +129,43 @@ def test_held_out_spans(tagger):
     assert hits / sum(map(len, found)) > 0.85
 
 
+#: formats that the training generator does not make
+FOREIGN = [
+    ("write to j.r.r_tolkien99@sub-domain.archive.museum today", "EMAIL"),
+    ("the Office: +44 20 7946 0958, ask", "PHONE"),
+    ("ring 555-867-5309 or", "PHONE"),
+    ("the host 10.0.0.138, which", "IP"),
+    ("paid by 4111-1111-1111-1111 in", "CARD"),
+    ("export token='ZmFrZVNlY3JldFZhbHVlRm9yVGVzdGluZ09ubHlYWVo'", "SECRET"),
+    ('token = "abcdefghijABCDEFGHIJqrstuvwxyzQRST" and', "SECRET"),
+]
+
+
+def test_foreign_formats(tagger):
+    rng = np.random.default_rng(8)
+    texts = [good(rng) + " " + t + " " + good(rng) for t, _ in FOREIGN]
+    found = [{k for _, _, k in s} for s in pii.spans(tagger, texts)]
+    assert sum(k in f for f, (_, k) in zip(found, FOREIGN, strict=True)) >= 6
+    plain = [good(rng) for _ in range(300)] + ["the extraordinarily-long-hyphenated-compound and some_long_identifier_name of stone"]
+    assert sum(map(len, pii.spans(tagger, plain))) <= 1
+
+
+def test_tagger_alone(tagger):
+    """Precision and recall of the decoded tags themselves, character by character, before spans are settled."""
+    hit = told = there = 0
+    for text, want in planted(78):
+        gold = np.zeros(len(text), bool)
+        for s, e, _ in want:
+            gold[s:e] = True
+        tag = np.zeros(len(text), bool)
+        for k in range(0, len(text), pii.WINDOW):
+            rows, best = tagger.tags(pii.char_ids(text[k : k + pii.WINDOW])[None])
+            for b in best:
+                tag[k : k + len(b)] = b > 0
+        hit, told, there = hit + (tag & gold).sum(), told + tag.sum(), there + gold.sum()
+    assert hit / told > 0.85 and hit / there > 0.85
+
+
 def test_private_edges(spark, tagger):
     text, want = "address 192.168.10.77 answered", (8, 21, "IP")
     rows = [(0, text), (0, text), (None, text), (10, None), (11, ""), (12, "stone " * 30000 + text), (13, "nothing here but words")]
@@ -139,7 +176,44 @@ def test_private_edges(spark, tagger):
     assert pii.find_private(docs.limit(0), tagger).count() == 0
 
 
-def test_windows_that_are_skipped_hold_nothing(tagger):
-    rng = np.random.default_rng(5)
-    texts = [good(rng) + " a@b.example.com " + good(rng) for _ in range(5)]
-    assert pii.spans(tagger, texts) == pii.spans(tagger, texts, gate=False)
+def test_pruned_search_is_the_whole_search(tagger):
+    texts = [t for t, _ in planted(5, 20)] + [good(np.random.default_rng(k)) for k in range(60)] + ["9" * 1000, "", "@"]
+    assert pii.spans(tagger, texts) == pii.spans(tagger, texts, prune=False)
+    ids = np.stack([pii.char_ids(t.ljust(pii.WINDOW)[: pii.WINDOW]) for t in texts])
+    rows, best = tagger.tags(ids)
+    every, whole = tagger.tags(ids, prune=False)
+    assert (np.delete(whole, rows, 0) == 0).all() and (whole[rows] == best).all() and len(rows) < len(every)
+
+
+def test_fast_pass_is_the_network(tagger):
+    ids = np.random.default_rng(0).integers(0, 98, (5, 64)).astype(np.uint8)
+    emit, _ = tagger.emissions(ids)
+    assert np.allclose(np.moveaxis(emit[..., 1:] - emit[..., :1], 2, 0), tagger.advantage(ids), atol=1e-3)
+
+
+def test_windows_cover_every_character():
+    lengths = np.array([0, 1, pii.WINDOW, pii.WINDOW + 1, 5000])
+    text, start, length = pii.windows_of(lengths)
+    for k, n in enumerate(lengths):
+        seen = np.zeros(n, bool)
+        for a, m in zip(start[text == k], length[text == k], strict=True):
+            seen[a : a + m] = True
+        assert seen.all() and (text == k).any() == (n > 0)
+
+
+def test_weights_are_saved(spark, tagger, tmp_path):
+    tagger.save(spark, f"{tmp_path}/weights")
+    again = pii.Tagger.load(spark, f"{tmp_path}/weights")
+    assert all((a == b).all() for a, b in zip(tagger.theta, again.theta, strict=True))
+
+
+def test_training_lends_from_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "first " * 3000 + "last " * 3000), (1, "again"), (2, None), (3, " ")], "doc_id bigint, text string")
+    seen = []
+    real, pii.train = pii.train, lambda *a: seen.append(a)
+    try:
+        pii.train_on(docs, windows=10)
+        pii.train_on(docs.limit(0), windows=10)
+    finally:
+        pii.train = real
+    assert len(seen) == 2 and seen[0][0].shape == (10, pii.TRAIN_WINDOW)
