@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, packing, pii, puquality, rules, toolchat, topk, urlrules
 from paperloom.llm.linededup import MIN_CHARS, dedup_lines
@@ -29,9 +30,37 @@ TOOLS = {
 }
 
 
+def tool_turns(conversations: DataFrame) -> DataFrame:
+    """The conversations with tool calls and results made from their messages.
+
+    After each user's message at turn t the assistant makes two calls, the second of which must come first:
+    ``b<t>`` searches, within a limit that depends on the message, for the result of ``a<t>``, which
+    fetches an address, or, at every third turn, calculates, with its arguments as JSON text. Each of the
+    assistant's messages is also given as the results of the calls of the turn before: two tool
+    messages, of which one has an object as content. So some arguments break their schema, calls that
+    no message follows have no result, and results after a turn without calls are unmatched.
+    """
+    turn, size = F.col("turn").cast("string"), F.length("text")
+    name = lambda letter, at: F.concat(F.lit(letter), at)
+    user = conversations.where("role = 'user' and text is not null and turn is not null")
+    address = F.concat(F.when(size % 5 > 0, F.lit("https://site.example/")).otherwise(F.lit("ftp://site.example/")), F.col("conv_id").cast("string"), F.lit("/"), turn)
+    sums = F.col("turn") % 3 == 2
+    arguments_b = F.to_json(F.struct((size % 120).alias("limit"), F.concat(F.lit("$"), name("a", turn)).alias("query")))
+    arguments_a = F.when(sums, F.to_json(F.struct(F.to_json(F.struct(F.col("turn").alias("precision"), F.concat(size.cast("string"), F.lit(" * 2")).alias("expression"))).alias("x")))).otherwise(F.to_json(F.struct(address.alias("x"))))
+    inner = F.when(sums, F.regexp_extract(arguments_a, r'^\{"x":(.*)\}$', 1)).otherwise(F.concat(F.lit('{"url":'), F.regexp_extract(arguments_a, r'^\{"x":(.*)\}$', 1), F.lit("}")))
+    tool = F.when(sums, "calculate").otherwise("fetch")
+    call = F.format_string('{"tool_calls":[{"id":"%s","name":"search","arguments":%s,"depends_on":["%s"]},{"id":"%s","name":"%s","arguments":%s}]}', name("b", turn), arguments_b, name("a", turn), name("a", turn), tool, inner)
+    answer = conversations.where("role = 'assistant' and text is not null and turn is not null")
+    before = (F.col("turn") - 1).cast("string")
+    results = F.explode(F.array(F.to_json(F.struct(name("a", before).alias("tool_call_id"), F.struct("text", size.alias("length")).alias("content"))), F.to_json(F.struct(name("b", before).alias("tool_call_id"), size.alias("content")))))
+    keep = conversations.select("conv_id", "turn", "role", "text")
+    calls = user.select("conv_id", "turn", F.lit("assistant").alias("role"), call.alias("text"))
+    return keep.unionAll(calls).unionAll(answer.select("conv_id", "turn", F.lit("tool").alias("role"), results.alias("text")))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as canonical JSON with its tool calls linked."""
-    return toolchat.link_tool_calls(_table(spark, sf_dir, "conversations"), TOOLS)
+    """Every conversation, with the calls of :func:`tool_turns`, as canonical JSON with its tool calls linked."""
+    return toolchat.link_tool_calls(tool_turns(_table(spark, sf_dir, "conversations")), TOOLS)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +157,39 @@ def _sql_path(url: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": """
+        WITH c AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+        calls AS (
+            SELECT u.conv_id, u.turn, x.first,
+                   CASE WHEN x.first AND u.turn % 3 = 2 THEN '{"expression":"' || length(u.text) || ' * 2","precision":' || u.turn || '}'
+                        WHEN x.first THEN '{"url":"' || CASE WHEN length(u.text) % 5 > 0 THEN 'https' ELSE 'ftp' END || '://site.example/' || u.conv_id || '/' || u.turn || '"}'
+                        ELSE '{"limit":' || length(u.text) % 120 || ',"query":"$a' || u.turn || '"}' END AS arguments,
+                   CASE WHEN x.first AND u.turn % 3 <> 2 AND length(u.text) % 5 = 0 THEN '"$.url: pattern"'
+                        WHEN NOT x.first AND length(u.text) % 120 < 1 THEN '"$.limit: minimum"' WHEN NOT x.first AND length(u.text) % 120 > 100 THEN '"$.limit: maximum"' END AS broken,
+                   CASE WHEN NOT x.first THEN 'search' WHEN u.turn % 3 = 2 THEN 'calculate' ELSE 'fetch' END AS name,
+                   CASE WHEN r.text IS NULL THEN NULL WHEN x.first THEN '{"length":' || length(r.text) || ',"text":' || to_json(r.text)::VARCHAR || '}' ELSE length(r.text)::VARCHAR END AS result
+            FROM c u CROSS JOIN (VALUES (true), (false)) x(first) LEFT JOIN c r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1 AND r.role = 'assistant'
+            WHERE u.role = 'user'
+        ), called AS (
+            SELECT conv_id, count(*) AS n_calls, count(result) AS n_linked, count_if(broken IS NULL AND result IS NOT NULL)::BIGINT AS n_valid,
+                   string_agg('{"arguments":' || arguments || ',"errors":[' || concat_ws(',', broken, CASE WHEN result IS NULL THEN '"result: missing"' END) || '],"id":"' || CASE WHEN first THEN 'a' ELSE 'b' END || turn
+                              || '","name":"' || name || '","result":' || coalesce(result, 'null') || '}', ',' ORDER BY turn, first DESC) AS calls
+            FROM calls GROUP BY conv_id
+        ), orphans AS (
+            SELECT conv_id, string_agg('"' || id || '"', ',' ORDER BY id) AS orphans
+            FROM (SELECT a.conv_id, x.l || (a.turn - 1) AS id FROM c a CROSS JOIN (VALUES ('a'), ('b')) x(l) WHERE a.role = 'assistant' AND NOT EXISTS (SELECT 1 FROM c u WHERE u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user'))
+            GROUP BY conv_id
+        ), messages AS (
+            SELECT conv_id, turn, role, 0 AS nth, text, to_json(text)::VARCHAR AS content FROM c
+            UNION ALL SELECT conv_id, turn, 'assistant', 0, '{"tool_calls"', 'null' FROM c WHERE role = 'user'
+            UNION ALL SELECT conv_id, turn, 'tool', 1, '', '{"length":' || length(text) || ',"text":' || to_json(text)::VARCHAR || '}' FROM c WHERE role = 'assistant'
+            UNION ALL SELECT conv_id, turn, 'tool', 2, '', length(text)::VARCHAR FROM c WHERE role = 'assistant'
+        ), told AS (
+            SELECT conv_id, count(*) AS n_messages, string_agg('{"content":' || content || ',"role":"' || role || '","turn":' || turn || '}', ',' ORDER BY turn, role, nth, text) AS messages FROM messages GROUP BY conv_id
+        )
+        SELECT t.conv_id, n_messages, coalesce(n_calls, 0) AS n_calls, coalesce(n_linked, 0) AS n_linked, coalesce(n_valid, 0) AS n_valid,
+               '{"messages":[' || messages || '],"tool_calls":[' || coalesce(calls, '') || '],"unmatched_results":[' || coalesce(orphans, '') || ']}' AS json
+        FROM told t LEFT JOIN called USING (conv_id) LEFT JOIN orphans USING (conv_id)""",
     "op4_exact_topk": f"""
         WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
         pairs AS (

@@ -5,7 +5,8 @@ A message whose text is a JSON object with a list ``tool_calls`` holds calls
 optional ``content``; a message with role ``tool`` whose text is a JSON object with ``tool_call_id``
 holds a result ``{"tool_call_id", "content"}``. Any other text is ordinary content.
 
-Calls and results of a conversation are hash-joined by identifier. A call comes after the calls that
+Calls and results of a conversation are hash-joined by identifier; where an identifier is used again,
+a result belongs to the last call of it at or before the result's turn. A call comes after the calls that
 it names in ``depends_on`` or whose ``$id`` is one of its argument strings; ties go by turn, place
 and id. Arguments are checked against the JSON schema of the tool (type, enum, const, required,
 properties, additionalProperties, items, minimum, maximum, minLength, maxLength, minItems, maxItems,
@@ -15,6 +16,7 @@ whole floats as integers.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 import re
@@ -22,9 +24,11 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: An object's brace after the white space of JSON.
+_OPENS = r"^[ \t\r\n]*\{"
 _PART = "kind string, place int, call_id string, name string, arguments string, needs array<string>, body string"
 _PARTS = f"array<struct<{', '.join(f'{a}:{b}' for a, b in (p.split(' ', 1) for p in _PART.split(', ')))}>>"
 
@@ -50,7 +54,7 @@ def _refuse(name: str) -> None:
 
 def parsed(text: str | None) -> dict | None:
     """The JSON object that the whole text is, or None; NaN and infinities are no JSON."""
-    if text is None or not text.lstrip().startswith("{"):
+    if text is None or not text.lstrip(" \t\r\n").startswith("{"):
         return None
     try:
         value = json.loads(text, parse_constant=_refuse)
@@ -80,7 +84,7 @@ def parts(role: str | None, text: str | None) -> list[dict] | None:
     out = [{"kind": "content", "place": 0, "body": canonical(whole.get("content"))}]
     for place, call in enumerate(whole["tool_calls"]):
         if not isinstance(call, dict) or not isinstance(call.get("id"), str):
-            out.append({"kind": "broken", "place": place, "body": canonical(call)})
+            out.append({"kind": "broken", "place": place, "arguments": canonical(call), "needs": []})
             continue
         arguments = call.get("arguments", {})
         if isinstance(arguments, str):
@@ -100,7 +104,7 @@ def _is(value: Any, kind: str) -> bool:
     if kind == "number":
         return number
     if kind == "integer":
-        return number and float(value).is_integer()
+        return number and (isinstance(value, int) or value.is_integer())
     return isinstance(value, _TYPES.get(kind, ()))
 
 
@@ -138,48 +142,73 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
 def ordered(calls: list[dict]) -> list[tuple[dict, bool]]:
     """The calls in topological order and whether each lies on or behind a cycle; those come last.
 
-    Needs that name no call of the conversation, or the call itself, order nothing. Ties go by
-    (turn, place, id).
+    A need binds to the last call of that id before the call itself, in the order of (turn, place, id), or,
+    if there is none, to the first after it; needs that name no other call order nothing. Ties go by that
+    order.
     """
-    rank = lambda c: (c["turn"] is not None, c["turn"] or 0, c["place"], c["call_id"])
-    by_id = {c["call_id"]: c for c in calls}
-    needs = {c["call_id"]: {n for n in c["needs"] if n in by_id and n != c["call_id"]} for c in calls}
-    after: dict[str, list[str]] = {}
-    for own, others in needs.items():
+    calls = sorted(calls, key=lambda c: (c["turn"] is not None, c["turn"] or 0, c["place"], c["call_id"] or ""))
+    places: dict[str, list[int]] = {}
+    for k, c in enumerate(calls):
+        if c["call_id"] is not None:
+            places.setdefault(c["call_id"], []).append(k)
+    needs: list[set[int]] = []
+    for k, c in enumerate(calls):
+        bound = set()
+        for n in c["needs"]:
+            at = places.get(n, [])
+            before = bisect.bisect_left(at, k)
+            later = before + (before < len(at) and at[before] == k)
+            if before:
+                bound.add(at[before - 1])
+            elif later < len(at) and n != c["call_id"]:
+                bound.add(at[later])
+        needs.append(bound)
+    after: dict[int, list[int]] = {}
+    for own, others in enumerate(needs):
         for n in others:
             after.setdefault(n, []).append(own)
-    ready = [(rank(c), c["call_id"]) for c in calls if not needs[c["call_id"]]]
-    heapq.heapify(ready)
+    ready = [k for k in range(len(calls)) if not needs[k]]
     out, seen = [], set()
     while ready:
-        _, own = heapq.heappop(ready)
-        out.append((by_id[own], False))
+        own = heapq.heappop(ready)
+        out.append((calls[own], False))
         seen.add(own)
         for n in after.get(own, []):
             needs[n].discard(own)
             if not needs[n]:
-                heapq.heappush(ready, (rank(by_id[n]), n))
-    return out + [(c, True) for c in sorted((c for c in calls if c["call_id"] not in seen), key=rank)]
-
-
-def _linked(schemas: dict[str, dict]):
-    """One row for each conversation with calls: their JSON in order, and counts."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        entries = rows.to_dict("records")
-        clean = lambda v: None if v is None or v is pd.NA or v != v else v
-        calls = [{"call_id": r["call_id"], "turn": clean(r["turn"]), "place": int(r["place"]), "needs": list(r["needs"]), "row": r} for r in entries if clean(r["turn_known"])]
-        out, linked, valid = [], 0, 0
-        for call, cyclic in ordered(calls):
-            row = call["row"]
-            arguments, name, body = json.loads(row["arguments"]), clean(row["name"]), clean(row["body"])
-            errors = ["name: unknown tool"] if name not in schemas else violations(arguments, schemas[name])
-            errors += ["depends_on: cycle"] * cyclic + ["id: repeated"] * (int(row["times"]) > 1) + ["result: missing"] * (body is None)
-            linked += body is not None
-            valid += not errors
-            out.append({"id": call["call_id"], "name": name, "arguments": arguments, "result": None if body is None else json.loads(body), "errors": errors})
-        orphans = sorted(r["call_id"] for r in entries if not clean(r["turn_known"]))
-        return pd.DataFrame({"link_conv": [entries[0]["conv_id"]], "n_calls": [len(calls)], "n_linked": [linked], "n_valid": [valid], "calls": [canonical(out)], "orphans": [canonical(orphans)]})
+                heapq.heappush(ready, n)
+    return out + [(c, True) for k, c in enumerate(calls) if k not in seen]
+
+
+def _linked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One row for a conversation with calls: their JSON in order, and counts."""
+    entries = rows.to_dict("records")
+    clean = lambda v: None if v is None or v is pd.NA or v != v else v
+    calls = [{"call_id": clean(r["call_id"]), "turn": clean(r["turn"]), "place": int(r["place"]), "needs": list(r["needs"]), "row": r} for r in entries if clean(r["is_call"])]
+    out, linked, valid = [], 0, 0
+    for call, cyclic in ordered(calls):
+        row, body = call["row"], clean(call["row"]["body"])
+        errors = [*row["errors"], *["depends_on: cycle"] * cyclic, *["id: repeated"] * (int(row["times"]) > 1), *["result: missing"] * (body is None)]
+        linked += body is not None
+        valid += not errors
+        out.append({"id": call["call_id"], "name": clean(row["name"]), "arguments": json.loads(row["arguments"]), "result": None if body is None else json.loads(body), "errors": errors})
+    orphans = sorted(r["call_id"] for r in entries if not clean(r["is_call"]))
+    return pd.DataFrame({"link_conv": [entries[0]["conv_id"]], "n_calls": [len(calls)], "n_linked": [linked], "n_valid": [valid], "calls": [canonical(out)], "orphans": [canonical(orphans)]})
+
+
+def _checked(schemas: dict[str, dict]):
+    """The violations of each call's arguments."""
+
+    def run(is_call: pa.Array, call_id: pa.Array, name: pa.Array, arguments: pa.Array) -> pa.Array:
+        out = []
+        for call, cid, tool, text in zip(is_call.to_pylist(), call_id.to_pylist(), name.to_pylist(), arguments.to_pylist(), strict=True):
+            if not call:
+                out.append([])
+            elif cid is None:
+                out.append(["call: malformed"])
+            else:
+                out.append(["name: unknown tool"] if tool not in schemas else violations(json.loads(text), schemas[tool]))
+        return pa.array(out, pa.list_(pa.string()))
 
     return run
 
@@ -205,25 +234,34 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
     ``messages`` has (conv_id, turn, role, text); other columns are not looked at. Messages are in
     order of turn, nulls first, then role and text; repeated rows count as one message. A null
-    conv_id is a conversation of its own; a null text is a null content. Of calls that share an id
-    the first counts and is marked ``id: repeated``; of results for one call the first counts;
-    results without a call are listed under ``unmatched_results``. A call that is no object with a
-    string id is dropped from the calls. Texts that only look like JSON stay as they are. Calls with
-    errors are kept, the errors beside them. No rows give no rows.
+    conv_id is a conversation of its own; a null text is a null content. Calls that share an id are all
+    kept and marked ``id: repeated``; of results for one call the first counts; results for an id that no
+    call has are listed under ``unmatched_results``. A call that is no object with a string id is kept,
+    without id, as ``call: malformed``. Texts that only look like JSON stay as they are. Calls with
+    errors are kept, the errors beside them. No rows give no rows. A conversation is one row of the
+    result, so its messages must fit in one value of Spark (2 GB).
     """
     rows = messages.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").distinct()
-    looks = F.ltrim("text").startswith("{")
+    looks = F.col("text").rlike(_OPENS)
     rows = rows.withColumn("parts", F.when(looks, F.arrow_udf(_parts, _PARTS)("role", F.when(looks, F.col("text")))))
-    part = rows.where("parts is not null").select("conv_id", "turn", F.explode("parts").alias("p")).select("conv_id", "turn", "p.*")
-    first = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "place", "name", "arguments", "needs")
-    calls = part.where("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min(first).alias("c"), F.count("*").alias("times"))
-    calls = calls.select(F.struct("conv_id", "call_id").alias("k"), F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), "c.turn", "c.place", "c.name", "c.arguments", "c.needs", "times", F.lit(True).alias("turn_known"))
-    results = part.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn", "body")).alias("r"))
-    results = results.select(F.struct("conv_id", "call_id").alias("rk"), F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), "r.body")
+    part = rows.where("parts is not null").select("conv_id", "turn", F.explode("parts").alias("p")).select("conv_id", "turn", "p.*").where("kind <> 'content'")
+    known, is_call = F.col("turn").isNotNull(), F.col("kind") == "call"
+    same = Window.partitionBy("conv_id", "call_id")
+    upto = same.orderBy(known, "turn", ~is_call, "place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda w: F.sum(is_call.cast("int")).over(w)
+    named = part.where("kind <> 'broken'").withColumn("times", count(same))
+    nth = F.when(is_call, F.row_number().over(same.orderBy(~is_call, known, "turn", "place"))).otherwise(F.greatest(F.lit(1), count(upto)))
+    named = named.withColumn("nth", nth)
+    calls = named.where(is_call).select(F.struct("conv_id", "call_id", "nth").alias("k"), F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), "turn", "place", "name", "arguments", "needs", "times", F.lit(True).alias("is_call"))
+    results = named.where(~is_call).groupBy("conv_id", "call_id", "nth").agg(F.min(F.struct(known.alias("known"), "turn", "body")).alias("r"))
+    results = results.select(F.struct("conv_id", "call_id", "nth").alias("rk"), F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), "r.body")
     both = calls.join(results.hint("shuffle_hash"), F.col("k").eqNullSafe(F.col("rk")), "full_outer")
-    both = both.select(F.coalesce("c_conv", "r_conv").alias("conv_id"), F.coalesce("c_id", "r_id").alias("call_id"), "turn", "place", "name", "arguments", "needs", "times", "turn_known", "body")
+    both = both.select(F.coalesce("c_conv", "r_conv").alias("conv_id"), F.coalesce("c_id", "r_id").alias("call_id"), "turn", "place", "name", "arguments", "needs", "times", "is_call", "body")
+    broken = part.where("kind = 'broken'").withColumn("times", F.lit(1)).withColumn("is_call", F.lit(True))
+    both = both.unionByName(broken.select(*both.columns))
+    both = both.withColumn("errors", F.arrow_udf(_checked(schemas), "array<string>")("is_call", "call_id", "name", "arguments"))
     kind = dict(messages.dtypes)["conv_id"]
-    linked = both.groupBy("conv_id").applyInPandas(_linked(schemas), f"link_conv {kind}, n_calls bigint, n_linked bigint, n_valid bigint, calls string, orphans string")
+    linked = both.groupBy("conv_id").applyInPandas(_linked, f"link_conv {kind}, n_calls bigint, n_linked bigint, n_valid bigint, calls string, orphans string")
     body = F.get(F.filter("parts", lambda p: p["kind"].isin("content", "result")), 0)["body"]
     told = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", body.alias("body")))).alias("messages"))
     told = told.join(linked, F.col("conv_id").eqNullSafe(F.col("link_conv")), "left")

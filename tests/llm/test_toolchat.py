@@ -45,13 +45,40 @@ def test_errors_stay_beside_calls(spark):
         (1, 0, "assistant", message(call("p", {"a": "no"}, depends_on=["q"]), call("q", {"a": 1, "b": 1, "c": 1}, depends_on=["p"]), {"id": "u", "name": "other", "arguments": {}}, call("u", {}), {"no": "id"})),
         (1, 1, "tool", result("p", None)),
     ]
-    calls = {c["id"]: c for c in json.loads(linked(spark, rows)[1].json)["tool_calls"]}
-    assert list(calls) == ["u", "p", "q"]
+    row = linked(spark, rows)[1]
+    every = json.loads(row.json)["tool_calls"]
+    assert [c["id"] for c in every] == ["u", "u", None, "p", "q"] and row.n_calls == 5
+    assert every[1]["errors"] == ["$.a: required", "$.b: required", "id: repeated", "result: missing"]
+    assert every[2] == {"arguments": {"no": "id"}, "errors": ["call: malformed", "result: missing"], "id": None, "name": None, "result": None}
+    calls = {c["id"]: c for c in reversed(every)}
     assert calls["p"]["errors"] == ["$.b: required", "$.a: type", "depends_on: cycle"]
     assert calls["q"]["errors"] == ["$.c: additionalProperties", "depends_on: cycle", "result: missing"]
     assert calls["u"]["errors"] == ["name: unknown tool", "id: repeated", "result: missing"]
 
 
+def test_repeated_ids_are_paired_by_turn(spark):
+    rows = [(1, t, "assistant", message(call("c", {"a": t, "b": 0}))) for t in (1, 3, 5)]
+    rows += [(1, 4, "tool", result("c", "of 3")), (1, 4, "tool", result("c", "of 3, late")), (1, 6, "tool", result("c", "of 5")), (1, 0, "tool", result("c", "early"))]
+    rows += [(1, 4, "assistant", message(call("d", {"a": 1, "b": "$c"})))]
+    calls = json.loads(linked(spark, rows)[1].json)["tool_calls"]
+    assert [(c["id"], c["arguments"]["a"], c["result"]) for c in calls] == [("c", 1, "early"), ("c", 3, "of 3"), ("d", 1, None), ("c", 5, "of 5")]
+
+
+def test_numbers_and_white_space(spark):
+    huge = "1" + "0" * 400
+    rows = [
+        (1, 0, "assistant", '\n\t\r {"tool_calls": [{"id": "c", "name": "add", "arguments": {"a": %s, "b": 1.5}}]}' % huge),
+        (1, 1, "tool", '\n{"tool_call_id": "c", "content": %s}' % huge),
+        (2, 0, "assistant", message(call("c", {"a": 1.5, "b": 1}))),
+        (3, 0, "assistant", "\u00a0" + message(call("c", {}))),
+    ]
+    got = linked(spark, rows)
+    assert (got[1].n_linked, got[1].n_valid) == (1, 1) and huge in got[1].json
+    assert json.loads(got[2].json)["tool_calls"][0]["errors"] == ["$.a: type", "result: missing"]
+    assert got[3].n_calls == 0
+    assert T.violations(10**400, {"type": "integer", "maximum": 1e300}) == ["$: maximum"]
+
+
 def test_odd_rows(spark):
     deep = "{" + '"a":[' * 100000
     rows = [(None, None, None, None), (None, None, None, None), (2, 1, "assistant", '{"tool_calls": 3}'), (2, 0, "user", deep), (2, 1, "user", ""), (3, 0, "tool", '{"x": NaN}')]
@@ -82,13 +109,15 @@ def test_canonical_numbers_and_keys():
 
 
 def test_whole_table(spark):
-    from paperloom.llm.queries import op2_chat_formatting
-
-    rows = {r.conv_id: r for r in op2_chat_formatting(spark, "/root/testdata/sf0.001").collect()}
-    expected = {}
-    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").distinct().collect():
-        expected.setdefault(r.conv_id, []).append(r)
-    assert set(rows) == set(expected)
-    for conv, own in expected.items():
-        told = [{"content": r.text, "role": r.role, "turn": r.turn} for r in sorted(own, key=lambda r: (r.turn, r.role, r.text))]
-        assert json.loads(rows[conv].json) == {"messages": told, "tool_calls": [], "unmatched_results": []}
+    import duckdb
+
+    from paperloom.llm.queries import ORACLE_SQL, op2_chat_formatting
+
+    rows = sorted(op2_chat_formatting(spark, "/root/testdata/sf0.001").collect())
+    con = duckdb.connect()
+    con.sql("CREATE VIEW conversations AS FROM '/root/testdata/sf0.001/conversations.parquet'")
+    want = con.sql(f"SELECT conv_id, n_messages, n_calls, n_linked, n_valid, json FROM ({ORACLE_SQL['op2_chat_formatting']}) ORDER BY ALL").fetchall()
+    assert [tuple(r) for r in rows] == want
+    assert 0 < sum(r.n_valid for r in rows) < sum(r.n_linked for r in rows) < sum(r.n_calls for r in rows)
+    for r in rows:
+        assert T.canonical(json.loads(r.json)) == r.json
