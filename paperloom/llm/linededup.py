@@ -7,12 +7,16 @@ by (doc_id, row hash, line number). The state is a folder of versions. Each vers
 * ``refs``: one row for each occurrence that it added, or, with a negative sign, took away;
 * ``counts``: how much it changed the reference count of each line (the exact table);
 * ``filters``: one cuckoo filter for each shard of the hash space, with every line whose count
-  is above zero.
+  is above zero;
+* ``drops``: one row for each occurrence that its batch lost to an earlier one, or, with a negative
+  sign, got back or took along when its document was deleted.
 
 An insertion asks the filters first: what they don't know is new for certain, so only the rest is
 looked up among the exact counts. A deletion takes a document's references back; a line whose count
 falls to zero leaves its filter, and a line whose first occurrence was deleted gets the next
-occurrence as its first, so the text can be given back. Lines are known by 128 bits of hash.
+occurrence as its first, so the text can be given back: :meth:`LineIndex.texts` gives the documents as
+they stand after all insertions and deletions. Lines are known by 128 bits of hash. No line is a hot
+key: references are counted by partial aggregation, and a shard of the hash space holds each line once.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import scan
-from paperloom.session import fresh_name, shared_root
+from paperloom.session import discard, fresh_name, shared_root, written
 
 MIN_CHARS = 20
 SLOTS = 4
@@ -33,6 +37,7 @@ LOAD = 0.85
 DOCS_PER_SHARD = 16384
 _LINE = ["h1", "h2"]
 _REF = "batch int, doc_id {id}, r1 bigint, r2 bigint, pos int, h1 bigint, h2 bigint, shard int, sign int"
+_DROP = "r1 bigint, r2 bigint, pos int, sign int"
 _FILTER = "shard int, buckets bigint, items bigint, slots binary"
 
 
@@ -189,7 +194,7 @@ class LineIndex:
         return cls(spark, path or f"{shared_root(spark)}/lines-{uuid.uuid4().hex}", shards, id_type)
 
     def _read(self, table: str, versions: range | None = None) -> DataFrame:
-        schema = {"refs": _REF.format(id=self.id_type), "counts": "h1 bigint, h2 bigint, change bigint", "filters": _FILTER}[table]
+        schema = {"refs": _REF.format(id=self.id_type), "counts": "h1 bigint, h2 bigint, change bigint", "filters": _FILTER, "drops": _DROP}[table]
         paths = [f"{self.path}/v{v}/{table}" for v in (versions or range(1, self.version + 1))]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -220,35 +225,55 @@ class LineIndex:
             return
         changed = self._shard(changed).select("shard", "h1", "way")
         full = self.filters().join(changed.groupBy("shard").agg(F.sum("way").alias("more")), "shard").where(F.col("items") + F.col("more") > F.col("buckets") * SLOTS * LOAD).select("shard")
-        stay = self._shard(live).join(full, "shard", "left_semi").select("shard", "h1", F.lit(0).alias("way"))
-        lines = changed.unionByName(stay)
+        full = [r.shard for r in full.collect()]  # at most one number for each shard
+        lines = changed
+        if full:
+            stay = self._shard(live).where(F.col("shard").isin(full)).select("shard", "h1", F.lit(0).alias("way"))
+            lines = changed.unionByName(stay)
         self._write(self.filters().groupBy("shard").cogroup(lines.groupBy("shard")).applyInPandas(_change, _FILTER), "filters")
 
-    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Adds the documents and returns them without the lines that were there before.
-
-        All columns of ``docs`` stay; the text holds the kept lines, in order. A document that lost
-        lines and has nothing but white space left is dropped, as is a row whose doc_id and text are
-        both those of another row. A null text stays null and adds nothing. A null doc_id is a value
-        like any other. Empty input gives no rows.
-        """
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Adds the documents as one batch: a null text adds nothing, a null doc_id is a value like any other."""
         seen_before = self.version > 0
         occ = self._write(occurrences(docs, self.shards, self.version + 1, id_col, text_col), "refs")
         place = F.struct("doc_id", "r1", "r2", "pos")
         batch = occ.groupBy(*_LINE).agg(F.count("*").alias("change"), F.min(place).alias("owner"))
+        if seen_before:
+            batch = written(batch, "lines-batch")
         counts = self._write(batch.select(*_LINE, "change"), "counts")
         if seen_before:
+            # what the filters don't know is new for certain; only the rest meets the exact counts
             maybe = self.filters().groupBy("shard").cogroup(self._shard(counts).groupBy("shard")).applyInPandas(_probe, "h1 bigint, h2 bigint")
-            old = maybe.join(self.counts(), _LINE).select(*_LINE, F.lit(True).alias("old"))
-            repeated = batch.join(old, _LINE, "left").where("change > 1 or old").withColumn("owner", F.when(F.col("old"), F.lit(None)).otherwise(F.col("owner")))
+            held = self._read("counts")
+            old = written(held.join(maybe, _LINE, "left_semi").groupBy(*_LINE).agg(F.sum("change").alias("count")).where("count > 0").select(*_LINE), "lines-old")
+            repeated = batch.where("change > 1").join(old, _LINE, "left_anti").select(*_LINE, "owner").unionByName(old.withColumn("owner", F.lit(None).cast(batch.schema["owner"].dataType)))
             new = counts.join(old, _LINE, "left_anti")
         else:
-            repeated, new = batch.where("change > 1"), counts
+            repeated, new = batch.where("change > 1").select(*_LINE, "owner"), counts
         self._filter_change(new.withColumn("way", F.lit(1)), self.counts())
-        drops = occ.join(repeated.select(*_LINE, "owner"), _LINE).where(F.col("owner").isNull() | ~F.col("owner").eqNullSafe(place))
-        drops = drops.groupBy("r1", "r2").agg(F.collect_set("pos").alias("pos"))
+        drops = occ.join(repeated, _LINE).where(F.col("owner").isNull() | ~F.col("owner").eqNullSafe(place))
+        self._write(drops.select("r1", "r2", "pos", F.lit(1).alias("sign")).distinct(), "drops")
+        if seen_before:
+            discard(old)
+            discard(batch)
         self.version += 1
-        return _without_lines(docs, drops, id_col, text_col)
+
+    def texts(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int | None = None) -> DataFrame:
+        """The documents, all of which are in the index, without the lines that stand elsewhere before.
+
+        All columns of ``docs`` stay; the text holds the kept lines, in order. A document that lost
+        lines and has nothing but white space left is dropped, as is a row whose doc_id and text are
+        both those of another row. A null text stays null. With ``of`` only that version's batch counts.
+        """
+        log = self._read("drops", None if of is None else range(of, of + 1))
+        if of is None:
+            log = log.groupBy("r1", "r2", "pos").agg(F.sum("sign").alias("sign")).where("sign > 0")
+        return _without_lines(docs, log.groupBy("r1", "r2").agg(F.collect_set("pos").alias("pos")), id_col, text_col)
+
+    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Adds the documents as one batch and returns them as :meth:`texts` does; empty input gives no rows."""
+        self.add(docs, id_col, text_col)
+        return self.texts(docs, id_col, text_col, of=self.version)
 
     def delete(self, doc_ids: DataFrame) -> DataFrame:
         """Takes the documents (a column doc_id) out; returns the lines that thereby become first.
@@ -257,18 +282,28 @@ class LineIndex:
         now the first of its line. Ids that aren't in the index change nothing.
         """
         ids = doc_ids.select(F.col("doc_id").alias("gone_id")).distinct()
-        refs = self.refs()
-        gone = refs.join(ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_semi")
-        before, version = self.counts(), self.version + 1
-        taken = self._write(gone.select("batch", "doc_id", "r1", "r2", "pos", *_LINE, "shard", (-F.col("times")).cast("int").alias("sign")), "refs")
+        where = ["batch", "doc_id", "r1", "r2", "pos", *_LINE, "shard"]
+        gone = self._read("refs").join(ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_semi")
+        gone = gone.groupBy(*where).agg(F.sum("sign").alias("times")).where("times > 0")
+        held, log = self._read("counts"), self._read("drops")
+        taken = self._write(gone.select(*where, (-F.col("times")).cast("int").alias("sign")), "refs")
         counts = self._write(taken.groupBy(*_LINE).agg(F.sum("sign").alias("change")), "counts")
-        ended = before.join(counts, _LINE).where("count + change = 0").select(*_LINE, F.lit(-1).alias("way"))
-        self._filter_change(ended, before.select(*_LINE).join(ended, _LINE, "left_anti"))
+        before = held.join(counts.select(*_LINE), _LINE, "left_semi").groupBy(*_LINE).agg(F.sum("change").alias("count"))
+        ended = written(before.join(counts, _LINE).where("count + change = 0").select(*_LINE, F.lit(-1).alias("way")), "lines-ended")
+        self._filter_change(ended, self.counts().select(*_LINE).join(ended, _LINE, "left_anti"))
+        # the refs of the lines touched, and no others, tell the first occurrence before and after
+        touched = self._read("refs").withColumn("older", F.lit(1)).unionByName(taken.withColumn("older", F.lit(0)))
+        touched = touched.join(counts.select(*_LINE), _LINE, "left_semi")
+        touched = touched.groupBy(*where[:-1]).agg(F.sum(F.col("sign") * F.col("older")).alias("was"), F.sum("sign").alias("times"))
         place = F.struct("batch", "doc_id", "r1", "r2", "pos")
-        touched = refs.join(counts.select(*_LINE), _LINE, "left_semi").groupBy(*_LINE).agg(F.min(place).alias("owner"))
-        self.version = version
-        after = self.refs().join(counts.select(*_LINE), _LINE, "left_semi").groupBy(*_LINE).agg(F.min(place).alias("now"))
-        return touched.join(after, _LINE).where(F.col("owner") != F.col("now")).select("now.*", *_LINE)
+        owners = touched.groupBy(*_LINE).agg(F.min(F.when(F.col("was") > 0, place)).alias("owner"), F.min(F.when(F.col("times") > 0, place)).alias("now"))
+        firsts = written(owners.where("now is not null and owner <> now").select("now.*", *_LINE), "lines-firsts")
+        lost = log.join(taken.select("r1", "r2").distinct(), ["r1", "r2"], "left_semi").groupBy("r1", "r2", "pos").agg((-F.sum("sign")).cast("int").alias("sign")).where("sign < 0")
+        back = firsts.select("r1", "r2", "pos", F.lit(-1).alias("sign"))
+        self._write(lost.unionByName(back), "drops")
+        discard(ended)
+        self.version += 1
+        return firsts
 
 
 def _without_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -287,7 +322,13 @@ def _without_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str
     return out.select(*docs.columns)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` as one batch through a new index; see :meth:`LineIndex.insert`."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: list[Column] | None = None) -> DataFrame:
+    """``docs`` through a new index; see :meth:`LineIndex.texts`. Empty input gives no rows.
+
+    With ``batches``, conditions of which each row fulfils one (a null counts as false), the documents are added batch
+    by batch, each probing the filters of those before, and a line stays in the first batch that has it.
+    """
     index = LineIndex.create(docs.sparkSession, shards_for(docs), dict(docs.dtypes)[id_col])
-    return index.insert(docs, id_col, text_col)
+    for batch in batches or [F.lit(True)]:
+        index.add(docs.where(F.coalesce(batch, F.lit(False))), id_col, text_col)
+    return index.texts(docs, id_col, text_col)

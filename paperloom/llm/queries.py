@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, packing, pii, puquality, rules, toolchat, topk, urlrules
-from paperloom.llm.linededup import MIN_CHARS, dedup_lines
+from paperloom.llm.linededup import MIN_CHARS, LineIndex, shards_for
 from paperloom.llm.simhash import near_duplicate_groups
 
 
@@ -114,9 +114,20 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier document, or line, has."""
+    """Every document as an incremental index leaves it: two batches, a deletion and a reinsertion.
+
+    Documents of even id come first, then those of odd id. Then those whose id is divisible by 50 are deleted, so that
+    lines of which they had the first occurrence pass to others, and inserted again, when they
+    lose what others hold by now.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs)
+    even, again = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)), F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    index = LineIndex.create(spark, shards_for(docs), dict(docs.dtypes)["doc_id"])
+    index.add(docs.where(even))
+    index.add(docs.where(~even))
+    index.delete(docs.where(again))
+    index.add(docs.where(again))
+    return index.texts(docs)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +254,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
             FROM (SELECT DISTINCT doc_id, text FROM documents)
         ), ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY trim(line, ' ') ORDER BY doc_id, pos) AS nth FROM lines
+            SELECT *, row_number() OVER (PARTITION BY trim(line, ' ') ORDER BY CASE WHEN doc_id % 50 = 0 THEN 2 ELSE coalesce(doc_id % 2, 0) END, doc_id, pos) AS nth FROM lines
         ), judged AS (
             SELECT doc_id, line, pos, nth = 1 OR length(trim(line, ' ')) < {MIN_CHARS} AS stays FROM ranked
         ), kept AS (

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from paperloom.llm import linededup, simhash
 
@@ -148,6 +149,76 @@ def test_batches_and_deletion_are_reversible(spark):
     assert [r.text for r in again] == [LONG[1]]
 
 
+def brute_incremental(steps):
+    """The texts after steps (add, rows) and (delete, ids), by lists of occurrences."""
+    live, n = [], 0
+    for step, what in steps:
+        if step == "add":
+            n += 1
+            live += [(n, i, t) for i, t in sorted(set(what), key=lambda r: (r[0] is not None, r[0] or 0))]
+        else:
+            live = [x for x in live if x[1] not in what]
+    live.sort(key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+    return brute_lines_in_order([(i, t) for _, i, t in live])
+
+
+def brute_lines_in_order(rows):
+    seen, out = set(), []
+    for doc_id, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            key = line.strip(" ")
+            if len(key) >= linededup.MIN_CHARS and key in seen:
+                continue
+            seen.add(key)
+            kept.append(line)
+        if len(kept) == len(text.split("\n")) or "\n".join(kept).strip():
+            out.append((doc_id, "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def test_insertions_and_deletions_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pool = [*LONG, "short", *(f"line number {i} with some more words" for i in range(40))]
+    made = lambda a, b: [(i, "\n".join(rng.choice(pool, int(rng.integers(1, 9))))) for i in range(a, b)]
+    one, two, three = made(0, 25), [*made(25, 45), (None, LONG[1])], made(45, 50)
+    gone = {0, 3, 5, 6, 30, None}
+    again = [r for r in one + two if r[0] in gone]
+    steps = [("add", one), ("add", two), ("delete", gone), ("add", three), ("add", again), ("delete", {1, 45}), ("delete", {999})]
+    schema, index = "doc_id bigint, text string", linededup.LineIndex.create(spark, 16)
+    for step, what in steps:
+        if step == "add":
+            index.add(spark.createDataFrame(what, schema))
+        else:
+            index.delete(spark.createDataFrame([(i,) for i in what], "doc_id bigint"))
+    live = [r for r in one + two + three if r[0] not in {1, 45}]
+    got = index.texts(spark.createDataFrame(live, schema))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == brute_incremental(steps)
+    held = {}
+    for _, t in live:
+        for line in t.split("\n"):
+            if len(line.strip(" ")) >= linededup.MIN_CHARS:
+                held[line.strip(" ")] = held.get(line.strip(" "), 0) + 1
+    assert sorted(r["count"] for r in index.counts().collect()) == sorted(held.values())
+
+
+def test_batches_probe_the_filters(spark):
+    rows = [(i, LONG[i % 3] + f"\nonly in document number {i} of all") for i in range(12)] + [(None, LONG[0]), (20, None), (21, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked = []
+    real = linededup.LineIndex.filters
+    try:
+        linededup.LineIndex.filters = lambda self: asked.append(self.version) or real(self)
+        odd = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
+        got = linededup.dedup_lines(docs, batches=[odd, ~odd]).collect()
+    finally:
+        linededup.LineIndex.filters = real
+    assert asked and set(asked) == {1}
+    want = brute_lines_in_order(sorted((r for r in rows if r[1] is not None), key=lambda r: (not (r[0] or 0) % 2, r[0] is not None, r[0] or 0)))
+    assert sorted(((r.doc_id, r.text) for r in got if r.text is not None), key=str) == want
+    assert [r.doc_id for r in got if r.text is None] == [20]
+
+
 def test_cuckoo_filter_never_misses():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 20000))
     made = linededup.CuckooFilter.sized(keys[:15000])
