@@ -1,8 +1,8 @@
 """URL filters by hashed expressions.
 
-A canonical URL is expanded into the combinations of up to five host suffixes (the host itself and
-the suffixes of its last five labels, down to two) and up to six path prefixes (with query, without,
-the root, and up to four leading directories). Each expression is hashed; URLs and rules are
+A canonical URL is expanded into the combinations of its host suffixes (the host itself and all of two labels or
+more) and its path prefixes (with query, without, the root, and all leading directories), down to the
+number of labels and directories that the deepest rule has, so that every rule can be met. Each expression is hashed; URLs and rules are
 equi-joined on the first 32 bits of the SHA-256 digest and a hit counts only if the whole digest
 agrees. Of the rules that hit, the one with the longest host suffix decides, then the longest path,
 then ``allow`` before ``block``, then the least rule_id. A URL that no rule hits is allowed.
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from paperloom.session import fresh_name
 
-MAX_SUFFIXES = 5
-MAX_DIRECTORIES = 4
 #: hexadecimal digits of the short prefix
 PREFIX_DIGITS = 8
 
@@ -46,19 +44,21 @@ def canonical_parts(url: Column) -> tuple[Column, Column, Column]:
     return F.when(host != "", host), F.concat(joined, slash), F.regexp_extract(tail, r"(\?.*)$", 1)
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and the suffixes of its last five labels with two labels at least; an address only itself."""
+def host_suffixes(host: Column, labels_at_most: Column | int) -> Column:
+    """The host and its suffixes of two labels or more, up to so many; an address only itself."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    starts = F.sequence(F.greatest(n - MAX_SUFFIXES + 1, F.lit(2)), F.greatest(n - 1, F.lit(2)))
+    top = F.lit(labels_at_most)
+    starts = F.sequence(F.greatest(n - top + 1, F.lit(2)), F.greatest(n - 1, F.lit(2)))
     shorter = F.transform(F.filter(starts, lambda i: i <= n - 1), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
-    return F.when(host.rlike(r"^\d+(\.\d+){3}$|^\[") | (n <= 2), F.array(host)).otherwise(F.array_distinct(F.concat(F.array(host), shorter)))
+    shorter = F.when((n > 2) & (top >= 2), shorter).otherwise(F.array().cast("array<string>"))
+    return F.when(host.rlike(r"^\d+(\.\d+){3}$|^\["), F.array(host)).otherwise(F.array_distinct(F.concat(F.array(host), shorter)))
 
 
-def path_prefixes(path: Column, query: Column) -> Column:
-    """The path with query, without, the root and up to four leading directories."""
+def path_prefixes(path: Column, query: Column, directories_at_most: Column | int) -> Column:
+    """The path with query, without, the root and the leading directories, up to so many deep."""
     steps = F.split(path, "/")
-    top = F.least(F.size(steps) - 2, F.lit(MAX_DIRECTORIES - 1))
+    top = F.least(F.size(steps) - 2, F.lit(directories_at_most))
     folders = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), lambda i: i <= top), lambda i: F.concat(F.array_join(F.slice(steps, F.lit(1), i + 1), "/"), F.lit("/")))
     return F.array_distinct(F.concat(F.array(F.concat(path, query), path, F.lit("/")), folders))
 
@@ -75,19 +75,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Dat
     ``rules`` has (rule_id, pattern, action), action ``allow`` or ``block``. Rules without a pattern, a
     host or a known action are left out; of equal patterns the precedence above decides. A URL that
     is null or has no host is ``allow`` with a null rule, like one that no rule hits. Repeated rows
-    are judged alike and stay. Columns of ``pages`` called verdict or rule_id keep their names and
+    are judged alike and stay. Very long URLs are expanded as far as the rules reach. No pages or no rules give no hits. Columns of ``pages`` called verdict or rule_id keep their names and
     the new ones get an underscore.
     """
     own = {c: fresh_name(pages, c) for c in ("_e", "_hit")}
     verdict, rule_id = fresh_name(pages, "verdict"), fresh_name(pages, "rule_id")
     known = rules.where(F.col("action").isin("allow", "block")).select("rule_id", "action", expression(F.col("pattern")).alias("expression")).where("expression is not null")
     known = known.withColumn("digest", F.sha2("expression", 256))
+    place = F.split_part("expression", F.lit("?"), F.lit(1))
+    deepest = known.agg(F.max(F.size(F.split(F.split_part(place, F.lit("/"), F.lit(1)), r"\."))).alias("labels"), F.max(F.size(F.split(place, "/")) - 2).alias("directories")).first()  # one row
     known = known.select("rule_id", "action", "expression", "digest", F.substring("digest", 1, PREFIX_DIGITS).alias("short"))
     # rules meet distinct URLs, so repeated URLs cost nothing more
     urls = pages.select(F.col(url_col).alias("u")).where("u is not null").distinct()
     host, path, query = canonical_parts(F.col("u"))
     urls = urls.select("u", host.alias("host"), path.alias("path"), query.alias("query")).where("host is not null")
-    each = urls.select("u", F.explode(host_suffixes(F.col("host"))).alias("suffix"), path_prefixes(F.col("path"), F.col("query")).alias("paths"))
+    each = urls.select("u", F.explode(host_suffixes(F.col("host"), deepest.labels or 0)).alias("suffix"), path_prefixes(F.col("path"), F.col("query"), deepest.directories or 0).alias("paths"))
     each = each.select("u", F.length("suffix").alias("host_length"), F.explode(F.transform("paths", lambda p: F.concat("suffix", p))).alias("e"))
     each = each.withColumn("full", F.sha2("e", 256))
     hits = each.join(known, F.substring("full", 1, PREFIX_DIGITS) == F.col("short")).where("full = digest")
