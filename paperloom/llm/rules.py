@@ -4,7 +4,9 @@ Rules for the class of bad documents (``quality = 0``) are conjunctions of thres
 statistics. Each rule is grown on two thirds of the examples that no earlier rule covers, condition
 by condition, by FOIL's information gain; then conditions are cut from its end while that doesn't
 worsen (bad - good) / (bad + good) on the other third. Learning stops at the first rule whose precision
-on all examples left is under ``MIN_PRECISION`` or that covers too few. The list becomes one ordered
+on all examples left is under ``MIN_PRECISION`` or that covers fewer than ``MIN_COVER`` bad ones; a rule grows as
+long as a condition gains. Nothing else bounds the list. Of conditions with equal gain the first statistic, the lower
+side last, and the lowest cut win. The list becomes one ordered
 Spark conditional, ``CASE WHEN rule 1 THEN 1 WHEN rule 2 THEN 2 ... ELSE 0``, that Spark evaluates
 without Python.
 """
@@ -22,8 +24,6 @@ from paperloom.session import written
 
 #: Labelled rows to learn from at most.
 SAMPLE_ROWS = 20000
-MAX_RULES = 32
-MAX_CONDITIONS = 6
 MIN_COVER = 3
 MIN_PRECISION = 0.9
 _CUTS = 64
@@ -94,10 +94,10 @@ def learn(x: np.ndarray, bad: np.ndarray, seed: int = 1) -> list[Rule]:
     rules: list[Rule] = []
     part = np.random.default_rng(seed).random(len(x)) < 2 / 3
     left = np.ones(len(x), bool)
-    while len(rules) < MAX_RULES and (left & bad).any() and (left & ~bad).any():
+    while (left & bad).any() and (left & ~bad).any():
         grow, prune = left & part, left & ~part
         rule: Rule = ()
-        while len(rule) < MAX_CONDITIONS:
+        while True:
             here = grow & covers(rule, x)
             condition = _best(x[here], bad[here])[1]
             if condition is None:
@@ -143,7 +143,8 @@ def judged(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col:
 
     A text that is null or holds no word is rejected by rule -1, before all others. Repeated rows are
     judged alike. Without labels of both classes there are no other rules. Labels that disagree
-    count as bad.
+    count as bad. Very long texts are read whole; other columns, whatever their names, are not looked at; no rows
+    give no rows.
     """
     stats = statistics_table(docs, id_col, text_col)
     rules = train(stats, labels, rows)
