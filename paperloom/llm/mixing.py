@@ -20,8 +20,6 @@ from paperloom.llm import scan
 from paperloom.session import fresh_name, written
 
 SEED = 42
-#: the cap in the SQL of op3; the operator has none unless it is given one
-MAX_EPOCHS = 4
 #: Below this many sources the plan is broadcast; above it the join is left to Spark.
 BROADCAST_SOURCES = 20000
 _BUCKETS = 2048
