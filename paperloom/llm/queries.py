@@ -69,8 +69,8 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The topk.K largest inner products of every embedding."""
-    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+    """The topk.K largest inner products of every embedding whose id is divisible by 50, among all embeddings."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +205,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
         pairs AS (
             SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_inner_product(a.e, b.e), {topk.DIGITS}) AS score
-            FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
         )
         SELECT * FROM (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS rank, neighbor_id, score FROM pairs)
         WHERE rank <= {topk.K}""",
@@ -218,11 +218,11 @@ ORACLE_SQL: dict[str, str] = {
         ), suffixes AS (
             SELECT url, path, query, host AS suffix FROM urls
             UNION SELECT url, path, query, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')
-            FROM (SELECT *, unnest(range(greatest(2, len(string_split(host, '.')) - {urlrules.MAX_SUFFIXES - 1}), len(string_split(host, '.')))) AS i FROM urls)
+            FROM (SELECT *, unnest(range(2, len(string_split(host, '.')))) AS i FROM urls)
         ), paths AS (
             SELECT url, suffix, path || query AS p FROM suffixes UNION SELECT url, suffix, path FROM suffixes UNION SELECT url, suffix, '/' FROM suffixes
             UNION SELECT url, suffix, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') || '/'
-            FROM (SELECT *, unnest(range(1, least(len(string_split(path, '/')) - 1, {urlrules.MAX_DIRECTORIES - 1}) + 1)) AS i FROM suffixes)
+            FROM (SELECT *, unnest(range(1, len(string_split(path, '/')))) AS i FROM suffixes)
         ), hits AS (
             SELECT url, action, rule_id,
                    row_number() OVER (PARTITION BY url ORDER BY length(suffix) DESC, length(suffix || p) DESC, action, rule_id) AS nth
@@ -243,7 +243,7 @@ ORACLE_SQL: dict[str, str] = {
         ), own AS (
             SELECT source, total, floor((SELECT sum(total) FROM totals)::DOUBLE * sqrt(total::DOUBLE) / (SELECT sum(sqrt(total::DOUBLE)) FROM totals))::BIGINT AS own FROM totals
         ), plan AS (
-            SELECT source, least(own // total, {mixing.MAX_EPOCHS}) AS epochs, CASE WHEN own // total < {mixing.MAX_EPOCHS} THEN own % total ELSE 0 END AS rest FROM own
+            SELECT source, own // total AS epochs, own % total AS rest FROM own
         ), ran AS (
             SELECT i.*, p.epochs, p.rest, sum(tokens) OVER (PARTITION BY i.source ORDER BY key, doc_id) AS run
             FROM items i JOIN plan p ON i.source IS NOT DISTINCT FROM p.source

@@ -1,9 +1,12 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Every vector is a query. Probe vectors are sorted by length into buckets; a bucket travels as one row
-of packed arrays. Queries, too, are in blocks, and each block meets the buckets in descending order of
-their longest vector, so that its k-th best products rise early. For a query q with k-th product t
-the local threshold in a bucket is the cosine ``t / (|q| * longest)``:
+Probe vectors are sorted by length into buckets; a bucket travels as one row of packed arrays. Queries, too,
+are in blocks. Each block first meets the bucket of the longest vectors alone: with the k-th products t
+found there no vector shorter than the least ``t / |q|`` of the block can be among its results, so
+that only the pairs of a block and a bucket that reaches this length are made, as pairs of numbers, before any
+vector is sent. Each block meets its buckets in descending order of their longest vector, so that its k-th best
+products rise early. For a query q with k-th product t the local threshold in a bucket is the cosine
+``t / (|q| * longest)``:
 
 * above 1 the bucket cannot hold a better vector and is passed over; if that holds for all queries of
   the block, so are all further buckets;
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.session import written
@@ -30,6 +33,8 @@ K = 10
 BUCKET = 2048
 BLOCK = 4096
 DIGITS = 9
+#: Pairs of numbers of so many blocks, or so many buckets with their vectors, are broadcast at most; beyond that Spark joins them.
+BROADCAST_ROWS, BROADCAST_BUCKETS = 200_000, 8
 _SLACK = 1e-9
 #: Coordinate pruning pays where it admits less than this share of what length pruning admits.
 _COORDINATE_SHARE = 0.05
@@ -153,6 +158,22 @@ class _Block:
         return done
 
 
+def _floor(k: int):
+    """(block, floor): the length that a vector needs to be among the results of the block, from its first bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = _Block(k, *_cells(row))
+                block.meet(*_cells({"dim": row["dim"], "ids": row["p_ids"], "lengths": row["p_lengths"], "vectors": row["p_vectors"]}))
+                t = block.threshold()
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    least = np.where(np.isfinite(t) & (t > 0) & (block.lengths > 0), t / block.lengths, 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([float(least.min()) * (1 - _SLACK) - _SLACK])], names=["block", "floor"])
+
+    return run
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, closed = None, False
@@ -178,25 +199,38 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbor_id, score): the k largest inner products of every vector, exactly.
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def top_k(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", queries: Column | None = None) -> DataFrame:
+    """(vec_id, rank, neighbor_id, score): the k largest inner products of every query vector, exactly.
 
-    Scores are rounded to nine decimals; equal scores are ranked by neighbor_id. A vector is not its
-    own neighbour, nor is any row with its id; of rows that repeat an id and a vector one counts, and
-    an id with several vectors is several queries and several candidates. Rows whose id or vector is
-    null or empty, or holds a null, NaN or infinity, are left out. Vectors of different dimension are
-    searched apart. A vector with fewer than k others has fewer neighbours; no rows give no rows.
+    Queries are the rows for which the condition ``queries`` (on the columns of ``vectors``) holds, without it
+    all rows; candidates are all rows. Scores are rounded to nine decimals; equal scores are ranked by
+    neighbor_id. A vector is not its own neighbour, nor is any row with its id; of rows that repeat an id and
+    a vector one counts, and an id with several vectors is several queries and several candidates. Ids are
+    whole numbers, or texts that Spark casts to them; a text that is no number is an error under ANSI
+    rules and left out otherwise. Rows whose id or vector is null or empty, or holds a null, NaN or
+    infinity, are left out. Vectors of different dimension are searched apart. A vector with fewer than k
+    others has fewer neighbours; no rows give no rows. Other columns, whatever their names, are not looked at.
     """
-    good = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
-    good = good.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).distinct()
-    good = written(good.select("id", "v", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("square")), "topk-vectors")
-    parts = max(1, -(-good.count() // (4 * BUCKET)))
-    buckets = written(good.repartitionByRange(parts, "dim", F.desc("square")).sortWithinPartitions("dim", F.desc("square")).mapInArrow(_pack(BUCKET), _BUCKET), "topk-buckets")
-    blocks = written(good.repartition(max(1, parts * 4 * BUCKET // BLOCK), "id").mapInArrow(_pack(BLOCK), _BUCKET), "topk-blocks")
+    asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    good = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), asked.alias("asked")).where("id is not null and size(v) > 0")
+    good = good.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).groupBy("id", "v").agg(F.max("asked").alias("asked"))
+    good = written(good.select("id", "v", "asked", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("square")), "topk-vectors")
+    own = good.where("asked").drop("asked")
+    parts, turns = max(1, -(-good.count() // (4 * BUCKET))), max(1, -(-own.count() // BLOCK))
+    buckets = written(good.drop("asked").repartitionByRange(parts, "dim", F.desc("square")).sortWithinPartitions("dim", F.desc("square")).mapInArrow(_pack(BUCKET), _BUCKET), "topk-buckets")
+    blocks = written(own.repartition(turns, "id").mapInArrow(_pack(BLOCK), _BUCKET), "topk-blocks")
     heads = blocks.select(F.col("bucket").alias("block"), "dim")
     cells = ["dim", "longest", "ids", "lengths", "vectors"]
-    probes = buckets.select(*cells).join(heads, "dim").select("block", F.lit(False).alias("is_query"), *cells)
+    longest = buckets.groupBy("dim").agg(F.max_by("bucket", "longest").alias("bucket"))
+    tops = buckets.join(_small(longest.select("bucket")), "bucket").select("dim", *(F.col(c).alias(f"p_{c}") for c in cells[2:]))
+    floors = written(blocks.withColumnRenamed("bucket", "block").join(_small(tops, BROADCAST_BUCKETS), "dim").mapInArrow(_floor(k), "block bigint, floor double"), "topk-floors")
+    needs = heads.join(floors, "block")
+    met = buckets.select("bucket", "dim", "longest").join(_small(needs), "dim").where("longest >= floor").select("block", "bucket")
+    probes = met.join(buckets, "bucket").select("block", F.lit(False).alias("is_query"), *cells)
     meet = blocks.select(F.col("bucket").alias("block"), F.lit(True).alias("is_query"), *cells).unionByName(probes)
-    count = max(1, heads.count())
-    meet = meet.repartition(count, "block").sortWithinPartitions("block", F.desc("is_query"), F.desc("longest"))
+    meet = meet.repartition(max(1, heads.count()), "block").sortWithinPartitions("block", F.desc("is_query"), F.desc("longest"))
     return meet.mapInArrow(_search(k), "vec_id bigint, rank bigint, neighbor_id bigint, score double")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, packing, topk, urlrules
 
@@ -20,8 +21,7 @@ def brute_mix(rows, weights, budget_of):
         if not total:
             continue
         budget = budget_of[source]
-        epochs = min(budget // total, mixing.MAX_EPOCHS)
-        rest = budget - epochs * total if epochs < mixing.MAX_EPOCHS else 0
+        epochs, rest = divmod(budget, total)
 
         def key(i):
             u = (int(hashlib.md5(f"{mixing.SEED}:{'null' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
@@ -69,7 +69,7 @@ def test_mixed_documents_are_drawn_by_their_own_weight(spark):
 SKEWED = [(i, "w " * 40, f"s{i % 19}", 1) for i in range(950)] + [(2000 + i, "w " * 4, "tiny", 1) for i in range(10)]
 
 
-def test_skewed_sources_get_their_whole_targets(spark, monkeypatch):
+def test_skewed_sources_get_their_whole_targets(spark):
     docs = spark.createDataFrame(SKEWED, DOCS)
     none = spark.createDataFrame([], "doc_id bigint, weight double")
     totals = Counter()
@@ -83,7 +83,6 @@ def test_skewed_sources_get_their_whole_targets(spark, monkeypatch):
     for r in rows:
         got[r.source] += r.tokens
     assert all(budget[s] - 40 < got[s] <= budget[s] for s in totals)
-    monkeypatch.setattr(mixing, "MAX_EPOCHS", 10**9)  # the cap of brute_mix
     assert Counter((r.doc_id, r.source, r.epoch) for r in rows) == brute_mix(SKEWED, {}, budget)
 
 
@@ -120,6 +119,30 @@ def test_top_k_equals_brute_force(spark, scale):
         best = sorted(range(300), key=lambda j: (-product[i, j], j))[:5]
         assert [got[i, k + 1][0] for k in range(5)] == best
     assert len(got) == 1500
+    some = {(r.vec_id, r.rank): (r.neighbor_id, r.score) for r in topk.top_k(df, 5, queries=F.col("vec_id") % 50 == 0).collect()}
+    assert some == {k: v for k, v in got.items() if k[0] % 50 == 0}
+
+
+def test_top_k_makes_only_the_pairs_that_can_matter(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 6))
+    v[40:] *= 1e-3
+    monkeypatch.setattr(topk, "BUCKET", 20)
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    monkeypatch.setattr(topk, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(topk, "BROADCAST_BUCKETS", 0)
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    met = []
+    real = topk.written
+    monkeypatch.setattr(topk, "written", lambda d, label: met.append((label, real(d, label))) or met[-1][1])
+    got = {(r.vec_id, r.rank): r.neighbor_id for r in topk.top_k(df, 3).collect()}
+    product = np.round(v @ v.T, topk.DIGITS)
+    np.fill_diagonal(product, -np.inf)
+    for i in range(400):
+        best = sorted(range(400), key=lambda j: (-product[i, j], j))[:3]
+        assert [got[i, k + 1] for k in range(3)] == best
+    floors = dict(met)["topk-floors"].collect()
+    assert len(floors) > 1 and all(r.floor >= -1e-6 for r in floors)
 
 
 def test_top_k_edges(spark):
@@ -145,6 +168,14 @@ def test_url_rules(spark):
     assert {r.verdict_ for r in urlrules.filter_urls(pages, table.limit(0)).collect()} == {"allow"}
 
 
+def test_deep_rules_are_met(spark):
+    rules = [(1, "h.example.com/a/b/c/d/", "block"), (2, "b.c.d.e.f.example.com/", "block"), (3, "example.com/" + "x/" * 40, "block"), (4, "z.b.c.d.e.f.example.com/1/2/3/4/5/6?q", "allow")]
+    urls = {"http://h.example.com/a/b/c/d/e": "block", "http://a.b.c.d.e.f.example.com/x": "block", "http://w.example.com/" + "x/" * 41 + "y": "block", "http://w.example.com/" + "x/" * 39: "allow", "http://y.z.b.c.d.e.f.example.com/1/2/3/4/5/6?q": "allow", "http://c.d.e.f.example.com/": "allow"}
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    table = spark.createDataFrame(rules, "rule_id bigint, pattern string, action string")
+    assert {r.url: r.verdict for r in urlrules.filter_urls(pages, table).collect()} == urls
+
+
 def brute_best_fit(sizes, capacity):
     gaps = []
     for s in sorted(sizes, reverse=True):
