@@ -1,113 +1,41 @@
 """Bulk-synchronous best-fit packing of documents into sequences of a fixed capacity.
 
-A document longer than the capacity is cut into full sequences and a rest. The remaining pieces are
-packed in supersteps, by size classes from large to small, (capacity/2, capacity],
-(capacity/4, capacity/2] and so on. In a superstep the class's pieces and the gaps of the open
-sequences are in order of size, and one sweep from large to small gives each piece the least gap
-that holds it (its successor). Where pieces compete, rank decides: larger first, then by
-(doc_id, piece). A gap takes pieces of the one size that won it, as many as fit and are left. Then the
-gaps shrink and the sweep is repeated; when it places nothing, new sequences are opened for the
-first of the pieces left, one for each ``capacity // class bound`` of them.
-
-Sizes are whole numbers up to the capacity, so the order is held as runs of equal size: (size, how
-many), at most ``capacity`` runs however many documents there are. The sweeps work on runs and give
-intervals of ranks; ranking the pieces within their size and placing them is one distributed pass.
+A document longer than the capacity is cut into full sequences and a rest. The pieces are packed in supersteps, by
+size classes from large to small: (capacity/2, capacity], (capacity/4, capacity/2] and so on, the last from 1. The
+open sequences with their gaps are a table. In a superstep
+
+* the class's pieces and the gaps, cut into slots (a gap of several class bounds is several slots), are range-sorted together by
+  size, larger first, and swept: each piece, from large to small, takes the least slot that holds it, its
+  successor. On a sorted run that is the matching of brackets, slots opening and pieces closing: every partition
+  matches its own, in one pass, and what stays open on either side is matched between partitions
+  as intervals of ranks, composed from two numbers of each partition;
+* where pieces compete for a slot, rank decides: larger first, then by (doc_id, piece);
+* the gaps shrink by what they got, and the sweep is repeated with the pieces left. When it places nothing, new
+  sequences are opened for the first of the pieces left, one for each ``capacity // class bound`` of them, in the last
+  class as many as their tokens fill.
+
+Every state is a written table; the driver sees a few numbers for each partition of a sweep.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.llm.mixing import token_count
 from paperloom.session import written
 
 CAPACITY = 2048
-_SALTS = 32
-#: size, first rank, first sequence, pieces in each sequence, place of the first piece, pieces in all.
-Move = tuple[int, int, int, int, int, int]
-
-
-def superstep_plan(counts: dict[int, int], capacity: int) -> list[Move]:
-    """The moves that place ``counts[size]`` pieces of each size from 1 to ``capacity``."""
-    moves: list[Move] = []
-    left = {s: n for s, n in counts.items() if 0 < s <= capacity and n > 0}
-    rank: dict[int, int] = defaultdict(int)
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    opened = 0
-
-    def place(size: int, n: int, gap: int, start: int, sequences: int, after: dict[int, list[tuple[int, int]]]) -> None:
-        """``n`` pieces into the interval of sequences with that gap, which they just need."""
-        each = gap // size
-        moves.append((size, rank[size], start, each, capacity - gap, n))
-        full, rest = divmod(n, each)
-        rank[size] += n
-        left[size] -= n
-        for first, many, filled in ((start, full, each), (start + full, int(rest > 0), rest)):
-            if many and gap - filled * size > 0:
-                after[gap - filled * size].append((first, many))
-        assert full + (rest > 0) == sequences
-
-    bound = capacity
-    while bound >= 1:
-        own = sorted((s for s in left if bound // 2 < s <= bound), reverse=True)
-        while any(left[s] for s in own):
-            # successor sweep
-            stack = [(g, i) for g in sorted((g for g in gaps if g >= own[-1] and gaps[g]), reverse=True) for i in reversed(gaps[g])]
-            after: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            usable: list[tuple[int, tuple[int, int]]] = []
-            at, placed = 0, False
-            for g in {g for g, _ in stack}:
-                gaps[g] = []
-            for s in own:
-                while at < len(stack) and stack[at][0] >= s:
-                    usable.append(stack[at])
-                    at += 1
-                while left[s] and usable:
-                    g, (start, many) = usable.pop()
-                    each = g // s
-                    need = min(many, -(-left[s] // each))
-                    place(s, min(left[s], need * each), g, start, need, after)
-                    placed = True
-                    if need < many:
-                        usable.append((g, (start + need, many - need)))
-            for g, interval in usable + stack[at:]:
-                gaps[g].append(interval)
-            for g, intervals in after.items():
-                gaps[g] += intervals
-            for g in gaps:
-                gaps[g] = _joined(gaps[g])
-            if placed:
-                continue
-            new = -(-sum(left[s] for s in own) // (capacity // bound))
-            gaps[capacity] = []
-            fresh: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for s in own:
-                n = min(left[s], new)
-                if n:
-                    moves.append((s, rank[s], opened, 1, 0, n))
-                    if capacity > s:
-                        fresh[capacity - s].append((opened, n))
-                    opened, rank[s], left[s], new = opened + n, rank[s] + n, left[s] - n, new - n
-            for g, intervals in fresh.items():
-                gaps[g] = _joined(gaps[g] + intervals)
-        bound //= 2
-    return moves
-
-
-def _joined(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Intervals in order, neighbours made one."""
-    out: list[tuple[int, int]] = []
-    for start, n in sorted(intervals):
-        if out and out[-1][0] + out[-1][1] == start:
-            out[-1] = (out[-1][0], out[-1][1] + n)
-        else:
-            out.append((start, n))
-    return out
+#: The class of the smallest pieces reaches from 1 to this size or to the first halving under its double.
+LEAST_CLASS = 16
+#: Pieces and slots in a partition of a sweep, about.
+PARTITION_ROWS = 1 << 17
+_PIECE = ["doc_id", "piece", "start", "tokens"]
 
 
 def pieces(items: DataFrame, capacity: int) -> DataFrame:
@@ -118,47 +46,162 @@ def pieces(items: DataFrame, capacity: int) -> DataFrame:
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("tokens") - start).alias("tokens"))
 
 
+def matched(is_piece: np.ndarray) -> np.ndarray:
+    """For each row of a sorted run the place of the row it is matched with, or -1.
+
+    Slots open and pieces close brackets: a piece meets the last slot before it that is still open.
+    """
+    step = np.where(is_piece, -1, 1)
+    level = np.cumsum(step)
+    lowest = np.minimum(0, np.minimum.accumulate(level))
+    before = np.append(0, lowest[:-1])
+    alone = is_piece & (level < before)  # no slot is open: the run's level falls to a new low
+    depth = level - lowest + is_piece  # of a pair, the level that its slot opens
+    rows = np.flatnonzero(~alone)
+    order = rows[np.lexsort((rows, depth[rows]))]
+    out = np.full(len(is_piece), -1, np.int64)
+    pair = np.flatnonzero(~is_piece[order[:-1]] & is_piece[order[1:]] & (depth[order[:-1]] == depth[order[1:]])) if len(order) > 1 else np.zeros(0, np.int64)
+    out[order[pair]], out[order[pair + 1]] = order[pair + 1], order[pair]
+    return out
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches a partition's run; rows left alone get their rank among the partition's pieces, or slots, left alone."""
+    from pyspark import TaskContext
+
+    held = list(batches)
+    if not held:
+        return
+    run = pa.Table.from_batches(held).combine_chunks()
+    is_piece = run.column("is_piece").to_numpy().astype(bool)
+    other = matched(is_piece)
+    seq = run.column("seq").fill_null(-1).to_numpy()
+    keep = is_piece | (other < 0)
+    alone = other < 0
+    rank = np.where(is_piece, np.cumsum(is_piece & alone), np.cumsum(~is_piece & alone)) - 1
+    got = np.where(is_piece & ~alone, seq[np.maximum(other, 0)], seq)
+    cols = {"part": np.full(len(seq), TaskContext.get().partitionId()), "rank": np.where(alone, rank, -1), "seq": got}
+    out = run.select(["is_piece", *_PIECE])
+    for name, values in cols.items():
+        nulls = is_piece & alone if name == "seq" else None
+        out = out.append_column(name, pa.array(values.astype(np.int64), mask=nulls))
+    yield from out.filter(pa.array(keep)).to_batches()
+
+
+def between(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
+    """Matches what partitions left alone, from (partition, pieces, slots) in order of size.
+
+    Gives (partition of the pieces, first rank, how many, partition of the slots, first slot rank), the slots taken
+    from the last, the least, on, and how many pieces of each partition are matched. A partition's pieces
+    are matched from the first on.
+    """
+    stack: list[list[int]] = []
+    moves, done = [], {}
+    for part, n_pieces, n_slots in sorted(counts):
+        at = 0
+        while at < n_pieces and stack:
+            n = min(n_pieces - at, stack[-1][1])
+            moves.append((part, at, n, stack[-1][0], stack[-1][1] - 1))
+            stack[-1][1] -= n
+            at += n
+            if not stack[-1][1]:
+                stack.pop()
+        done[part] = at
+        if n_slots:
+            stack.append([part, n_slots])
+    return moves, done
+
+
+def sweep(left: DataFrame, slots: DataFrame | None, rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(pieces that got a sequence, pieces left with their rank, how many are left) of one superstep."""
+    spark = left.sparkSession
+    shape = [F.lit(True).alias("is_piece"), *_PIECE, F.lit(None).cast("bigint").alias("seq"), F.col("tokens").alias("size")]
+    both = left.select(*shape)
+    if slots is not None:
+        empty = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in _PIECE]
+        both = both.unionByName(slots.select(F.lit(False).alias("is_piece"), *empty, "seq", "size"))
+    order = [F.desc("size"), "is_piece", "doc_id", "piece", "seq"]
+    ran = both.repartitionByRange(max(1, -(-rows // PARTITION_ROWS)), *order).sortWithinPartitions(*order)
+    kind = T.StructType([*(ran.schema[c] for c in ("is_piece", *_PIECE)), *(T.StructField(c, T.LongType()) for c in ("part", "rank", "seq"))])
+    ran = written(ran.mapInArrow(_sweep, kind), "pack-sweep")
+    alone = ran.where("rank >= 0")
+    counts = [(r["part"], r["pieces"], r["slots"]) for r in alone.groupBy("part").agg(F.count_if("is_piece").alias("pieces"), F.count_if(~F.col("is_piece")).alias("slots")).collect()]  # a row for each partition
+    moves, done = between(counts)
+    got = ran.where("is_piece and rank < 0").select(*_PIECE, "seq")
+    if moves:
+        table = F.broadcast(spark.createDataFrame(moves, "m_part bigint, m_rank bigint, n bigint, s_part bigint, s_rank bigint"))  # two rows for each partition at most
+        lone = alone.where("is_piece").join(table, (F.col("part") == F.col("m_part")) & (F.col("rank") >= F.col("m_rank")) & (F.col("rank") < F.col("m_rank") + F.col("n")))
+        lone = lone.select(*_PIECE, "s_part", (F.col("s_rank") - (F.col("rank") - F.col("m_rank"))).alias("at"))
+        free = alone.where("not is_piece").select(F.col("part").alias("s_part"), F.col("rank").alias("at"), "seq")
+        got = got.unionByName(lone.join(free, ["s_part", "at"]).select(*_PIECE, "seq"))
+    offset, total = {}, 0
+    for part, n, _ in sorted(counts):
+        offset[part] = (done[part], total)
+        total += n - done[part]
+    if not total:
+        return got, left.limit(0).withColumn("nth", F.lit(0).cast("bigint")), 0
+    starts = F.broadcast(spark.createDataFrame([(p, d, o) for p, (d, o) in offset.items()], "o_part bigint, done bigint, o bigint"))  # a row for each partition
+    rest = alone.where("is_piece").join(starts, F.col("part") == F.col("o_part")).where("rank >= done")
+    return got, rest.select(*_PIECE, (F.col("rank") - F.col("done") + F.col("o")).alias("nth")), total
+
+
+def slots_of(gaps: DataFrame, low: int, high: int, each: Column | int) -> DataFrame:
+    """(seq, size): the gaps that can hold a piece of the class (low, high], cut into at most ``each`` slots."""
+    many = F.greatest(F.lit(1), F.least(F.expr(f"gap div {high}"), F.lit(each).cast("bigint")))
+    cut = gaps.where(F.col("gap") > low).select("seq", "gap", many.alias("many")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("many"))))
+    return cut.select("seq", F.when(F.col("k") < F.col("many"), F.lit(high)).otherwise(F.col("gap") - (F.col("many") - 1) * high).cast("bigint").alias("size"))
+
+
 def place_pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, tokens, seq_id, at): each piece and its place in a sequence.
+    """(doc_id, piece, start, tokens, seq_id): each piece and its sequence.
 
     ``items`` has (doc_id, tokens). Equal rows are pieces of their own, a null doc_id comes first, and
     items whose tokens are null or not above 0 are left out.
     """
-    cut = pieces(items, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_SALTS)).cast("int"))
-    cut = written(cut, "pack-pieces")
-    by_salt = np.zeros((capacity + 1, _SALTS), np.int64)
-    for size, salt, n in cut.groupBy("tokens", "salt").count().collect():  # capacity * _SALTS rows at most
-        by_salt[size, salt] = n
-    totals = by_salt.sum(1)
-    offsets = np.cumsum(by_salt, 1) - by_salt
-    moves = np.array(sorted(superstep_plan({s: int(n) for s, n in enumerate(totals)}, capacity)), np.int64).reshape(-1, 6)
-    base = np.cumsum(totals) - totals  # ranks of all sizes in one order, so that one search serves all rows
-    key = base[moves[:, 0]] + moves[:, 1]
-
-    def run(size: pa.Array, salt: pa.Array, nth: pa.Array) -> pa.Array:
-        s, own = size.to_numpy(zero_copy_only=False), salt.to_numpy(zero_copy_only=False)
-        rank = offsets[s, own] + nth.to_numpy(zero_copy_only=False) - 1
-        move = moves[np.searchsorted(key, base[s] + rank, side="right") - 1] if len(s) else moves[:0]
-        within = rank - move[:, 1]
-        each = np.maximum(1, move[:, 3])
-        return pa.StructArray.from_arrays([pa.array(move[:, 2] + within // each), pa.array(move[:, 4] + within % each * s)], names=["seq_id", "at"])
-
-    assert (np.diff(key) > 0).all()
-    nth = F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("doc_id", "piece"))
-    placed = cut.withColumn("nth", nth).withColumn("p", F.arrow_udf(run, "seq_id bigint, at bigint")("tokens", "salt", "nth"))
-    return placed.select("doc_id", "piece", "start", "tokens", "p.seq_id", "p.at")
+    spark = items.sparkSession
+    cut = written(pieces(items, capacity), "pack-pieces")
+    kind = T.StructType([*cut.schema.fields, T.StructField("seq", T.LongType())])
+    placed: list[DataFrame] = []
+    gaps, opened = spark.createDataFrame([], "seq bigint, gap bigint"), 0
+    high = capacity
+    while high:
+        low = high // 2 if high // 2 >= LEAST_CLASS else 0
+        left = cut.where(F.col("tokens").between(low + 1, high))
+        n_left = left.count()
+        while n_left:
+            fitting = gaps.where(F.col("gap") > low).count() if opened else 0
+            each = -(-2 * n_left // max(1, fitting))  # more slots than twice the pieces can't be needed at once
+            slots = slots_of(gaps, low, high, each) if fitting else None
+            got, rest, n_rest = sweep(left, slots, n_left + min(2 * n_left + fitting, fitting * (capacity // high + 1)))
+            if n_rest == n_left:
+                new = -(-n_left // (capacity // high)) if low else -(-left.agg(F.sum("tokens")).first()[0] // capacity)
+                first = rest.where(F.col("nth") < new).select(*_PIECE, (F.col("nth") + opened).alias("seq"))
+                got, rest, n_rest = first, rest.where(F.col("nth") >= new), n_left - new
+                gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("bigint").alias("gap")))
+                opened += new
+            got = written(got, "pack-got")
+            placed.append(got)
+            filled = got.groupBy(F.col("seq").alias("own")).agg(F.sum("tokens").alias("filled"))
+            gaps = written(gaps.join(filled, F.col("seq") == F.col("own"), "left").select("seq", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")).where("gap > 0"), "pack-gaps")
+            left, n_left = written(rest.select(*_PIECE), "pack-left") if n_rest else None, n_rest
+        high = low
+    out = spark.createDataFrame([], kind)
+    for got in placed:
+        out = out.unionByName(got)
+    return out.withColumnRenamed("seq", "seq_id")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
-    """(seq_id, tokens, doc_ids, starts, lengths): one row for each sequence, its pieces in order."""
-    rows = placed.groupBy("seq_id").agg(F.sum("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("at", "doc_id", "start", "tokens"))).alias("p"))
+    """(seq_id, tokens, doc_ids, starts, lengths): one row for each sequence, its pieces from large to small, then by doc_id and start."""
+    rows = placed.groupBy("seq_id").agg(F.sum("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct((-F.col("tokens")).alias("less"), "doc_id", "start", "tokens"))).alias("p"))
     return rows.select("seq_id", "tokens", F.col("p.doc_id").alias("doc_ids"), F.col("p.start").alias("starts"), F.col("p.tokens").alias("lengths"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sequences that hold all tokens of ``docs``; see :func:`sequences`.
 
-    Texts that are null, empty or only white space have no tokens and are in no sequence. Repeated
-    rows are packed as often as they are there. No rows give no rows.
+    Texts that are null, empty or only white space have no tokens and are in no sequence; very long ones are cut
+    into as many sequences as they need. Repeated rows are packed as often as they are there, ties go by doc_id and piece.
+    Other columns, whatever their names, are not looked at. No rows give no rows.
     """
     return sequences(place_pieces(docs.select(F.col(id_col).alias("doc_id"), token_count(F.col(text_col)).alias("tokens")), capacity))

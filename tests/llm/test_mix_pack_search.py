@@ -187,20 +187,54 @@ def brute_best_fit(sizes, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_plan_is_valid_and_near_best_fit(seed):
+def naive_matches(is_piece):
+    open_, out = [], [-1] * len(is_piece)
+    for k, piece in enumerate(is_piece):
+        if not piece:
+            open_.append(k)
+        elif open_:
+            out[k] = open_.pop()
+            out[out[k]] = k
+    return out
+
+
+def test_sweep_is_the_matching_of_brackets():
+    rng = np.random.default_rng(0)
+    for _ in range(400):
+        run = rng.random(int(rng.integers(0, 40))) < rng.random()
+        want = naive_matches(run)
+        assert packing.matched(run).tolist() == want
+        # cut into partitions: own matches and those between partitions are those of the whole run
+        cuts = np.sort(rng.integers(0, len(run) + 1, 3))
+        got, alone, counts = [-1] * len(run), {}, []
+        for part, own in enumerate(np.split(np.arange(len(run)), cuts)):
+            other = packing.matched(run[own])
+            for k, o in zip(own, other, strict=True):
+                got[k] = int(own[o]) if o >= 0 else -1
+            alone[part] = [own[(other < 0) & run[own]], own[(other < 0) & ~run[own]]]
+            counts.append((part, *map(len, alone[part])))
+        moves, done = packing.between(counts)
+        for part, first, n, s_part, s_rank in moves:
+            for k in range(n):
+                a, b = alone[part][0][first + k], alone[s_part][1][s_rank - k]
+                got[a], got[b] = b, a
+        assert got == want and all(done[p] == sum(got[k] >= 0 for k in alone[p][0]) for p in alone)
+
+
+@pytest.mark.parametrize(("seed", "rows"), [(0, 1 << 17), (1, 40)])
+def test_packing_is_near_best_fit(spark, monkeypatch, seed, rows):
+    monkeypatch.setattr(packing, "PARTITION_ROWS", rows)
+    monkeypatch.setattr(packing, "LEAST_CLASS", 8)
     rng = np.random.default_rng(seed)
-    capacity = 64
-    sizes = np.minimum(64, np.maximum(1, (rng.pareto(1.2, 3000) * 6).astype(int)))
-    moves = packing.superstep_plan(Counter(map(int, sizes)), capacity)
-    fill, placed = Counter(), Counter()
-    for size, rank, start, each, at, n in moves:
-        for k in range(n):
-            fill[start + k // each] += size
-        placed[size] += n
-        assert at + each * size <= capacity
-    assert placed == Counter(map(int, sizes)) and max(fill.values()) <= capacity
-    assert len(fill) <= 1.02 * brute_best_fit(sizes, capacity) + 1
+    sizes = [int(x) for x in np.minimum(64, np.maximum(1, (rng.pareto(1.2, 700) * 6).astype(int)))] + [64] * 20
+    items = spark.createDataFrame([(i if i % 50 else None, n) for i, n in enumerate(sizes)], "doc_id bigint, tokens bigint")
+    placed = packing.place_pieces(items, 64).collect()
+    fill = Counter()
+    for r in placed:
+        fill[r.seq_id] += r.tokens
+    assert Counter(r.tokens for r in placed) == Counter(sizes) and max(fill.values()) <= 64
+    assert sorted(fill) == list(range(len(fill)))
+    assert len(fill) <= 1.02 * brute_best_fit(sizes, 64) + 1
 
 
 def test_packing_keeps_every_token(spark):
