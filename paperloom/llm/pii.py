@@ -4,10 +4,9 @@ Kinds are EMAIL, PHONE, IP, CARD and SECRET in begin/inside tags. The network is
 spans: windows of real text into which made-up items of each kind are set, together with decoys that
 look alike (dates, prices, versions, times, handles, plain numbers, long words, paths).
 
-The network reads every character of every text, in windows of 384 characters every 288; equal windows
+The network reads every character of every text, in windows of 768 characters every 672; equal windows
 of a batch are run once. Each window is decoded by Viterbi's algorithm. Where no tag but O can be on the
-best path (in every place the best other tag, with the dearest two transitions in its favour, still
-loses to O) that path is known without the search. Then spans are reconciled over the document: a character takes
+best path (no run of other tags, with the best transitions in its favour, gains over O) that path is known without the search. Then spans are reconciled over the document: a character takes
 its tag from the window in which it lies nearest the middle; a span is widened to the whole run of
 characters that its kind can hold and kept if the tags cover half of it; it is dropped if it can't be of
 its kind (a card number must pass the Luhn check, an address's numbers must be under 256, a secret has 16
@@ -32,7 +31,7 @@ from paperloom.session import written
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW, STRIDE = 384, 288
+WINDOW, STRIDE = 768, 672
 #: Length of the training windows.
 TRAIN_WINDOW = 160
 #: Documents that lend words to the training windows, and from how many places of its whole text each does, at most.
@@ -42,7 +41,7 @@ EPOCHS = 6
 _EMBED, _HIDDEN, _CHARS = 12, 20, 100
 #: Window lengths are rounded up to a multiple of this, so that a window's padding depends on the window alone.
 _STEP = 64
-_BATCH, _SLICE_CHARS = 384, 1 << 24
+_BATCH, _SLICE_CHARS = 256, 1 << 24
 _FORBIDDEN = -1e4
 #: More than the prefix sums of a window can err.
 _ROUNDING = 0.05
@@ -124,6 +123,18 @@ def crf_loss(emit: np.ndarray, move: np.ndarray, tags: np.ndarray) -> tuple[floa
     return float((z - gold).mean()), demit / n, dmove / n
 
 
+def _joined(held: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Advantages put together to parts of about a batch, because the search goes step by step."""
+    some: list[np.ndarray] = []
+    for part in held:
+        some.append(part)
+        if sum(x.shape[2] for x in some) >= _BATCH:
+            yield np.concatenate(some, 2)
+            some = []
+    if some:
+        yield np.concatenate(some, 2)
+
+
 @dataclass
 class Tagger:
     """Weights: embedding; input, recurrent and bias of both LSTMs, gates in the order input, forget, output, candidate; output, bias, transitions."""
@@ -140,80 +151,94 @@ class Tagger:
         return both @ w + bias, (turned, x, both, kept)
 
     def __post_init__(self) -> None:
-        """What :meth:`advantage` runs on: sums of embedding and input weights by character, and halved
-        weights, because a sigmoid is ``(1 + tanh(x / 2)) / 2`` and the states are kept doubled."""
+        """What :meth:`advantage` runs on: halved weights, because a sigmoid is ``(1 + tanh(x / 2)) / 2`` and
+        the states are kept doubled; state, input and bias weights in one matrix for each direction."""
         embed, wx, wh, b, w, bias, _ = self.theta
-        half = np.array([0.5, 0.5, 0.5, 1.0], wx.dtype)[:, None, None, None]
-        gates = lambda v: v.reshape(*v.shape[:-1], 4, _HIDDEN)
-        self._table = np.ascontiguousarray(np.moveaxis(gates(embed @ wx + b[:, None]), 2, 0) * half).reshape(-1, _HIDDEN)
-        self._held = np.empty(0, self._table.dtype)
-        self._recur = np.ascontiguousarray(np.moveaxis(gates(wh), 2, 0) * half * 0.5)
-        self._out = np.ascontiguousarray((w[:, 1:] - w[:, :1]).reshape(2, _HIDDEN, -1).swapaxes(1, 2) * 0.5)
-        self._bias = (bias[1:] - bias[0])[:, None]
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], wx.dtype), _HIDDEN)
+        self._steps = np.ascontiguousarray(np.concatenate([wh * 0.5, wx, b[:, None]], 1).swapaxes(1, 2) * half[:, None])
+        self._chars = np.ascontiguousarray(embed.T)
+        self._out, self._bias = (w[:, 1:] - w[:, :1]).T * 0.5, (bias[1:] - bias[0])[:, None]
+        self._held = np.empty(0, wx.dtype)
 
     def advantage(self, ids: np.ndarray) -> np.ndarray:
-        """(tags but O, T, B): how far the emission of each tag is above that of O."""
+        """(T, tags but O, B): how far the emission of each tag is above that of O."""
         n, t_max = ids.shape
-        kind = self._table.dtype
+        kind = self._steps.dtype
         size = 2 * t_max * n * _HIDDEN
         if len(self._held) < size:  # kept for the next batch: fresh pages would cost as much as the sums
             self._held = np.empty(size, kind)
-        states = self._held[:size].reshape(2, t_max, n, _HIDDEN)
-        ways = np.stack([ids.T, ids.T[::-1]], 1).astype(np.intp)
-        first = (np.arange(8) * _CHARS).reshape(4, 2, 1)
-        at = np.empty((4, 2, n), np.intp)
-        a, r = np.empty((2, 4, 2, n, _HIDDEN), kind)
-        c, u, h = np.zeros((3, 2, n, _HIDDEN), kind)
+        states = self._held[:size].reshape(t_max, 2 * _HIDDEN, n)
+        turned = np.ascontiguousarray(ids.T).astype(np.intp)
+        fed = np.zeros((2, _HIDDEN + _EMBED + 1, n), kind)
+        fed[:, -1] = 1
+        h, x = fed[:, :_HIDDEN], fed[:, _HIDDEN:-1]
+        c, u = np.zeros((2, 2, _HIDDEN, n), kind)
+        a = np.empty((2, 4 * _HIDDEN, n), kind)
+        i, f, o, g = (a[:, k * _HIDDEN : (k + 1) * _HIDDEN] for k in range(4))
         for t in range(t_max):
-            np.add(ways[t], first, out=at)
-            self._table.take(at, axis=0, out=a, mode="clip")
-            np.matmul(h, self._recur, out=r)
-            np.add(a, r, out=a)
+            self._chars.take(turned[t], axis=1, out=x[0], mode="clip")
+            self._chars.take(turned[t_max - 1 - t], axis=1, out=x[1], mode="clip")
+            np.matmul(self._steps, fed, out=a)
             np.tanh(a, out=a)
-            np.multiply(a[1], c, out=u)
+            np.multiply(f, c, out=u)
             np.add(c, u, out=c)
-            np.multiply(a[0], a[3], out=u)
+            np.multiply(i, g, out=u)
             np.add(c, u, out=c)
-            np.add(c, a[3], out=c)
+            np.add(c, g, out=c)
             np.multiply(c, kind.type(0.5), out=c)
             np.tanh(c, out=u)
-            np.multiply(a[2], u, out=h)
+            np.multiply(o, u, out=h)
             np.add(h, u, out=h)
-            states[0, t], states[1, t_max - 1 - t] = h
-        flat = states.reshape(2, -1, _HIDDEN)
-        return (self._out[0] @ flat[0].T + self._out[1] @ flat[1].T + self._bias).reshape(-1, t_max, n)
+            states[t, :_HIDDEN], states[t_max - 1 - t, _HIDDEN:] = h
+        return self._out @ states + self._bias
 
-    def tags(self, ids: np.ndarray, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, their best tag sequences) of windows (B, T); rows that aren't named are O throughout.
+    def candidates(self, ahead: np.ndarray) -> np.ndarray:
+        """The windows, of their advantages, on whose best path another tag than O may be.
 
         A path that leaves O is made of runs of one kind. What a run can gain over O is at most the
         advantage of the tag that begins it with the best transition into it, those of its inside
         tags with the best transition within, and the best transition out of it; where no run
-        can gain, which prefix sums tell, the path O throughout is the best. Without ``prune`` all rows are
-        searched and named.
+        can gain, which prefix sums tell, the path O throughout is the best.
         """
-        ahead = self.advantage(ids)
         move = self.theta[-1] - self.theta[-1][0, 0]
-        if prune:
-            best_of = lambda v: v.max(0)[:, None, None].astype(ahead.dtype)
-            begin = ahead[0::2] + best_of(move[:, 1::2])
-            inside = np.cumsum(ahead[1::2] + best_of(np.where(_RULES == 0, move, _FORBIDDEN)[:, 2::2]), axis=1)
-            gain = inside - np.minimum.accumulate(inside - begin, axis=1)
-            rows = np.flatnonzero((gain > -max(0.0, float(move[1:, 0].max())) - _ROUNDING).any((0, 1)))
-        else:
-            rows = np.arange(len(ids))
-        emit = np.concatenate([np.zeros((1, ids.shape[1], len(rows)), ahead.dtype), ahead[:, :, rows]]).transpose(1, 2, 0)
-        move = (move + _RULES).astype(emit.dtype)
-        best, back = emit[0] + _START.astype(emit.dtype), []
-        for t in range(1, len(emit)):
+        best_of = lambda v: v.max(0)[:, None].astype(ahead.dtype)
+        start = ahead[:, 0::2] + best_of(move[:, 1::2])
+        inside = ahead[:, 1::2] + best_of(np.where(_RULES == 0, move, _FORBIDDEN)[:, 2::2])
+        np.cumsum(inside, axis=0, out=inside)
+        np.subtract(inside, start, out=start)
+        np.minimum.accumulate(start, axis=0, out=start)
+        np.subtract(inside, start, out=inside)
+        return np.flatnonzero(inside.max((0, 1)) > -max(0.0, float(move[1:, 0].max())) - _ROUNDING)
+
+    def best_paths(self, ahead: np.ndarray) -> np.ndarray:
+        """(B, T): the best tag sequence of each window, by Viterbi's algorithm."""
+        t_max, _, n = ahead.shape
+        emit = np.concatenate([np.zeros((t_max, 1, n), ahead.dtype), ahead], 1).transpose(0, 2, 1)
+        move = (self.theta[-1] + _RULES).astype(emit.dtype)
+        best, back, row = emit[0] + _START.astype(emit.dtype), [], np.arange(n)
+        for t in range(1, t_max):
             way = best[:, :, None] + move
             back.append(way.argmax(1).astype(np.uint8))
             best = emit[t] + way.max(1)
-        out = np.empty((len(rows), ids.shape[1]), np.uint8)
+        out = np.empty((n, t_max), np.uint8)
         out[:, -1] = best.argmax(1)
-        for t in range(len(emit) - 2, -1, -1):
-            out[:, t] = np.take_along_axis(back[t], out[:, t + 1, None], 1)[:, 0]
-        return rows, out
+        for t in range(t_max - 2, -1, -1):
+            out[:, t] = back[t][row, out[:, t + 1]]
+        return out
+
+    def tags(self, ids: np.ndarray, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, their best tag sequences) of windows (B, T); rows that aren't named are O throughout.
+
+        Without ``prune`` all rows are searched and named.
+        """
+        rows, held = [np.zeros(0, np.int64)], []
+        for i in range(0, len(ids), _BATCH):
+            ahead = self.advantage(ids[i : i + _BATCH])
+            own = self.candidates(ahead) if prune else np.arange(ahead.shape[2])
+            rows.append(own + i)
+            held.append(ahead[:, :, own])
+        found = [self.best_paths(part) for part in _joined(held)]
+        return np.concatenate(rows), np.concatenate(found) if found else np.zeros((0, ids.shape[1]), np.uint8)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Writes the weights as a table of one row."""
@@ -362,15 +387,13 @@ def spans(model: Tagger, texts: list[str], prune: bool = True) -> list[list[tupl
         ids = ids.view(np.uint8).reshape(-1, size)
         order = np.argsort(which, kind="stable")
         first = np.searchsorted(which[order], np.arange(len(ids) + 1))
-        for i in range(0, len(ids), _BATCH):
-            rows, best = model.tags(ids[i : i + _BATCH], prune)
-            for row, found in zip(rows, best, strict=True):
-                if not found.any():
-                    continue
-                for k in own[order[first[i + row] : first[i + row + 1]]]:
-                    a, b = margin if start[k] else 0, length[k] if last[k] else STRIDE + margin
-                    to = base[text[k]] + start[k]
-                    tag[to + a : to + b] = found[a:b]
+        for row, found in zip(*model.tags(ids, prune), strict=True):
+            if not found.any():
+                continue
+            for k in own[order[first[row] : first[row + 1]]]:
+                a, b = margin if start[k] else 0, length[k] if last[k] else STRIDE + margin
+                to = base[text[k]] + start[k]
+                tag[to + a : to + b] = found[a:b]
     hit = np.add.reduceat(np.append(tag > 0, False), np.append(base, len(tag)))[:-1] * (lengths > 0) if len(texts) else []
     return [reconcile(t, tag[b : b + n]) if h else [] for t, b, n, h in zip(texts, base, lengths, hit, strict=True)]
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import pii, puquality, rules
 from paperloom.llm.textstats import NAMES, statistics
@@ -63,11 +64,26 @@ def test_classifier_hold_out_and_edges(spark, corpus):
     assert puquality.keep_good(docs, labels.limit(0)).count() == docs.count()
 
 
+def table(spark, x):
+    return spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in NAMES))
+
+
 def test_negative_labels_are_not_used(spark, corpus):
     docs, labels = corpus
-    pos, unl = puquality.training_rows(docs, labels, 50, "doc_id", "text")
+    other = docs.join(labels.where("quality = 0").select("doc_id").withColumn("bad", F.lit(True)), "doc_id", "left")
+    other = other.withColumn("text", F.when(F.col("bad"), F.lit("wholly other words 1234")).otherwise(F.col("text"))).select(*docs.columns)
+    one, two = puquality.train(docs, labels), puquality.train(other, labels)
+    assert (one.w1 == two.w1).all() and one.prior == two.prior
+    pos, unl = puquality.training_rows(puquality.statistics_table(docs, labels, "doc_id", "text"), 50)
     assert len(pos) == 50 and len(unl) == 50
-    assert 0.5 < puquality.estimate_prior(*_sets(0.8)) < 0.95
+
+
+def test_one_id_in_many_rows_is_one_training_row(spark):
+    rows = [(1, f"the same id {i}", 1) for i in range(500)] + [(2, "good text here", 1), (3, "some more text", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, s int")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    pos, unl = puquality.training_rows(puquality.statistics_table(docs, labels, "doc_id", "text"))
+    assert (len(pos), len(unl)) == (2, 1)
 
 
 def _sets(share):
@@ -77,11 +93,75 @@ def _sets(share):
     return p, u
 
 
-def test_risk_gradient_lowers_loss():
+def test_prior_is_counted_over_all_rows(spark):
+    p, u = _sets(0.8)
+    prior = puquality.estimate_prior(p, u, table(spark, u))
+    assert 0.65 < prior < 0.95
+    model = puquality._train(p[::2], u[::2], None, 3)
+    cuts, scores = np.sort(model.scores(p[1::2])), model.scores(u[1::2])
+    assert prior == pytest.approx(puquality.best_bin(cuts, np.array([(scores >= c).mean() for c in cuts]), len(scores)))
+    assert puquality.estimate_prior(p, u, table(spark, u).limit(0)) == 0.5
+
+
+@pytest.mark.parametrize("prior", [None, 0.3, 0.99])
+def test_gradient_is_that_of_the_risk(prior):
+    rng = np.random.default_rng(0)
+    x, is_pos = rng.normal(size=(30, len(NAMES))), np.arange(30) < 12
+    theta = [rng.normal(size=(len(NAMES), 4)), rng.normal(size=4), rng.normal(size=4), np.array([0.1])]
+    if prior == 0.99:  # positives far above the rest: the second part is below zero
+        theta, x = [np.zeros((len(NAMES), 4)), np.zeros(4), np.array([3.0, 0, 0, 0]), np.array([0.0])], x
+        theta[0][0, 0] = 1
+        x[:, 0] = np.where(is_pos, 2, -2)
+    loss, grad, turned = puquality.risk(theta, x, is_pos, prior)
+    assert turned == (prior == 0.99)
+
+    def value(t):
+        h = np.tanh(x @ t[0] + t[1]) @ t[2] + t[3]
+        low, high = np.logaddexp(0, -h), np.logaddexp(0, h)
+        if prior is None:
+            return low[is_pos].mean() + high[~is_pos].mean()
+        rest = high[~is_pos].mean() - prior * high[is_pos].mean()
+        return -rest if turned else prior * low[is_pos].mean() + rest
+
+    assert turned or loss == pytest.approx(value(theta))
+    for k, part in enumerate(theta):
+        for at in np.ndindex(part.shape):
+            moved = [t.copy() for t in theta]
+            moved[k][at] += 1e-6
+            assert (value(moved) - value(theta)) / 1e-6 == pytest.approx(grad[k][at], abs=1e-4)
+
+
+def test_fit_needs_two_of_each(spark):
     p, u = _sets(0.5)
-    model = puquality.fit(p, u)
+    model = puquality.fit(p, u, table(spark, u))
     assert (model.scores(p) > 0).mean() > 0.95
-    assert puquality.fit(p[:1], u) is None
+    assert puquality.fit(p[:1], u, table(spark, u)) is None
+
+
+def test_best_condition_is_that_of_all(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.random((60, len(NAMES))), 1)
+    is_bad = (x[:, 3] > 0.55) ^ (rng.random(60) < 0.1)
+    gain, condition = rules._best(x, is_bad)
+    p0, every = is_bad.sum(), []
+    for k, name in enumerate(NAMES):
+        values = np.unique(x[:, k])
+        for cut in (values[1:] + values[:-1]) / 2:
+            for above in (True, False):
+                hit = x[:, k] >= cut if above else x[:, k] <= cut
+                p = (hit & is_bad).sum()
+                every.append(p * (np.log2(p / hit.sum()) - np.log2(p0 / 60)) if p else 0)
+    assert gain == pytest.approx(max(every))
+    hit = condition.mask(x)
+    assert (hit & is_bad).sum() * (np.log2((hit & is_bad).sum() / hit.sum()) - np.log2(p0 / 60)) == pytest.approx(gain)
+
+
+def test_list_is_as_long_as_the_data_need():
+    rng = np.random.default_rng(3)
+    x = np.zeros((4000, len(NAMES)))
+    x[:, 0] = rng.integers(0, 120, 4000)
+    learnt = rules.learn(x, x[:, 0] % 3 == 0)  # forty separate strips, each two conditions
+    assert len(learnt) > 32
 
 
 @pytest.fixture(scope="module")
@@ -188,7 +268,7 @@ def test_pruned_search_is_the_whole_search(tagger):
 def test_fast_pass_is_the_network(tagger):
     ids = np.random.default_rng(0).integers(0, 98, (5, 64)).astype(np.uint8)
     emit, _ = tagger.emissions(ids)
-    assert np.allclose(np.moveaxis(emit[..., 1:] - emit[..., :1], 2, 0), tagger.advantage(ids), atol=1e-3)
+    assert np.allclose((emit[..., 1:] - emit[..., :1]).transpose(0, 2, 1), tagger.advantage(ids), atol=1e-3)
 
 
 def test_windows_cover_every_character():
