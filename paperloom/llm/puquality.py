@@ -147,8 +147,9 @@ def statistics_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
     A document with several labels is positive if all are; labels without a quality count as none.
     """
     label = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"))
-    stats = docs.select(F.col(id_col).alias("id"), text_stats(F.col(text_col)).alias("s")).select("id", "s.*").where("words > 0")
-    return written(stats.join(label, stats["id"] == label["label_id"], "left").drop("label_id"), "quality-stats")
+    stats = docs.select(F.col(id_col).alias("id"), text_stats(F.col(text_col)).alias("s")).select("id", "s.*")
+    # filtered after it is written: a filter on what Python gave would be pushed below and have it made twice
+    return written(stats.join(label, stats["id"] == label["label_id"], "left").drop("label_id"), "quality-stats").where("words > 0")
 
 
 def training_rows(stats: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +193,7 @@ def score(model: Model, text: Column) -> Column:
     def run(column: pa.Array) -> pa.Array:
         return pa.array(model.scores(statistics(column)))
 
-    return F.arrow_udf(run, "double")(text)
+    return F.arrow_udf(run, "double").asNondeterministic()(text)  # so that a filter on it isn't pushed below and scored twice
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

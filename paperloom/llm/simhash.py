@@ -76,7 +76,8 @@ def _fingerprint(text: pa.Array) -> pa.Array:
 
 def fingerprint(text: Column) -> Column:
     """The two halves of the fingerprint and the number of words."""
-    return F.arrow_udf(_fingerprint, "hi bigint, lo bigint, words bigint")(text)
+    # so that a filter on it isn't pushed below and the fingerprint made twice
+    return F.arrow_udf(_fingerprint, "hi bigint, lo bigint, words bigint").asNondeterministic()(text)
 
 
 def segment_value(hi: np.ndarray, lo: np.ndarray, segment: int) -> np.ndarray:

@@ -86,7 +86,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Dat
     deepest = known.agg(F.max(F.size(F.split(F.split_part(place, F.lit("/"), F.lit(1)), r"\."))).alias("labels"), F.max(F.size(F.split(place, "/")) - 2).alias("directories")).first()  # one row
     known = known.select("rule_id", "action", "expression", "digest", F.substring("digest", 1, PREFIX_DIGITS).alias("short"))
     # rules meet distinct URLs, so repeated URLs cost nothing more
-    urls = pages.select(F.col(url_col).alias("u")).where("u is not null").distinct()
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given keeps the expansion from being coalesced to few tasks
+    urls = pages.select(F.col(url_col).alias("u")).where("u is not null").repartition(parts, "u").distinct()
     host, path, query = canonical_parts(F.col("u"))
     urls = urls.select("u", host.alias("host"), path.alias("path"), query.alias("query")).where("host is not null")
     each = urls.select("u", F.explode(host_suffixes(F.col("host"), deepest.labels or 0)).alias("suffix"), path_prefixes(F.col("path"), F.col("query"), deepest.directories or 0).alias("paths"))
