@@ -208,12 +208,32 @@ def simhash_pairs_t3(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("least_hi"), F.greatest(a, b).alias("greatest_hi"), "distance")
 
 
-@query()
+def _leaders_sql(source: str) -> str:
+    """CTEs over blocks (path, pos, norm, words): ``fuzzy`` has those that the greedy rule removes."""
+    return f"""split AS (SELECT DISTINCT norm, string_split(norm, ' ') AS w FROM {source}), shingles AS (
+    SELECT norm, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS s FROM split WHERE len(w) >= 3
+), hashed AS (SELECT norm, {_HEX('s', 1)} AS hi, {_HEX('s', 9)} AS ho FROM shingles
+), voted AS (SELECT norm, {_BITS} FROM hashed GROUP BY norm
+), prints AS (SELECT norm, {_HALF(0)} AS sim_hi, {_HALF(1)} AS sim_lo FROM voted
+), placed AS (SELECT e.path, e.pos, e.words, sim_hi, sim_lo FROM {source} e JOIN prints p ON e.norm = p.norm
+), nodes AS (SELECT sim_hi, sim_lo, min((path, pos)) AS place, row_number() OVER (ORDER BY min((path, pos))) AS id FROM placed GROUP BY sim_hi, sim_lo
+), near AS (SELECT a.id AS earlier, b.id FROM nodes a JOIN nodes b ON a.id < b.id AND bit_count(xor(a.sim_hi, b.sim_hi)) + bit_count(xor(a.sim_lo, b.sim_lo)) <= 3
+), later AS (SELECT id, list(earlier) AS before, row_number() OVER (ORDER BY id) AS i FROM near GROUP BY id
+), walk AS (
+    SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL
+    SELECT l.i, CASE WHEN len(list_filter(l.before, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, l.id) ELSE w.gone END FROM walk w JOIN later l ON l.i = w.i + 1
+), lost AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1)
+), fuzzy AS (SELECT p.path, p.pos, p.words FROM placed p JOIN nodes n ON p.sim_hi = n.sim_hi AND p.sim_lo = n.sim_lo WHERE n.id IN (SELECT id FROM lost) OR (p.path, p.pos) <> n.place)"""
+
+
+@query(f"WITH RECURSIVE {_BLOCKS}, {_leaders_sql('eligible')} SELECT path, pos::INTEGER AS pos, words, 'fuzzy' AS how FROM fuzzy")
 def dedup_fuzzy_leaders(spark: SparkSession, d: str) -> DataFrame:
     return blockdedup.removed_blocks(_docs(spark, d), "fuzzy", delimiter="\n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BLOCKS}, firsts AS (SELECT * FROM ranked WHERE nth = 1), {_leaders_sql('firsts')}, exact AS (SELECT path, pos, words FROM ranked WHERE nth > 1)
+SELECT (SELECT count(*) FROM blocks) AS total_blocks, (SELECT count(*) FROM exact) AS removed_exact, (SELECT count(*) FROM fuzzy) AS removed_fuzzy,
+    (SELECT coalesce(sum(words), 0) FROM (SELECT words FROM exact UNION ALL SELECT words FROM fuzzy))::BIGINT AS words_removed""")
 def dedup_both(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     return blockdedup.dedup_stats(docs, written(blockdedup.removed_blocks(docs, "both", delimiter="\n"), "dedup-both"), "\n")
@@ -370,10 +390,10 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     return found.join(labelled, "expected_id", "left").withColumn("grade", F.coalesce("grade", F.lit("unknown")))
 
 
-_ASKED = f"""{_GOLD}, asked AS (SELECT DISTINCT g.doc_id AS query_id, 'What does the documentation say about ' || heading || '?' AS text FROM gold g SEMI JOIN labels l ON g.doc_id = l.doc_id)"""
+_ASKED = f"""{_GOLD}, asked AS (SELECT DISTINCT g.doc_id AS query_id, 'What does the documentation say about ' || heading || '?' AS text FROM gold g)"""
 _EVAL = f"""{_ASKED}, {_scores_sql().replace('item_id AS query_id', 'query_id').replace('FROM benchmark', 'FROM asked')}, best AS ({_TOP5}),
 graded AS (SELECT DISTINCT doc_id, quality::VARCHAR AS grade FROM labels),
-outcome AS (SELECT a.query_id, coalesce(g.grade, 'unknown') AS grade, b.rank FROM asked a JOIN graded g ON g.doc_id = a.query_id LEFT JOIN best b ON a.query_id = b.query_id AND b.doc_id = a.query_id)"""
+outcome AS (SELECT a.query_id, coalesce(g.grade, 'unknown') AS grade, b.rank FROM asked a LEFT JOIN graded g ON g.doc_id = a.query_id LEFT JOIN best b ON a.query_id = b.query_id AND b.doc_id = a.query_id)"""
 _RATES = "count(*) AS questions, count(rank) AS hits, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr"
 
 
@@ -409,12 +429,36 @@ def chunk_totals(spark: SparkSession, d: str) -> DataFrame:
     return out.select(chunking.chunk_id(F.col("chunk")).alias("chunk_id"), "files", "words")
 
 
-@query()
+_SEMANTIC = f"""{_SIZED}, dirs AS (SELECT dir, sum(words)::BIGINT AS words, row_number() OVER (ORDER BY dir) AS d FROM sized GROUP BY dir
+), files_in AS (SELECT s.*, row_number() OVER (PARTITION BY s.dir ORDER BY path) AS i FROM sized s JOIN dirs USING (dir) WHERE dirs.words > {MAX_WORDS}
+), inside AS (
+    SELECT dir, i, path, words, 1::BIGINT AS c, CASE WHEN words > {MAX_WORDS} THEN -1 ELSE words END::BIGINT AS run FROM files_in WHERE i = 1
+    UNION ALL
+    SELECT s.dir, s.i, s.path, s.words, f.c + CASE WHEN f.run < 0 OR f.run + s.words > {MAX_WORDS} THEN 1 ELSE 0 END,
+           CASE WHEN s.words > {MAX_WORDS} THEN -1 WHEN f.run < 0 OR f.run + s.words > {MAX_WORDS} THEN s.words ELSE f.run + s.words END
+    FROM inside f JOIN files_in s ON s.dir = f.dir AND s.i = f.i + 1
+), weighed AS (SELECT d.dir, d.words, d.d, coalesce(max(c), 1) AS weight FROM dirs d LEFT JOIN inside i ON d.dir = i.dir GROUP BY ALL
+), outside AS (
+    SELECT dir, d, weight, weight AS chunk, CASE WHEN words > {MAX_WORDS} THEN -1 ELSE words END::BIGINT AS run FROM weighed WHERE d = 1
+    UNION ALL
+    SELECT w.dir, w.d, w.weight, o.chunk + CASE WHEN w.words > {MAX_WORDS} OR o.run < 0 OR o.run + w.words > {MAX_WORDS} THEN w.weight ELSE 0 END,
+           CASE WHEN w.words > {MAX_WORDS} THEN -1 WHEN o.run < 0 OR o.run + w.words > {MAX_WORDS} THEN w.words ELSE o.run + w.words END
+    FROM outside o JOIN weighed w ON w.d = o.d + 1
+)"""
+
+
+@query(f"WITH RECURSIVE {_SEMANTIC} SELECT s.path, s.words, (o.chunk - o.weight + coalesce(i.c, 1))::BIGINT AS chunk FROM sized s JOIN outside o ON s.dir = o.dir LEFT JOIN inside i ON s.path = i.path")
 def chunk_by_semantic(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_by_directory(_sized(spark, d), MAX_WORDS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SIZED}, row_of AS (SELECT path, words, row_number() OVER (ORDER BY path) AS i FROM sized), goal AS (SELECT sum(words) // {TARGET_CHUNKS} AS goal, count(*) AS n FROM sized), cut AS (
+    SELECT i, path, words, 1::BIGINT AS chunk, words AS run FROM row_of WHERE i = 1
+    UNION ALL
+    SELECT r.i, r.path, r.words, c.chunk + CASE WHEN c.chunk < {TARGET_CHUNKS} AND (c.run >= goal OR c.run + r.words > {MAX_WORDS * 10}) THEN 1 ELSE 0 END,
+           CASE WHEN c.chunk < {TARGET_CHUNKS} AND (c.run >= goal OR c.run + r.words > {MAX_WORDS * 10}) THEN r.words ELSE c.run + r.words END
+    FROM cut c JOIN row_of r ON r.i = c.i + 1, goal
+) SELECT path, words, CASE WHEN n <= {TARGET_CHUNKS} THEN i ELSE chunk END::BIGINT AS chunk FROM cut, goal""")
 def chunk_balance(spark: SparkSession, d: str) -> DataFrame:
     return chunking.balance(chunking.chunk_by_size(_sized(spark, d), MAX_WORDS), TARGET_CHUNKS, MAX_WORDS * 10)
 
@@ -424,33 +468,57 @@ def oversize_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _sized(spark, d).where("words > 2000")
 
 
-@query()
+# plain paragraphs: no document has fences, <pre>, lists or table rows
+_PARAGRAPHS = f"""{_FILES}, cut_up AS (SELECT path, string_split(text, chr(10)) AS l FROM files WHERE text IS NOT NULL),
+lines AS (SELECT path, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM cut_up), counted AS (SELECT path, i, {_words('line')} AS words, length(line) AS size FROM lines)"""
+
+
+@query(f"""WITH RECURSIVE {_PARAGRAPHS}, fold AS (
+    SELECT path, i, words, size + 2 AS ends, words AS run, 0::BIGINT AS piece, 0::BIGINT AS char_offset FROM counted WHERE i = 1
+    UNION ALL
+    SELECT c.path, c.i, c.words, f.ends + c.size + 2, CASE WHEN f.run + c.words > {SUBCHUNK_WORDS} THEN c.words ELSE f.run + c.words END,
+           f.piece + CASE WHEN f.run + c.words > {SUBCHUNK_WORDS} THEN 1 ELSE 0 END, CASE WHEN f.run + c.words > {SUBCHUNK_WORDS} THEN f.ends ELSE f.char_offset END
+    FROM fold f JOIN counted c ON c.path = f.path AND c.i = f.i + 1
+) SELECT path, piece::INTEGER AS piece, char_offset, sum(words)::BIGINT AS words FROM fold GROUP BY path, piece, char_offset""")
 def subchunk_split(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).select("path", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return docs.select("path", F.posexplode(structure.subchunks(F.col("text"), SUBCHUNK_WORDS)).alias("piece", "p")).select("path", "piece", "p.char_offset", text.word_count(F.col("p.text")).alias("words"))
 
 
-@query()
+@query(f"WITH {_PARAGRAPHS} SELECT path, len(l)::INTEGER AS blocks FROM cut_up")
 def structural_blocks(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("path", F.size(structure.structural(F.regexp_replace("text", "\n", "\n\n"))).alias("blocks"))
 
 
 # --- readiness
 
-_FACTS = """facts AS (SELECT d.doc_id, greatest(n_chars, 1) AS raw_words, floor(greatest(n_chars, 1) * (doc_id % 10) / 10.0)::BIGINT AS extracted_words,
-    doc_id % 4 AS headings, doc_id % 3 AS max_level, doc_id % 7 <> 0 AS whole FROM documents d), judged AS (
-    SELECT doc_id, CASE WHEN raw_words <= 0 THEN 0 ELSE greatest(0, least(1, 1 - extracted_words / raw_words)) END AS noise, whole, CASE WHEN headings > 0 THEN max_level ELSE 0 END AS depth FROM facts
+_LINE_WORDS = f"list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), lambda x: {_words('x')})"
+_WHOLE = "(len(regexp_extract_all(text, '```')) % 2 = 0) AND len(regexp_extract_all(text, '(?i)<pre[\\s>]')) = len(regexp_extract_all(text, '(?i)</pre>'))"
+_FACTS = f"""counted AS (SELECT doc_id, text, {_LINE_WORDS} AS w FROM documents), facts AS (
+    SELECT doc_id, coalesce(list_sum(w), 0) AS raw_words, coalesce(list_sum(list_filter(w, lambda x: x >= {text.MIN_BLOCK_WORDS})), 0) AS extracted_words,
+           coalesce(len(list_filter(w, lambda x: x <= 5)), 0) AS headings, coalesce(least(3, list_max(list_filter(w, lambda x: x <= 5))), 0) AS max_level, coalesce({_WHOLE}, true) AS whole FROM counted), judged AS (
+    SELECT doc_id, CASE WHEN raw_words <= 0 THEN 0 ELSE greatest(0, least(1, 1 - extracted_words / raw_words)) END::DOUBLE AS noise, whole, CASE WHEN headings > 0 THEN max_level ELSE 0 END::INTEGER AS depth FROM facts
 ), scored AS (SELECT *, CASE WHEN depth >= 2 THEN 1.0 WHEN depth = 1 THEN 0.5 ELSE 0.0 END AS context, CASE WHEN whole THEN 1.0 ELSE 0.0 END AS boundary FROM judged
 ), graded AS (SELECT *, (1 - noise) * 0.4::DOUBLE + boundary::DOUBLE * 0.3::DOUBLE + context::DOUBLE * 0.3::DOUBLE AS score FROM scored
 ), final AS (SELECT *, CASE WHEN score >= 0.8::DOUBLE THEN 'A' WHEN score >= 0.5::DOUBLE THEN 'B' ELSE 'C' END AS grade FROM graded)"""
 
 
+def _line_words(body: Column) -> Column:
+    return F.coalesce(F.transform(text.split_blocks(body, "\n"), text.word_count), F.array().cast("array<bigint>"))
+
+
+def _sum(of: Column) -> Column:
+    return F.aggregate(of, F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """Scores over numbers derived from each document."""
-    raw = F.greatest("n_chars", F.lit(1))
-    facts = readers.table(spark, d, "documents").select(
-        "doc_id", raw.cast("bigint").alias("raw_words"), F.floor(raw * (F.col("doc_id") % 10) / 10.0).alias("extracted_words"),
-        (F.col("doc_id") % 4).alias("headings"), (F.col("doc_id") % 3).alias("max_level"), (F.col("doc_id") % 7 != 0).alias("whole"),
+    """Scores of the documents: lines of ten words or more are what extraction keeps, lines of up to five words are headings, a
+    longer one of a deeper level, and fences and ``<pre>`` tell broken boundaries."""
+    counted = readers.table(spark, d, "documents").select("doc_id", _line_words(F.col("text")).alias("w"), F.coalesce(structure.intact(F.col("text")), F.lit(True)).alias("whole"))
+    short = F.filter("w", lambda x: x <= 5)
+    facts = counted.select(
+        "doc_id", _sum(F.col("w")).alias("raw_words"), _sum(F.filter("w", lambda x: x >= text.MIN_BLOCK_WORDS)).alias("extracted_words"),
+        F.size(short).alias("headings"), F.coalesce(F.least(F.lit(3), F.array_max(short)), F.lit(0)).cast("int").alias("max_level"), "whole",
     )
     return readiness.score_rows(facts)
 
@@ -503,21 +571,25 @@ def removed_blocks(spark: SparkSession, d: str) -> DataFrame:
     return readiness.removed_samples(docs, "text", "less", "\n")
 
 
-_DRY = f"dry AS (SELECT printf('%s/doc_%06d.txt', source, doc_id) AS path, n_chars AS before, {_words('text')} AS after, {_words('text')} // 2 AS deduped FROM documents)"
+_DRY = f"""{_BLOCKS}, gone AS (SELECT path, sum(words) AS words FROM ranked WHERE nth > 1 GROUP BY path), dry AS (
+    SELECT f.path, {_words('f.text')} AS before, coalesce(list_sum(list_filter({_LINE_WORDS.replace('text', 'f.text')}, lambda x: x >= {text.MIN_BLOCK_WORDS})), 0)::BIGINT AS after, coalesce(g.words, 0)::BIGINT AS lost FROM files f LEFT JOIN gone g ON f.path = g.path
+), run AS (SELECT path, CASE WHEN before IS NULL THEN 0 ELSE before END::BIGINT AS before, after, after - lost AS deduped FROM dry)"""
 
 
 def _dry(spark: SparkSession, d: str) -> DataFrame:
-    w = text.word_count(F.col("text"))
-    path = F.format_string("%s/doc_%06d.txt", "source", "doc_id")
-    return readers.table(spark, d, "documents").select(path.alias("path"), F.col("n_chars").alias("before"), w.alias("after"), F.floor(w / 2).alias("deduped"))
+    """Words of each document before and after short lines go, and after exact block dedup over all documents."""
+    docs = _docs(spark, d)
+    lost = blockdedup.removed_blocks(docs, "exact", delimiter="\n").groupBy("path").agg(F.sum("words").alias("lost"))
+    own = docs.select("path", text.word_count(F.col("text")).alias("before"), _sum(F.filter(_line_words(F.col("text")), lambda x: x >= text.MIN_BLOCK_WORDS)).alias("after"))
+    return own.join(lost, "path", "left").select("path", "before", "after", (F.col("after") - F.coalesce("lost", F.lit(0))).alias("deduped"))
 
 
-@query(f"WITH {_DRY} SELECT path, deduped AS words FROM dry ORDER BY deduped DESC, path LIMIT 10")
+@query(f"WITH {_DRY} SELECT path, deduped AS words FROM run ORDER BY deduped DESC, path LIMIT 10")
 def dry_run_top10(spark: SparkSession, d: str) -> DataFrame:
     return _dry(spark, d).select("path", F.coalesce("deduped", "after").alias("words")).orderBy(F.desc("words"), "path").limit(10)
 
 
-@query(f"""WITH {_DRY}, t AS (SELECT count(*) AS files, sum(before)::BIGINT AS before, sum(after)::BIGINT AS after, sum(deduped)::BIGINT AS deduped FROM dry)
+@query(f"""WITH {_DRY}, t AS (SELECT count(*) AS files, sum(before)::BIGINT AS before, sum(after)::BIGINT AS after, sum(deduped)::BIGINT AS deduped FROM run)
 SELECT *, CASE WHEN before > 0 THEN (before - after) * 100 // before ELSE 0 END::BIGINT AS extraction_percent, CASE WHEN after > 0 THEN (after - deduped) * 100 // after ELSE 0 END::BIGINT AS dedup_percent FROM t""")
 def dry_run_totals(spark: SparkSession, d: str) -> DataFrame:
     return readiness.dry_run_totals(_dry(spark, d))
@@ -559,29 +631,56 @@ def link_path_resolve(spark: SparkSession, d: str) -> DataFrame:
     return df.select("source", "href", linkgraph.resolve(F.col("source"), F.col("href")).alias("target"), linkgraph.anchor(F.col("href")).alias("anchor"))
 
 
-def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed pages whose links are read against the site root, and their edges."""
-    pages = _parsed(spark, d)
-    home = pages.select("path", "raw_text", F.regexp_extract("path", "^([^/]*)", 1).alias("site"), "links")
-    rooted = home.select("path", "raw_text", F.transform("links", lambda l: F.struct(F.when(l["href"].startswith("/"), F.concat(F.lit("/"), "site", l["href"])).otherwise(l["href"]).alias("href"), l["text"].alias("text"))).alias("links"))
-    links = linkgraph.link_table(rooted).withColumn("target_path", F.regexp_replace("target_path", "^/", ""))
-    target = pages.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "path").groupBy("folder").agg(F.min("path").alias("page"))
-    links = links.join(target, links["target_path"] == target["folder"], "left").withColumn("target_path", F.coalesce("page", "target_path")).drop("folder", "page")
-    members = chunking.chunk_by_directory(pages.select("path", text.word_count(F.col("main_text")).alias("words")), 2_000)
-    return rooted, linkgraph.edges(links, members)
+_HREF_WORDS = 20_000
+_LINKED = f"""paths AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/+$', '') || printf('/p%06d.html', page_id) AS path, html, strlen(html)::BIGINT AS words FROM pages),
+counted AS (SELECT count(*) AS n FROM pages), hrefs AS (SELECT page_id, path, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>([^<]*)</a>', 1) AS t FROM paths),
+links AS (SELECT page_id, path, unnest(h) AS href, unnest(t) AS name, generate_subscripts(h, 1) - 1 AS pos FROM hrefs),
+aimed AS (SELECT l.path AS source_path, l.pos, CASE WHEN (l.page_id + pos) % 3 > 0 THEN t.path ELSE regexp_replace(href, '#.*$', '') END AS target_path, CASE WHEN pos % 4 = 0 THEN '#part' ELSE '' END AS anchor,
+    trim(replace(replace(replace(name, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ') AS link_text FROM links l, counted JOIN paths t ON t.page_id = (l.page_id * 7 + pos * 13 + 1) % n),
+sized AS (SELECT path, words, row_number() OVER (ORDER BY path) AS i FROM paths), fold AS (
+    SELECT i, path, 1::BIGINT AS chunk, CASE WHEN words > {_HREF_WORDS} THEN -1 ELSE words END AS run FROM sized WHERE i = 1
+    UNION ALL
+    SELECT s.i, s.path, f.chunk + CASE WHEN f.run < 0 OR f.run + s.words > {_HREF_WORDS} THEN 1 ELSE 0 END, CASE WHEN s.words > {_HREF_WORDS} THEN -1 WHEN f.run < 0 OR f.run + s.words > {_HREF_WORDS} THEN s.words ELSE f.run + s.words END
+    FROM fold f JOIN sized s ON s.i = f.i + 1
+), edges AS (SELECT a.*, s.chunk AS source_chunk, t.chunk AS target_chunk FROM aimed a JOIN fold s ON a.source_path = s.path LEFT JOIN fold t ON a.target_path = t.path)"""
 
 
-@query()
+def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed pages and the edges of their links, two of three of which are aimed at another page.
+
+    The links of these pages name no page, so link k of page p is given the path of page (7 p + 13 k + 1) modulo the
+    number of pages, from the root or, at odd k, relative to its own page; every fourth gets a fragment. The sizes of pages
+    in bytes make the chunks.
+    """
+    pages = _parsed(spark, d)
+    named = pages.select(F.col("page_id").alias("to"), F.col("path").alias("to_path"))
+    rows = pages.select("page_id", "path", F.posexplode("links").alias("pos", "l"))
+    aim = rows.crossJoin(F.broadcast(pages.agg(F.count("*").alias("n")))).withColumn("to", (F.col("page_id") * 7 + F.col("pos") * 13 + 1) % F.col("n")).join(named, "to")  # one row
+    up = F.repeat(F.lit("../"), F.size(F.split("path", "/")) - 1)
+    href = F.when((F.col("page_id") + F.col("pos")) % 3 > 0, F.concat(F.when(F.col("pos") % 2 == 1, up).otherwise(F.lit("/")), "to_path")).otherwise(F.regexp_replace("l.href", "#.*$", ""))
+    link = F.struct("pos", F.concat(href, F.when(F.col("pos") % 4 == 0, F.lit("#part")).otherwise(F.lit(""))).alias("href"), F.col("l.text").alias("text"))
+    aimed = aim.groupBy("path").agg(F.sort_array(F.collect_list(link)).alias("links"))
+    links = linkgraph.link_table(aimed.select("path", F.transform("links", lambda l: F.struct(l["href"].alias("href"), l["text"].alias("text"))).alias("links")))
+    links = links.withColumn("target_path", F.when((F.col("pos") % 2 == 0) & F.col("target_path").rlike(r"^/[^/]+/.*\.html$"), F.expr("substr(target_path, 2)")).otherwise(F.col("target_path")))
+    members = chunking.chunk_by_size(pages.select("path", F.octet_length("html").cast("bigint").alias("words")), _HREF_WORDS)
+    return pages, linkgraph.edges(links, members)
+
+
+@query(f"WITH RECURSIVE {_LINKED} SELECT source_path, pos::INTEGER AS pos, target_path, anchor, link_text, source_chunk, target_chunk FROM edges")
 def cross_ref_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d)[1].select("source_path", "pos", "target_path", "anchor", "link_text", "source_chunk", "target_chunk")
 
 
-@query()
+_SETS = """ways AS (SELECT DISTINCT source_chunk, target_chunk FROM edges WHERE target_chunk IS NOT NULL), chunks AS (SELECT source_chunk AS chunk FROM ways UNION SELECT target_chunk FROM ways),
+outs AS (SELECT source_chunk AS chunk, string_agg(target_chunk::VARCHAR, ',' ORDER BY target_chunk) AS l FROM ways GROUP BY 1), ins AS (SELECT target_chunk AS chunk, string_agg(source_chunk::VARCHAR, ',' ORDER BY source_chunk) AS l FROM ways GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_LINKED}, {_SETS} SELECT c.chunk, coalesce(o.l, '') AS references_to, coalesce(i.l, '') AS referenced_by FROM chunks c LEFT JOIN outs o ON c.chunk = o.chunk LEFT JOIN ins i ON c.chunk = i.chunk")
 def cross_ref_index(spark: SparkSession, d: str) -> DataFrame:
-    return linkgraph.reference_sets(_edges(spark, d)[1])
+    return linkgraph.reference_sets(_edges(spark, d)[1]).select("chunk", F.array_join("references_to", ",").alias("references_to"), F.array_join("referenced_by", ",").alias("referenced_by"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_LINKED} SELECT source_path, target_path, count(*) AS links FROM edges WHERE target_chunk IS NULL GROUP BY ALL")
 def cross_ref_unresolved(spark: SparkSession, d: str) -> DataFrame:
     return linkgraph.unresolved(_edges(spark, d)[1])
 
@@ -609,7 +708,7 @@ def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return old, shape(fresh, 1.0 + F.col("doc_id") % 2)
 
 
-@query("SELECT doc_id::VARCHAR AS key, strlen(text)::BIGINT AS size_bytes, md5(text) AS content_hash FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 0")
+@query("SELECT doc_id::VARCHAR AS key, strlen(text)::BIGINT AS size_bytes, md5(text) AS content_hash FROM documents WHERE text IS NOT NULL")
 def manifest_build(spark: SparkSession, d: str) -> DataFrame:
     docs = readers.table(spark, d, "documents").where("text is not null")
     files = docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.lit(1.0).alias("mtime"))

@@ -265,14 +265,17 @@ def _page(column: pa.Array) -> pa.Array:
         if text is None:
             rows.append(None)
             continue
-        page = events(text)
-        main = main_part(page)
-        body, found = outline(main)
-        visible, rooted = shell(page)
-        rows.append({"raw_text": plain(page), "main_text": plain(main), "outline_text": body, "headings": found, "links": anchors(page), "visible": visible, "app_root": rooted})
+        try:
+            page = events(text)
+            main = main_part(page)
+            body, found = outline(main)
+            visible, rooted = shell(page)
+            rows.append({"raw_text": plain(page), "main_text": plain(main), "outline_text": body, "headings": found, "links": anchors(page), "visible": visible, "app_root": rooted})
+        except (ValueError, LookupError, AssertionError, RecursionError):  # one page that can't be read fails no task
+            rows.append(None)
     return pa.array(rows, _PAGE)
 
 
 def parse_page(markup: Column) -> Column:
-    """All views of a page in one struct; null for a null. Write or persist it before filtering on it."""
+    """All views of a page in one struct; null for a null and for a page that can't be parsed. Write or persist it before filtering on it."""
     return F.arrow_udf(_page, PAGE_DDL)(markup)

@@ -16,24 +16,77 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import MIN_BLOCK_WORDS, blocks, normalize, split_blocks, word_count
+from paperloom.functions.text import MIN_BLOCK_WORDS, normalize, split_blocks
 from paperloom.session import discard, written
 
 FINGERPRINT_BITS = 64
 
 
+_ROTATE = np.array([7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4, np.uint32)
+_SINES = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2**32).astype(np.uint64).astype(np.uint32)
+_SLICE = 1 << 14
+
+
+def md5_halves(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(N, 8): the first eight bytes of the MD5 digest of each run of bytes.
+
+    Runs of under 56 bytes, one MD5 block each, are worked off together, longer ones one by one.
+    """
+    size = end - start
+    out = np.empty((len(start), 8), np.uint8)
+    for k in np.flatnonzero(size > 55):
+        out[k] = np.frombuffer(hashlib.md5(data[start[k] : end[k]].tobytes()).digest()[:8], np.uint8)
+    short = np.flatnonzero(size <= 55)
+    padded = np.append(data, np.zeros(64, np.uint8))
+    for i in range(0, len(short), _SLICE):
+        own = short[i : i + _SLICE]
+        n = size[own]
+        block = padded[start[own][:, None] + np.arange(64)] * (np.arange(64) < n[:, None])
+        block[np.arange(len(own)), n] = 0x80
+        words = np.ascontiguousarray(block).view("<u4").T.copy()
+        words[14] = n * 8
+        a, b, c, d = (np.full(len(own), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+        for r in range(64):
+            if r < 16:
+                f, g = d ^ (b & (c ^ d)), r
+            elif r < 32:
+                f, g = c ^ (d & (b ^ c)), (5 * r + 1) % 16
+            elif r < 48:
+                f, g = b ^ c ^ d, (3 * r + 5) % 16
+            else:
+                f, g = c ^ (b | ~d), 7 * r % 16
+            f = f + a + _SINES[r] + words[g]
+            a, d, c, b = d, c, b, b + ((f << _ROTATE[r]) | (f >> (32 - _ROTATE[r])))
+        out[own] = np.stack([a + np.uint32(0x67452301), b + np.uint32(0xEFCDAB89)], 1).astype("<u4").view(np.uint8)
+    return out
+
+
 def _simhash(column: pa.Array) -> pa.Array:
-    out = np.zeros(len(column), np.int64)
-    for k, text in enumerate(column.to_pylist()):
-        words = (text or "").split(" ")
-        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
-        if not shingles:
-            digest = hashlib.md5((text or "").encode()).digest()[:8]
-        else:
-            raw = b"".join(hashlib.md5(s.encode()).digest()[:8] for s in shingles)
-            votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-            digest = np.packbits(2 * votes > len(shingles)).tobytes()
-        out[k] = int.from_bytes(digest, "big", signed=True)
+    """Normalised texts have single spaces, so a shingle is the bytes from one word's start to the end of the word after next."""
+    column = column.fill_null("").cast(pa.large_string())
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    out, i = np.zeros(len(column), np.int64), 0
+    while i < len(column):  # runs of texts of a few megabytes
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 22), side="right")) - 1)
+        part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        space = np.flatnonzero(part == 32)
+        begin, stop = np.sort(np.concatenate([own[:-1], space + 1])), np.sort(np.concatenate([space, own[1:]]))
+        row = np.repeat(np.arange(j - i), np.bincount(np.searchsorted(own, space, side="right") - 1, minlength=j - i) + 1)
+        full = np.flatnonzero(row[2:] == row[:-2]) if len(row) > 2 else np.zeros(0, np.int64)
+        count = np.bincount(row[full], minlength=j - i)
+        bits = np.unpackbits(md5_halves(part, begin[full], stop[full + 2]), axis=1)
+        votes = np.zeros((j - i, FINGERPRINT_BITS), np.int64)
+        some = np.flatnonzero(count)
+        if len(some):
+            votes[some] = np.add.reduceat(bits, np.searchsorted(row[full], some), axis=0, dtype=np.int64)
+        prints = np.packbits(2 * votes > count[:, None], axis=1)
+        few = np.flatnonzero(count == 0)
+        prints[few] = md5_halves(part, own[few], own[few + 1])
+        out[i:j] = prints.view(">i8")[:, 0]
+        i = j
     return pa.array(out)
 
 
@@ -48,17 +101,23 @@ def hamming(a: Column, b: Column) -> Column:
 
 def eligible(docs: DataFrame, delimiter: str = "\n\n") -> DataFrame:
     """(path, pos, norm, words) of blocks that are long enough to be compared."""
-    b = blocks(docs, delimiter).withColumn("words", word_count(F.col("block"))).where(F.col("words") >= MIN_BLOCK_WORDS)
-    return b.select("path", "pos", normalize(F.col("block")).alias("norm"), "words")
+    # normalised first: its single spaces are counted without a second pass over white space, and a filter on an array's
+    # member isn't pushed below the explode, where it would be counted again
+    def judged(block: Column) -> Column:
+        norm = normalize(block)
+        return F.struct(norm.alias("norm"), (F.length(norm) - F.length(F.replace(norm, F.lit(" "))) + 1).cast("bigint").alias("words"))
+
+    b = docs.select("path", F.posexplode(F.transform(split_blocks(F.col("text"), delimiter), judged)).alias("pos", "b"))
+    return b.where(F.col("b.words") >= MIN_BLOCK_WORDS).select("path", "pos", "b.norm", "b.words")
 
 
 def exact_removed(eligible_blocks: DataFrame) -> DataFrame:
     """(path, pos, words) of blocks whose digest stood before.
 
     First places come from a partial aggregation, so a block that stands in every document is no hot
-    window partition; only digests that repeat are joined back.
+    window partition; only digests that repeat are joined back. The digests are written once.
     """
-    keyed = eligible_blocks.select("path", "pos", "words", F.md5("norm").alias("digest"))
+    keyed = written(eligible_blocks.select("path", "pos", "words", F.md5("norm").alias("digest")), "block-digests")
     first = keyed.groupBy("digest").agg(F.min(F.struct("path", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return keyed.join(first, "digest").where(F.struct("path", "pos") != F.col("first")).select("path", "pos", "words")
 
@@ -96,6 +155,7 @@ def similar_pairs(prints: DataFrame, threshold: int = 3) -> DataFrame:
     """(a, b, distance): pairs of distinct fingerprints (column ``fp``) with 0 < distance <= threshold, a < b."""
     if not 0 <= threshold < FINGERPRINT_BITS:
         raise ValueError("the threshold must be at least 0 and under 64")
+    prints = written(prints.select("fp"), "similar-prints")
     keyed = prints.select("fp", F.explode(_keys(F.col("fp"), threshold, prints.count())).alias("key"))
     left, right = keyed.select(F.col("fp").alias("a"), "key"), keyed.select(F.col("fp").alias("b"), "key")
     pairs = left.join(right, "key").where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")).cast("bigint"))
@@ -142,6 +202,8 @@ def removed_blocks(docs: DataFrame, mode: str = "both", threshold: int = 3, deli
     if mode not in ("exact", "fuzzy", "both"):
         raise ValueError(f"unknown mode {mode!r}")
     left = eligible(docs, delimiter)
+    if mode == "both":
+        left = written(left, "blocks-eligible")
     if mode == "fuzzy":
         return fuzzy_removed(left, threshold).withColumn("how", F.lit("fuzzy"))
     exact = exact_removed(left).withColumn("how", F.lit("exact"))

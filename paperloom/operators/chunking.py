@@ -10,6 +10,7 @@ the chunks. The state is the words in the open chunk, or -1 if none is open.
 from __future__ import annotations
 
 import bisect
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import parent_dir
-from paperloom.session import written
+from paperloom.session import shared_root, written
 
 #: Rows of (order, words) in a block, about.
 BLOCK_ROWS = 200_000
@@ -162,34 +163,35 @@ def balance(members: DataFrame, target: int, max_words: int) -> DataFrame:
     """
     named = numbered(members.select("path", "words", "chunk"), ["chunk", "path"], "pos").drop("chunk")
     cut = _in_blocks(named, ["pos"], "balance-items")
+    path = f"{shared_root(cut.sparkSession)}/balance-blocks-{uuid.uuid4().hex}"
+    cut.write.partitionBy("_block").parquet(path)  # so that one block is read from its own folder
+    by_block = cut.sparkSession.read.schema(cut.schema).parquet(path)
     summary = cut.groupBy("_block").agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.min("pos").alias("first")).orderBy("first").collect()  # a row for each block
     n, total = sum(r["n"] for r in summary), sum(r["words"] for r in summary)
     if n <= target:
         return named.select("path", "words", F.col("pos").alias("chunk"))
     goal, run = total // target, np.cumsum([0, *(r["words"] for r in summary)])
-    held: tuple[int, np.ndarray] | None = None
+    held: dict[int, np.ndarray] = {}
+
+    def sums(b: int) -> np.ndarray:
+        """Running sums of the words of one block, read from its own folder."""
+        if b not in held:
+            held.clear()
+            rows = by_block.where(F.col("_block") == summary[b]["_block"]).select("pos", "words").toPandas().sort_values("pos")
+            held[b] = run[b] + np.cumsum(rows["words"].to_numpy())
+        return held[b]
 
     def first_at(least: int) -> int:
         """The first place, from 0, whose running sum is at least ``least``."""
-        nonlocal held
         b = int(np.searchsorted(run[1:], least, side="left"))
-        if b >= len(summary):
-            return n
-        if held is None or held[0] != b:
-            rows = cut.where(F.col("_block") == summary[b]["_block"]).select("pos", "words").toPandas().sort_values("pos")
-            held = (b, run[b] + np.cumsum(rows["words"].to_numpy()))
-        return summary[b]["first"] - 1 + int(np.searchsorted(held[1], least, side="left"))
+        return n if b >= len(summary) else summary[b]["first"] - 1 + int(np.searchsorted(sums(b), least, side="left"))
 
     def running(at: int) -> int:
         """Words of the first ``at`` files."""
-        nonlocal held
         if at == 0:
             return 0
         b = int(np.searchsorted([r["first"] for r in summary], at, side="right")) - 1
-        if held is None or held[0] != b:
-            rows = cut.where(F.col("_block") == summary[b]["_block"]).select("pos", "words").toPandas().sort_values("pos")
-            held = (b, run[b] + np.cumsum(rows["words"].to_numpy()))
-        return int(held[1][at - summary[b]["first"]])
+        return int(sums(b)[at - summary[b]["first"]])
 
     bounds, at = [0], 0
     while len(bounds) < target:

@@ -91,3 +91,18 @@ def render_drift(changes: DataFrame, old_avg: float | None, new_avg: float | Non
                 side = "new" if name == "added" else "old"
                 lines.append(f"- `{r['chunk_id']}`: {r[side + '_grade']}, {r[side + '_score']:.2f}")
     return "\n".join(lines)
+
+
+def render_drift_text(changes: DataFrame, old_avg: float | None, new_avg: float | None, first_run: bool = False, delta: DataFrame | None = None) -> str:
+    """The report as plain text, with the source files of a delta manifest (what, name) if there is one."""
+    rows = changes.orderBy("chunk_id").collect()
+    show = lambda v: "n/a" if v is None else f"{v:.2f}"
+    lines = ["Drift of the context", "first run, all chunks are new"][: 1 + first_run]
+    lines.append(("no drift" if not rows and not first_run else ", ".join(f"{sum(r['change'] == c for r in rows)} {c}" for c in ("added", "modified", "removed"))) + f"; average {show(old_avg)} -> {show(new_avg)}")
+    for r in sorted(rows, key=lambda r: ("added", "modified", "removed").index(r["change"])):
+        sides = [f"{r[s + '_grade']} {show(r[s + '_score'])}" for s in ("old", "new") if r[s + "_grade"] is not None]
+        lines.append(f"  {r['change']:<9}{r['chunk_id']}  {' -> '.join(sides)}")
+    if delta is not None:
+        files = delta.where(F.col("what").isin("added", "modified", "removed")).orderBy("what", "name").collect()
+        lines += ["Source files"] + [f"  {r['what']:<9}{r['name']}" for r in files] if files else ["No source file changed"]
+    return "\n".join(lines)

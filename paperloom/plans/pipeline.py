@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import word_count
 from paperloom.operators import blockdedup, chunking, linkgraph, readiness, retrieval
-from paperloom.sources import writers
+from paperloom.session import written
+from paperloom.sources import artifacts, writers
 
 PRESETS: dict[str, dict[str, Any]] = {
     "notebooklm": {"bundle": "notebooklm", "strategy": "semantic", "max_chunks": 50, "max_words": 400_000, "context_header": True, "score": True, "dedup": "both"},
@@ -79,14 +80,23 @@ class Packed:
     bodies: DataFrame | None
     scores: DataFrame | None
     edges: DataFrame | None
+    urls: DataFrame | None
+    #: One row of :func:`paperloom.sources.artifacts.pack_summary`: limits that are passed are told, nothing is dropped.
+    summary: DataFrame
 
 
-def pack(pages: DataFrame, config: PackConfig, queries: DataFrame | None = None) -> Packed:
-    """Packs pages (path, raw_text, text, headings, links): dedup, order, chunk, score, link, render."""
+def pack(pages: DataFrame, config: PackConfig, queries: DataFrame | None = None, manifest: DataFrame | None = None, overrides: DataFrame | None = None) -> Packed:
+    """Packs pages (path, raw_text, text, headings, links): dedup, order, chunk, score, link, annotate, render.
+
+    With a manifest records and headers name the original URL; ``overrides`` (path, text) replace texts. A dry run
+    scores as if no boundary were broken and renders nothing.
+    """
     config = config.validated(queries is not None)
-    texts = pages.select("path", F.coalesce("text", F.lit("")).alias("text"))
+    texts = pages.select("path", "text")
+    texts = artifacts.with_overrides(texts, overrides) if overrides is not None else texts.withColumn("text", F.coalesce("text", F.lit("")))
     if config.dedup:
-        texts = blockdedup.deduplicate(texts, config.dedup, config.dedup_threshold, config.block_delimiter)
+        # everything below reads it: sizes, pieces, boundaries
+        texts = written(blockdedup.deduplicate(texts, config.dedup, config.dedup_threshold, config.block_delimiter), "pack-texts")
     sized = texts.select("path", word_count(F.col("text")).alias("words"))
     if config.strategy == "semantic":
         members = chunking.chunk_by_directory(sized, config.max_words)
@@ -97,14 +107,19 @@ def pack(pages: DataFrame, config: PackConfig, queries: DataFrame | None = None)
         members = chunking.chunk_by_size(sized.join(order, "path"), config.max_words, ["seq"])
     if config.bundle:
         members = chunking.balance(members, config.max_chunks, config.max_words)
-    named = texts.join(members.select("path", "chunk"), "path").join(pages.select("path", "headings"), "path")
-    cut = writers.pieces(named, config.max_words if config.context_header or config.score else 0)
+    members = written(members, "pack-members")
     scores = edges = None
     if config.score:
         facts = pages.select("path", word_count(F.col("raw_text")).alias("raw_words"), word_count(F.col("text")).alias("extracted_words"), F.coalesce(F.size("headings"), F.lit(0)).alias("headings"), F.coalesce(F.array_max(F.transform("headings", lambda h: h["level"])), F.lit(0)).alias("max_level"))
-        facts = facts.join(texts.select("path", *readiness.boundary_counts(F.col("text"))), "path")
-        scores = readiness.score_chunks(members, facts)
+        seen = texts.select("path", *readiness.boundary_counts(F.lit("") if config.dry_run else F.col("text")))
+        scores = readiness.score_chunks(members, facts.join(seen, "path"))
+    shown = texts
     if config.cross_refs:
         edges = linkgraph.edges(linkgraph.link_table(pages.select("path", "links")), members)
-    bodies = None if config.dry_run else writers.chunk_bodies(cut, config.format, config.context_header, config.with_index)
-    return Packed(texts, members, cut, bodies, scores, edges)
+        if not config.dry_run:
+            shown = linkgraph.annotated_pages(texts, edges, config.prefix)
+    urls = artifacts.original_urls(pages, manifest) if manifest is not None else None
+    named = shown.join(members.select("path", "chunk"), "path").join(pages.select("path", "headings"), "path")
+    cut = writers.pieces(named, config.max_words if config.context_header or config.score else 0)
+    bodies = None if config.dry_run else writers.chunk_bodies(cut, config.format, config.context_header, config.with_index, urls, scores)
+    return Packed(texts, members, cut, bodies, scores, edges, urls, artifacts.pack_summary(members, None, config.max_chunks, config.max_words))

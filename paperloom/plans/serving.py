@@ -15,6 +15,8 @@ from paperloom.operators import retrieval
 
 PARSE, INVALID, NO_METHOD, BAD_PARAMS, INTERNAL = -32700, -32600, -32601, -32602, -32603
 PROTOCOL = "2025-06-18"
+#: Versions that are answered as they are asked for; any other gets PROTOCOL.
+KNOWN_PROTOCOLS = (PROTOCOL, "2025-03-26", "2024-11-05")
 
 
 class ToolError(Exception):
@@ -105,7 +107,7 @@ class Server:
             return self._text(ident, error=(BAD_PARAMS, "params must be an object"))
         try:
             if method == "initialize":
-                return self._text(ident, {"protocolVersion": params.get("protocolVersion", PROTOCOL), "capabilities": {"tools": {}}, "serverInfo": self.info})
+                return self._text(ident, {"protocolVersion": asked if (asked := params.get("protocolVersion")) in KNOWN_PROTOCOLS else PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": self.info})
             if method == "ping":
                 return self._text(ident, {})
             if method == "tools/list":

@@ -61,6 +61,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, shuffled to all cores where its files give fewer partitions than there are cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """``base``, lengthened until it clashes with no column of ``df`` in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.markup import parse_page
 from paperloom.functions.text import is_html
 from paperloom.operators.discovery import filter_files
+from paperloom.session import spread
 
 PACK = (
     "id string, source string, words bigint, content string, schema_version string, breadcrumb array<string>,"
@@ -18,8 +19,8 @@ READINESS = "chunk_id string, score double, grade string, noise_ratio double, bo
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table of a folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A Parquet table of a folder, on all cores."""
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def document_files(spark: SparkSession, folder: str) -> DataFrame:

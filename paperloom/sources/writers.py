@@ -12,6 +12,7 @@ from paperloom.functions.structure import subchunks
 from paperloom.functions.text import word_count
 from paperloom.operators.chunking import chunk_id
 from paperloom.operators.linkgraph import active_headings
+from paperloom.operators.readiness import artifact_columns, dominant_penalty, penalties
 
 FORMATS = ("md", "txt", "jsonl")
 MARKS = {"md": ("<!-- SOURCE: ", " -->\n"), "txt": ("=== SOURCE: ", " ===\n")}
@@ -72,18 +73,32 @@ def jsonl_records(cut: DataFrame, urls: DataFrame | None = None, grades: DataFra
     return rows.select("chunk", "path", "piece", F.to_json(body).alias("record"))
 
 
-def chunk_bodies(cut: DataFrame, fmt: str = "md", headers: bool = False, index: bool = False) -> DataFrame:
-    """(chunk, body): the text of each chunk file, its pieces in order of path and piece."""
+def header_scores(scores: DataFrame) -> DataFrame:
+    """(chunk, score, grade, noise_ratio): what context headers show of a chunk's readiness."""
+    return artifact_columns(scores).select("chunk", "score", "grade", "noise_ratio")
+
+
+def chunk_bodies(cut: DataFrame, fmt: str = "md", headers: bool = False, index: bool = False, urls: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """(chunk, body): the text of each chunk file, its pieces in order of path and piece.
+
+    Headers and records name the page's URL from ``urls`` (path, url) and the chunk's grade from ``scores``.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; use one of {', '.join(FORMATS)}")
     if fmt == "jsonl":
-        rows = jsonl_records(cut).select("chunk", F.struct("path", "piece", F.col("record").alias("t")).alias("p"))
+        rows = jsonl_records(cut, urls, scores).select("chunk", F.struct("path", "piece", F.col("record").alias("t")).alias("p"))
         return rows.groupBy("chunk").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "\n"), F.lit("\n")).alias("body"))
     before, behind = MARKS[fmt]
     mark = F.when(F.col("piece") == 1, F.concat(F.lit(before), "path", F.lit(behind))).otherwise("")
     head = F.lit("")
     if headers:
-        payload = F.struct(F.col("path").alias("source"), F.lit("").alias("url"), F.col("piece").alias("chunk_index"), F.col("pieces").alias("total_chunks"), F.col("words").alias("word_count"), "breadcrumb", F.lit(0.0).alias("score"), F.lit("").alias("grade"), F.lit(0.0).alias("noise_ratio"))
+        none = lambda kind: F.lit(None).cast(kind)
+        cut = cut.join(urls.select("path", "url"), "path", "left") if urls is not None else cut.withColumn("url", none("string"))
+        if scores is not None:
+            cut = cut.join(header_scores(scores), "chunk", "left")
+        else:
+            cut = cut.withColumns({"score": none("double"), "grade": none("string"), "noise_ratio": none("double")})
+        payload = F.struct(F.col("path").alias("source"), "url", F.col("piece").alias("chunk_index"), F.col("pieces").alias("total_chunks"), F.col("words").alias("word_count"), "breadcrumb", "score", "grade", "noise_ratio")
         mark, head = F.lit(""), context_header(payload)
     rows = cut.select("chunk", F.struct("path", "piece", F.concat(mark, head, "text").alias("t")).alias("p"))
     out = rows.groupBy("chunk").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "\n\n").alias("body"))
@@ -143,10 +158,21 @@ def sections(text: Column) -> Column:
     return F.arrow_udf(run, "array<struct<content:string,source:string,breadcrumb:array<string>>>")(text)
 
 
-def readiness_html(scores: DataFrame) -> str:
-    """The report of all chunks, worst first, every text escaped; one row a chunk reaches the driver."""
+def readiness_html(scores: DataFrame, pages: DataFrame | None = None) -> str:
+    """The report of all chunks, worst first, with their penalties, and of pages, every text escaped.
+
+    ``scores`` is what ``score_chunks`` gives; ``pages`` has (path, raw_words, extracted_words, headings, removed,
+    issues), the last two as arrays of texts. One row a chunk and one a page reach the driver.
+    """
     from html import escape
 
-    rows = scores.orderBy("score", "chunk_id").collect()
-    body = "".join(f"<tr><td>{escape(r['chunk_id'])}</td><td>{escape(r['grade'])}</td><td>{r['score']:.2f}</td><td>{r['noise_ratio']:.3f}</td></tr>" for r in rows)
-    return f"<!doctype html><meta charset='utf-8'><title>Readiness</title><table><tr><th>chunk<th>grade<th>score<th>noise</tr>{body}</table>"
+    of = penalties(F.col("noise_ratio"), F.col("whole"), F.col("context_depth"))
+    rows = scores.select("chunk", "grade", "score", "noise_ratio", "whole", "context_depth", of.alias("lost"), dominant_penalty(of).alias("kind")).orderBy("score", "chunk").collect()
+    cell = lambda *values: "<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in values) + "</tr>"
+    names = ("chunk", "grade", "score", "noise", "whole", "depth", "lost by noise", "lost by boundary", "lost by context", "most by")
+    body = "".join(cell(f"{r['chunk']:02d}", r["grade"], f"{r['score']:.2f}", f"{r['noise_ratio']:.3f}", r["whole"], r["context_depth"], *(f"{p['penalty']:.2f}" for p in r["lost"]), r["kind"]) for r in rows)
+    out = f"<!doctype html><meta charset='utf-8'><title>Readiness</title><table><tr>{''.join(f'<th>{n}</th>' for n in names)}</tr>{body}</table>"
+    items = lambda title, texts: f"<p>{title}</p><ul>{''.join(f'<li><pre>{escape(t)}</pre></li>' for t in texts)}</ul>" if texts else ""
+    for r in pages.orderBy("path").collect() if pages is not None else []:
+        out += f"<h2>{escape(r['path'])}</h2><p>{r['extracted_words']} of {r['raw_words']} words kept, {r['headings']} headings</p>" + items("Removed", r["removed"]) + items("Broken boundaries", r["issues"])
+    return out
