@@ -10,7 +10,7 @@ open sequences with their gaps are a table. In a superstep
   matches its own, in one pass, and what stays open on either side is matched between partitions
   as intervals of ranks, composed from two numbers of each partition;
 * where pieces compete for a slot, rank decides: larger first, then by (doc_id, piece);
-* the gaps shrink by what they got, and the sweep is repeated with the pieces left. When it places nothing, new
+* the gaps shrink by what they got, and the sweep is repeated with the pieces left. When it places none, new
   sequences are opened for the first of the pieces left, one for each ``capacity // class bound`` of them, in the last
   class as many as their tokens fill.
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,7 +112,13 @@ def between(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, in
     return moves, done
 
 
-def sweep(left: DataFrame, slots: DataFrame | None, rows: int) -> tuple[DataFrame, DataFrame, int]:
+def _local(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table that the plan holds itself."""
+    columns = np.array(rows, np.int64).reshape(-1, len(names)).T
+    return spark.createDataFrame(pa.table({n: pa.array(c) for n, c in zip(names, columns, strict=True)}))
+
+
+def sweep(left: DataFrame, slots: DataFrame | None, rows: int) -> tuple[DataFrame, DataFrame | None, int]:
     """(pieces that got a sequence, pieces left with their rank, how many are left) of one superstep."""
     spark = left.sparkSession
     shape = [F.lit(True).alias("is_piece"), *_PIECE, F.lit(None).cast("bigint").alias("seq"), F.col("tokens").alias("size")]
@@ -129,18 +135,18 @@ def sweep(left: DataFrame, slots: DataFrame | None, rows: int) -> tuple[DataFram
     moves, done = between(counts)
     got = ran.where("is_piece and rank < 0").select(*_PIECE, "seq")
     if moves:
-        table = F.broadcast(spark.createDataFrame(moves, "m_part bigint, m_rank bigint, n bigint, s_part bigint, s_rank bigint"))  # two rows for each partition at most
+        table = F.broadcast(_local(spark, moves, ["m_part", "m_rank", "n", "s_part", "s_rank"]))  # two rows for each partition at most
         lone = alone.where("is_piece").join(table, (F.col("part") == F.col("m_part")) & (F.col("rank") >= F.col("m_rank")) & (F.col("rank") < F.col("m_rank") + F.col("n")))
         lone = lone.select(*_PIECE, "s_part", (F.col("s_rank") - (F.col("rank") - F.col("m_rank"))).alias("at"))
         free = alone.where("not is_piece").select(F.col("part").alias("s_part"), F.col("rank").alias("at"), "seq")
-        got = got.unionByName(lone.join(free, ["s_part", "at"]).select(*_PIECE, "seq"))
+        got = written(got.unionByName(lone.join(free, ["s_part", "at"]).select(*_PIECE, "seq")), "pack-got")
     offset, total = {}, 0
     for part, n, _ in sorted(counts):
         offset[part] = (done[part], total)
         total += n - done[part]
     if not total:
-        return got, left.limit(0).withColumn("nth", F.lit(0).cast("bigint")), 0
-    starts = F.broadcast(spark.createDataFrame([(p, d, o) for p, (d, o) in offset.items()], "o_part bigint, done bigint, o bigint"))  # a row for each partition
+        return got, None, 0
+    starts = F.broadcast(_local(spark, [(p, d, o) for p, (d, o) in offset.items()], ["o_part", "done", "o"]))  # a row for each partition
     rest = alone.where("is_piece").join(starts, F.col("part") == F.col("o_part")).where("rank >= done")
     return got, rest.select(*_PIECE, (F.col("rank") - F.col("done") + F.col("o")).alias("nth")), total
 
@@ -161,29 +167,38 @@ def place_pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = items.sparkSession
     cut = written(pieces(items, capacity), "pack-pieces")
     kind = T.StructType([*cut.schema.fields, T.StructField("seq", T.LongType())])
+    sizes = dict(cut.groupBy("tokens").count().collect())  # a row for each size at most
     placed: list[DataFrame] = []
-    gaps, opened = spark.createDataFrame([], "seq bigint, gap bigint"), 0
+    gaps, opened, fits = None, 0, {}
+    bounds = [0, *(b for k in range(1, capacity.bit_length()) if (b := capacity >> k) >= LEAST_CLASS)]
     high = capacity
     while high:
         low = high // 2 if high // 2 >= LEAST_CLASS else 0
         left = cut.where(F.col("tokens").between(low + 1, high))
-        n_left = left.count()
+        n_left = sum(n for size, n in sizes.items() if low < size <= high)
         while n_left:
-            fitting = gaps.where(F.col("gap") > low).count() if opened else 0
-            each = -(-2 * n_left // max(1, fitting))  # more slots than twice the pieces can't be needed at once
-            slots = slots_of(gaps, low, high, each) if fitting else None
-            got, rest, n_rest = sweep(left, slots, n_left + min(2 * n_left + fitting, fitting * (capacity // high + 1)))
-            if n_rest == n_left:
-                new = -(-n_left // (capacity // high)) if low else -(-left.agg(F.sum("tokens")).first()[0] // capacity)
-                first = rest.where(F.col("nth") < new).select(*_PIECE, (F.col("nth") + opened).alias("seq"))
-                got, rest, n_rest = first, rest.where(F.col("nth") >= new), n_left - new
-                gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("bigint").alias("gap")))
-                opened += new
-            got = written(got, "pack-got")
+            many = fits.get(low, 0)
+            each = min(capacity // high, -(-2 * n_left // max(1, many)))  # many more slots than pieces can't be needed at once
+            slots = slots_of(gaps, low, high, each) if many else None
+            got, rest, n_rest = sweep(left, slots, n_left + many * each)
             placed.append(got)
+            fresh = None
+            if n_rest == n_left:
+                new = -(-n_rest // (capacity // high)) if low else -(-rest.agg(F.sum("tokens")).first()[0] // capacity)
+                fresh = rest.where(F.col("nth") < new).select(*_PIECE, (F.col("nth") + opened).alias("seq"))
+                placed.append(fresh)
+                rest, n_rest, opened = rest.where(F.col("nth") >= new), n_rest - new, opened + new
             filled = got.groupBy(F.col("seq").alias("own")).agg(F.sum("tokens").alias("filled"))
-            gaps = written(gaps.join(filled, F.col("seq") == F.col("own"), "left").select("seq", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")).where("gap > 0"), "pack-gaps")
-            left, n_left = written(rest.select(*_PIECE), "pack-left") if n_rest else None, n_rest
+            after = gaps.join(filled, F.col("seq") == F.col("own"), "left").select("seq", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")) if gaps is not None else None
+            if fresh is not None:
+                begun = fresh.select("seq", (F.lit(capacity) - F.col("tokens")).alias("gap"))
+                after = after.unionByName(begun) if after is not None else begun
+            if after is not None:
+                seen = Observation()  # how many gaps each class can use, counted as they are written
+                after = after.where("gap > 0").observe(seen, *(F.count_if(F.col("gap") > b).alias(f"over_{b}") for b in bounds))
+                gaps = written(after, "pack-gaps")
+                fits = {b: seen.get[f"over_{b}"] for b in bounds}
+            left, n_left = rest.select(*_PIECE) if n_rest else None, n_rest
         high = low
     out = spark.createDataFrame([], kind)
     for got in placed:
