@@ -140,7 +140,7 @@ def first_answer(bodies: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """(site, url, body): of snapshots (url, body) at a site's root under the names, the first in their order that isn't empty."""
     root = F.regexp_extract("url", r"^([a-z]+://[^/]+)/[^/]+$", 1)
     rank = F.array_position(F.array(*map(F.lit, names)), F.regexp_extract("url", r"^[a-z]+://[^/]+/([^/]+)$", 1))
-    held = bodies.where(F.trim("body") != "").select(root.alias("site"), "url", "body", rank.alias("rank")).where("rank > 0")
+    held = bodies.where(F.col("body").rlike(r"\S")).select(root.alias("site"), "url", "body", rank.alias("rank")).where("rank > 0")
     return held.groupBy("site").agg(F.min_by(F.struct("url", "body"), "rank").alias("b")).select("site", "b.*")
 
 

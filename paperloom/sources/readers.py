@@ -58,15 +58,25 @@ def texts(rows: DataFrame, extract: bool = True) -> DataFrame:
     return parsed.select("path", F.when(F.col("markup"), view).otherwise(F.col("body")).alias("text"), F.col("page.headings").alias("headings"))
 
 
-def pack(spark: SparkSession, folder: str, prefix: str = "docs_chunk_") -> DataFrame:
-    """Records of ``prefix*.jsonl`` with (file, line); lines that are no objects are skipped."""
-    raw = spark.read.option("pathGlobFilter", f"{prefix}*.jsonl").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "row"))
+def _records(raw: DataFrame) -> DataFrame:
+    """Records of (file, line, row); lines that are no objects are skipped, members that are missing are empty."""
     row = F.from_json("row", PACK, {"mode": "PERMISSIVE"})
     held = raw.where(F.trim("row").startswith("{")).select("file", "line", row.alias("r")).where("r is not null and not (r.id is null and r.content is null)")
     r = held.select("file", "line", "r.*")
     return r.fillna({"id": "", "source": "", "content": "", "words": 0, "readiness_grade": ""}).withColumn("breadcrumb", F.coalesce("breadcrumb", F.array().cast("array<string>")))
 
 
+def pack(spark: SparkSession, folder: str, prefix: str = "docs_chunk_") -> DataFrame:
+    """Records of ``prefix*.jsonl`` with (file, line); lines that are no objects are skipped."""
+    raw = spark.read.option("pathGlobFilter", f"{prefix}*.jsonl").text(folder, wholetext=True)
+    return _records(raw.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "row")))
+
+
+def pack_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of a pack of JSON lines as ``write_chunks`` leaves it: ``file`` is the chunk, ``line`` is null."""
+    return _records(spark.read.text(folder).select(F.col("chunk").alias("file"), F.lit(None).cast("int").alias("line"), F.col("value").alias("row")))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame | None:
     """(key, entry fields); None where the file is missing or no manifest. Unknown fields are dropped."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
