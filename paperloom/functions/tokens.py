@@ -48,6 +48,26 @@ def tiktoken_counter(encoding: str) -> Callable[[], Callable[[str], int]]:
     return make
 
 
+def file_counter(path: str) -> Callable[[], Callable[[str], int]]:
+    """A counter by a vocabulary file that every worker can read: ``.json`` of tokenizers or ``.model`` of sentencepiece."""
+    if not path.endswith((".json", ".model")):
+        raise ValueError(f"unknown kind of vocabulary {path!r}")
+
+    def make() -> Callable[[str], int]:
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(path)
+            own.encode_special_tokens = True
+            return lambda t: len(own.encode(t, add_special_tokens=False).ids)
+        from sentencepiece import SentencePieceProcessor
+
+        piece = SentencePieceProcessor(model_file=path)
+        return lambda t: len(piece.encode(t))
+
+    return make
+
+
 def totals(counts: DataFrame) -> DataFrame:
     """One row: chunks, total, average (whole), least and most of the column ``tokens``."""
     out = counts.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("total"), F.min("tokens").alias("least"), F.max("tokens").alias("most"))

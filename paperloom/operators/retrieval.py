@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import tokenize
+from paperloom.session import written
 
 K1, B = 1.5, 0.75
 #: Scores are rounded to so many decimals before ranking, so ties don't hang on the order of sums.
 DIGITS = 6
+#: Documents that a query's floor is taken from, for each of its k; what a floor is lowered by, more than sums of parts can err.
+SEEDS, FLOOR_SLACK = 4, 1e-5
 COMMON_SHARE, COMMON_LEAST_DOCS = 0.5, 5
 QUESTION = "What does the documentation say about {}?"
 
@@ -69,23 +74,102 @@ def scores(docs: DataFrame, queries: DataFrame, drop_common: bool = False) -> Da
     return hit.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
 
 
-def top_k(scored: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, doc_id, score): best first, ties by doc_id."""
+def check_k(k: int) -> None:
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k must be a whole number of at least 1")
+
+
+def top_k(scored: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, rank, doc_id, score): best first, ties by doc_id."""
+    check_k(k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 5, pad: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """A written index: postings (doc_id, term, part), terms (term, df, most) and one row of statistics (n, avgdl).
+
+    ``part`` is the term's weight in the document without its idf, ``most`` its greatest.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    @classmethod
+    def build(cls, docs: DataFrame, folder: str | None = None, vocabulary: DataFrame | None = None) -> Index:
+        """The index of docs (doc_id, text), in ``folder`` if one is given, of the terms of ``vocabulary`` (term) or of all.
+
+        Postings lie in order of their terms, so that a search reads the parts of the files that hold its own.
+        """
+        keep = (lambda df, name: cls._stored(df, f"{folder}/{name}")) if folder else written
+        stats = keep(index_stats(docs), "index-stats")
+        tokens = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
+        tokens = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("term"))
+        if vocabulary is not None:
+            tokens = tokens.join(vocabulary, "term", "left_semi")
+        posted = tokens.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(stats))  # one row
+        posted = posted.select("doc_id", "term", term_weight(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("part"))
+        if vocabulary is None:
+            posted = posted.repartitionByRange("term", "doc_id").sortWithinPartitions("term")
+        posted = keep(posted, "index-postings")
+        return cls(posted, keep(posted.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most")), "index-terms"), stats)
+
+    @staticmethod
+    def _stored(df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Index:
+        """What :meth:`build` wrote to the folder."""
+        return cls(*(spark.read.parquet(f"{folder}/{n}") for n in ("index-postings", "index-terms", "index-stats")))
+
+    def best(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, doc_id, score) of all documents that can be among the k best of a query, with their exact scores.
+
+        A few documents that hold a query's rarest term are scored first; the k-th best of them is a floor. Terms
+        that even together, at their greatest weights, stay under the floor, the common ones, bring no document
+        up by themselves: only documents with another term of the query are looked at, and of these only those that can
+        still reach the floor are scored in full. So pairs of a query and all documents that share a common
+        word with it are never made.
+        """
+        terms = query_terms(queries).join(self.terms, "term").crossJoin(F.broadcast(self.stats))  # one row
+        weight = F.col("times") * idf(F.col("n"), F.col("df"))
+        terms = written(terms.select("query_id", "term", "df", weight.alias("weight"), (weight * F.col("most")).alias("bound")), "search-terms")
+        rare = terms.groupBy("query_id").agg(F.min_by(F.struct("term", "df"), F.struct("df", "term")).alias("r")).select("query_id", "r.term", "r.df")
+        thin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.expr(f"df div {SEEDS * k}"))) == 0
+        seeds = rare.join(self.postings.select("doc_id", "term"), "term").where(thin).select("query_id", "doc_id")
+        parts = seeds.join(terms.select("query_id", "term", "weight"), "query_id").join(self.postings, ["doc_id", "term"])
+        seen = parts.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+        floors = seen.withColumn("nth", place).where(F.col("nth") == k).select("query_id", (F.col("score") - FLOOR_SLACK).alias("floor"))
+        under = F.sum("bound").over(Window.partitionBy("query_id").orderBy("bound", "term"))
+        ranked = terms.withColumn("under", under).join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        ranked = written(ranked.withColumn("common", F.col("under") < F.col("floor")), "search-ranked")
+        rest = ranked.where("common").groupBy("query_id").agg(F.max("under").alias("rest"))
+        own = ranked.where("not common").select("query_id", "term", "weight", "floor")
+        met = own.join(self.postings, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"), F.max("floor").alias("floor"))
+        met = met.join(rest, "query_id", "left").where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor"))
+        met = written(met.select("query_id", "doc_id", "score"), "search-met")
+        more = met.select("query_id", "doc_id").join(ranked.where("common").select("query_id", "term", "weight"), "query_id").join(self.postings, ["doc_id", "term"])
+        more = more.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("more"))
+        return met.join(more, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), DIGITS).alias("score"))
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 5, pad: bool = False, index: Index | None = None) -> DataFrame:
     """Top k of each query. With ``pad`` documents without a score fill up to k, least doc_id first.
 
-    Only the k least documents that the query doesn't hit can be of use, and those are among the
-    least 2k documents, or behind its hits: so padding joins 2k documents, never all.
+    Without an index one of the queries' own terms is made. Only the k least documents that the query doesn't hit can
+    be of use as padding, and those are among the least 2k documents, or behind its hits: so padding joins 2k documents, never all.
     """
-    best = top_k(scores(docs, queries), k)
+    check_k(k)
+    index = index or Index.build(docs, vocabulary=query_terms(queries).select("term").distinct())
+    best = top_k(index.best(queries, k), k)
     if not pad:
         return best
+    best = written(best, "search-best")
     head = F.broadcast(docs.select("doc_id").orderBy("doc_id").limit(2 * k))  # 2k rows
     filler = queries.select("query_id").crossJoin(head).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     return top_k(best.select("query_id", "doc_id", "score").unionByName(filler.withColumn("score", F.lit(0.0))), k)

@@ -36,6 +36,13 @@ class Tool:
 def pack_tools(pack: DataFrame, references: DataFrame | None = None, scores: DataFrame | None = None, prefix: str = "docs_chunk_") -> list[Tool]:
     """Tools over a pack (id, source, content, breadcrumb, readiness_grade), as pack readers give it."""
     spark = pack.sparkSession
+    held: list[retrieval.Index] = []
+
+    def index() -> retrieval.Index:
+        """Built at the first search, read by all."""
+        if not held:
+            held.append(retrieval.Index.build(pack.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))))
+        return held[0]
 
     def text_of(args: dict, name: str) -> str:
         value = args.get(name)
@@ -47,7 +54,8 @@ def pack_tools(pack: DataFrame, references: DataFrame | None = None, scores: Dat
         k = args.get("k", 5)
         query = spark.createDataFrame([(0, text_of(args, "query"))], "query_id int, text string")
         try:
-            best = retrieval.search(pack.select(F.col("id").alias("doc_id"), F.col("content").alias("text")), query, k).where("score > 0")
+            retrieval.check_k(k)
+            best = retrieval.search(pack.select(F.col("id").alias("doc_id"), F.col("content").alias("text")), query, k, index=index()).where("score > 0")
         except ValueError as fault:
             raise ToolError(str(fault)) from fault
         parent = F.concat(F.lit(prefix), F.split_part(F.col("doc_id"), F.lit("_"), F.lit(1)))
