@@ -170,17 +170,18 @@ def place_pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sizes = dict(cut.groupBy("tokens").count().collect())  # a row for each size at most
     placed: list[DataFrame] = []
     gaps, opened, fits = None, 0, {}
-    bounds = [0, *(b for k in range(1, capacity.bit_length()) if (b := capacity >> k) >= LEAST_CLASS)]
-    high = capacity
-    while high:
-        low = high // 2 if high // 2 >= LEAST_CLASS else 0
+    tops = [b for k in range(capacity.bit_length()) if (b := capacity >> k) >= LEAST_CLASS] or [capacity]
+    bounds = [(low, top) for top, low in zip(tops, [*tops[1:], 0], strict=True)]
+    for low, high in bounds:
         left = cut.where(F.col("tokens").between(low + 1, high))
         n_left = sum(n for size, n in sizes.items() if low < size <= high)
         while n_left:
-            many = fits.get(low, 0)
-            each = min(capacity // high, -(-2 * n_left // max(1, many)))  # many more slots than pieces can't be needed at once
-            slots = slots_of(gaps, low, high, each) if many else None
-            got, rest, n_rest = sweep(left, slots, n_left + many * each)
+            small, large, cells = fits.get(low, (0, 0, 0))
+            each = capacity // high
+            if cells > 4 * n_left:  # many more slots than pieces can't be needed at once
+                each = -(-2 * n_left // large)
+            slots = slots_of(gaps, low, high, each) if small + large else None
+            got, rest, n_rest = sweep(left, slots, n_left + small + min(cells, large * each))
             placed.append(got)
             fresh = None
             if n_rest == n_left:
@@ -194,12 +195,12 @@ def place_pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 begun = fresh.select("seq", (F.lit(capacity) - F.col("tokens")).alias("gap"))
                 after = after.unionByName(begun) if after is not None else begun
             if after is not None:
-                seen = Observation()  # how many gaps each class can use, counted as they are written
-                after = after.where("gap > 0").observe(seen, *(F.count_if(F.col("gap") > b).alias(f"over_{b}") for b in bounds))
-                gaps = written(after, "pack-gaps")
-                fits = {b: seen.get[f"over_{b}"] for b in bounds}
+                seen = Observation()  # for each class the gaps under its bound, those at or above it, and the slots of these, counted as they are written
+                gap = F.col("gap")
+                counts = [c for b, top in bounds for c in (F.count_if((gap > b) & (gap < top)).alias(f"small_{b}"), F.count_if(gap >= top).alias(f"large_{b}"), F.coalesce(F.sum(F.expr(f"gap div {top}")), F.lit(0)).alias(f"cells_{b}"))]
+                gaps = written(after.where("gap > 0").observe(seen, *counts), "pack-gaps")
+                fits = {b: tuple(seen.get[f"{c}_{b}"] for c in ("small", "large", "cells")) for b, _ in bounds}
             left, n_left = rest.select(*_PIECE) if n_rest else None, n_rest
-        high = low
     out = spark.createDataFrame([], kind)
     for got in placed:
         out = out.unionByName(got)
