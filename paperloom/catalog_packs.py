@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from paperloom.catalog import _ASSIGN, _HOST, _NEXT_FIT, _SNAP, _docs, _edges, _
 from paperloom.functions import text
 from paperloom.operators import chunking, discovery, linkgraph, retrieval, snapshots
 from paperloom.plans import pipeline, serving
-from paperloom.session import shared_root
+from paperloom.session import new_folder
 from paperloom.sources import artifacts, readers, writers
 from paperloom.streaming import ingest
 
@@ -20,7 +18,7 @@ __all__ = ["ORACLE_SQL", "QUERIES"]  # those of both modules
 
 
 def _folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return new_folder(spark, label)
 
 
 def _text_pages(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,6 @@ the chunks. The state is the words in the open chunk, or -1 if none is open.
 from __future__ import annotations
 
 import bisect
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import parent_dir
-from paperloom.session import shared_root, written
+from paperloom.session import new_folder, written
 
 #: Rows of (order, words) in a block, about.
 BLOCK_ROWS = 200_000
@@ -163,7 +162,7 @@ def balance(members: DataFrame, target: int, max_words: int) -> DataFrame:
     """
     named = numbered(members.select("path", "words", "chunk"), ["chunk", "path"], "pos").drop("chunk")
     cut = _in_blocks(named, ["pos"], "balance-items")
-    path = f"{shared_root(cut.sparkSession)}/balance-blocks-{uuid.uuid4().hex}"
+    path = new_folder(cut.sparkSession, "balance-blocks")
     cut.write.partitionBy("_block").parquet(path)  # so that one block is read from its own folder
     by_block = cut.sparkSession.read.schema(cut.schema).parquet(path)
     summary = cut.groupBy("_block").agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.min("pos").alias("first")).orderBy("first").collect()  # a row for each block

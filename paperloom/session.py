@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +44,44 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders made by this process that nothing has removed yet; a folder is in the list of every scratch it was made in.
+_open: list[list[str]] = []
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """The name of a folder below the shared one that goes when the :func:`scratch` around it ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that were written within it: consume the results inside.
+
+    Without one, tables stay until whoever owns ``spark.checkpoint.dir`` clears it, because a lazy result may still
+    read them.
+    """
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for path in made:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends at those files."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,8 +93,7 @@ def discard(df: DataFrame) -> None:
     root = shared_root(spark).split(":", 1)[-1].lstrip("/")
     for folder in folders:
         if root in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(spark, folder)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -177,6 +177,19 @@ def test_windows_of_a_stream(spark, tmp_path):
     assert sorted((r.start.hour, r.event_type, r.events) for r in spark.table("change_windows").collect()) == [(10, "a", 2), (11, "b", 1)]
 
 
+def test_scratch_removes_what_was_written_in_it(spark):
+    import os
+
+    from paperloom.session import scratch, shared_root, written
+
+    root = shared_root(spark).removeprefix("file:")
+    kept = written(spark.range(3), "kept")
+    before = set(os.listdir(root))
+    with scratch(spark):
+        assert written(spark.range(5), "gone").count() == 5 and set(os.listdir(root)) > before
+    assert set(os.listdir(root)) == before and kept.count() == 3
+
+
 def test_small_inputs_are_spread(spark):
     one = spark.range(10).coalesce(1)
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
