@@ -21,15 +21,13 @@ key: references are counted by partial aggregation, and a shard of the hash spac
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import scan
-from paperloom.session import discard, fresh_name, shared_root, written
+from paperloom.session import discard, fresh_name, new_folder, written
 
 MIN_CHARS = 20
 SLOTS = 4
@@ -191,7 +189,7 @@ class LineIndex:
     @classmethod
     def create(cls, spark: SparkSession, shards: int, id_type: str = "bigint", path: str | None = None) -> LineIndex:
         """An empty index; without ``path`` it lies in the cluster's shared folder."""
-        return cls(spark, path or f"{shared_root(spark)}/lines-{uuid.uuid4().hex}", shards, id_type)
+        return cls(spark, path or new_folder(spark, "lines"), shards, id_type)
 
     def _read(self, table: str, versions: range | None = None) -> DataFrame:
         schema = {"refs": _REF.format(id=self.id_type), "counts": "h1 bigint, h2 bigint, change bigint", "filters": _FILTER, "drops": _DROP}[table]
@@ -263,7 +261,7 @@ class LineIndex:
 
         All columns of ``docs`` stay; the text holds the kept lines, in order. A document that lost
         lines and has nothing but white space left is dropped, as is a row whose doc_id and text are
-        both those of another row. A null text stays null. With ``of`` only that version's batch counts.
+        both those of another row. A null text stays null; a text however long is one row of lines. Columns may have any names. With ``of`` only that version's batch counts.
         """
         log = self._read("drops", None if of is None else range(of, of + 1))
         if of is None:

@@ -128,8 +128,8 @@ def sample_plan(docs: DataFrame, weights: DataFrame, targets: dict[str, float] |
     ``weights`` has (doc_id, weight); documents it doesn't name weigh ``other``, of several weights
     the least counts. A weight that is null or not above 0 keeps a document out of the fractional
     selection, not out of complete epochs. A null source is a source of its own; null or empty texts
-    have no tokens. Rows with equal doc_id draw the same key and are taken together. No rows give no
-    rows.
+    have no tokens, very long ones are counted whole. Rows with equal doc_id draw the same key and are taken together; equal keys go
+    by doc_id. Other columns, whatever their names, are not looked at. No rows give no rows.
     """
     items = _items(docs, weights, seed, other)
     return take(items, source_plan(items, targets, budget, max_epochs), "source", "doc_id", F.col("key"), "epoch").select("doc_id", "source", "tokens", "epoch")
@@ -139,7 +139,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     """``docs``, all columns, with documents repeated or left out so that sources meet their budgets.
 
     The selection is that of :func:`sample_plan` with :func:`quality_weights`. It is made without
-    texts and brought back to them by doc_id and source, so the texts are shuffled once.
+    texts and brought back to them by doc_id and source, so the texts are shuffled once. Columns may have any names.
     """
     items = _items(docs, quality_weights(labels), seed, other)
     plan = take(items, source_plan(items, targets, budget, max_epochs), "source", "doc_id", F.col("key"), "epoch")

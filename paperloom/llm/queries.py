@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from paperloom.llm import mixing, packing, pii, puquality, rules, toolchat, topk, urlrules
 from paperloom.llm.linededup import MIN_CHARS, LineIndex, shards_for
 from paperloom.llm.simhash import near_duplicate_groups
+from paperloom.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

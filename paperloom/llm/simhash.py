@@ -279,7 +279,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the document differs from that of the group's first document. Rows that repeat a doc_id count
     as one document each; a group has two or more rows, so a row that is there twice makes a group
     and is listed twice. Texts that are null or hold no word are no one's duplicate. A null doc_id is
-    listed like any other and orders before all others. Other columns of ``docs`` are not looked at.
+    listed like any other and orders before all others. Very long texts are read whole; ties for the first of a group go by doc_id. Other
+    columns of ``docs``, whatever their names, are not looked at.
     No rows give no rows.
     """
     prints = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("f")).select("doc_id", "f.hi", "f.lo", "f.words")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.session import written
+
 #: An object's brace after the white space of JSON.
 _OPENS = r"^[ \t\r\n]*\{"
 _PART = "kind string, place int, call_id string, name string, arguments string, needs array<string>, body string"
@@ -244,6 +246,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     rows = messages.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").distinct()
     looks = F.col("text").rlike(_OPENS)
     rows = rows.withColumn("parts", F.when(looks, F.arrow_udf(_parts, _PARTS)("role", F.when(looks, F.col("text")))))
+    rows = written(rows, "chat-rows")  # messages and calls are both made of it
     part = rows.where("parts is not null").select("conv_id", "turn", F.explode("parts").alias("p")).select("conv_id", "turn", "p.*").where("kind <> 'content'")
     known, is_call = F.col("turn").isNotNull(), F.col("kind") == "call"
     same = Window.partitionBy("conv_id", "call_id")

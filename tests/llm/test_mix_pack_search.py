@@ -237,6 +237,13 @@ def test_packing_is_near_best_fit(spark, monkeypatch, seed, rows):
     assert len(fill) <= 1.02 * brute_best_fit(sizes, 64) + 1
 
 
+def test_packing_with_clashing_columns_and_nulls(spark):
+    rows = [(1, "a b c", 7, "x", 0.5), (1, "a b c", 7, "x", 0.5), (None, "d e", 8, None, None), (2, None, 9, "y", 1.0), (3, " ", None, "y", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, tokens bigint, seq string, gap double")
+    (row,) = packing.pack(docs, 64).collect()
+    assert (row.tokens, row.doc_ids, row.lengths) == (8, [1, 1, None], [3, 3, 2])
+
+
 def test_packing_keeps_every_token(spark):
     rng = np.random.default_rng(7)
     rows = [(i, "t " * int(n), "s", 1) for i, n in enumerate(rng.integers(0, 90, 80))] + [(100, None, "s", 1), (101, "", "s", 1), (None, "a b c", "s", 1), (5, "x " * 7, "s", 1), (5, "x " * 7, "s", 1), (102, "long " * 40000, "s", 1)]
