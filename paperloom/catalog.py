@@ -429,24 +429,29 @@ def chunk_totals(spark: SparkSession, d: str) -> DataFrame:
     return out.select(chunking.chunk_id(F.col("chunk")).alias("chunk_id"), "files", "words")
 
 
-_SEMANTIC = f"""{_SIZED}, dirs AS (SELECT dir, sum(words)::BIGINT AS words, row_number() OVER (ORDER BY dir) AS d FROM sized GROUP BY dir
-), files_in AS (SELECT s.*, row_number() OVER (PARTITION BY s.dir ORDER BY path) AS i FROM sized s JOIN dirs USING (dir) WHERE dirs.words > {MAX_WORDS}
+def _semantic_sql(sized: str, limit: int) -> str:
+    """CTEs over ``sized`` (path, words, dir): directories stay whole, one over the limit is split by next-fit."""
+    return f"""{sized}, dirs AS (SELECT dir, sum(words)::BIGINT AS words, row_number() OVER (ORDER BY dir) AS d FROM sized GROUP BY dir
+), files_in AS (SELECT s.*, row_number() OVER (PARTITION BY s.dir ORDER BY path) AS i FROM sized s JOIN dirs USING (dir) WHERE dirs.words > {limit}
 ), inside AS (
-    SELECT dir, i, path, words, 1::BIGINT AS c, CASE WHEN words > {MAX_WORDS} THEN -1 ELSE words END::BIGINT AS run FROM files_in WHERE i = 1
+    SELECT dir, i, path, words, 1::BIGINT AS c, CASE WHEN words > {limit} THEN -1 ELSE words END::BIGINT AS run FROM files_in WHERE i = 1
     UNION ALL
-    SELECT s.dir, s.i, s.path, s.words, f.c + CASE WHEN f.run < 0 OR f.run + s.words > {MAX_WORDS} THEN 1 ELSE 0 END,
-           CASE WHEN s.words > {MAX_WORDS} THEN -1 WHEN f.run < 0 OR f.run + s.words > {MAX_WORDS} THEN s.words ELSE f.run + s.words END
+    SELECT s.dir, s.i, s.path, s.words, f.c + CASE WHEN f.run < 0 OR f.run + s.words > {limit} THEN 1 ELSE 0 END,
+           CASE WHEN s.words > {limit} THEN -1 WHEN f.run < 0 OR f.run + s.words > {limit} THEN s.words ELSE f.run + s.words END
     FROM inside f JOIN files_in s ON s.dir = f.dir AND s.i = f.i + 1
 ), weighed AS (SELECT d.dir, d.words, d.d, coalesce(max(c), 1) AS weight FROM dirs d LEFT JOIN inside i ON d.dir = i.dir GROUP BY ALL
 ), outside AS (
-    SELECT dir, d, weight, weight AS chunk, CASE WHEN words > {MAX_WORDS} THEN -1 ELSE words END::BIGINT AS run FROM weighed WHERE d = 1
+    SELECT dir, d, weight, weight AS chunk, CASE WHEN words > {limit} THEN -1 ELSE words END::BIGINT AS run FROM weighed WHERE d = 1
     UNION ALL
-    SELECT w.dir, w.d, w.weight, o.chunk + CASE WHEN w.words > {MAX_WORDS} OR o.run < 0 OR o.run + w.words > {MAX_WORDS} THEN w.weight ELSE 0 END,
-           CASE WHEN w.words > {MAX_WORDS} THEN -1 WHEN o.run < 0 OR o.run + w.words > {MAX_WORDS} THEN w.words ELSE o.run + w.words END
+    SELECT w.dir, w.d, w.weight, o.chunk + CASE WHEN w.words > {limit} OR o.run < 0 OR o.run + w.words > {limit} THEN w.weight ELSE 0 END,
+           CASE WHEN w.words > {limit} THEN -1 WHEN o.run < 0 OR o.run + w.words > {limit} THEN w.words ELSE o.run + w.words END
     FROM outside o JOIN weighed w ON w.d = o.d + 1
 )"""
 
 
+_SEMANTIC = _semantic_sql(_SIZED, MAX_WORDS)
+
+
 @query(f"WITH RECURSIVE {_SEMANTIC} SELECT s.path, s.words, (o.chunk - o.weight + coalesce(i.c, 1))::BIGINT AS chunk FROM sized s JOIN outside o ON s.dir = o.dir LEFT JOIN inside i ON s.path = i.path")
 def chunk_by_semantic(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_by_directory(_sized(spark, d), MAX_WORDS)
@@ -598,16 +603,38 @@ def dry_run_totals(spark: SparkSession, d: str) -> DataFrame:
 # --- pages
 
 
-@query()
+def _plain_sql(c: str) -> str:
+    """The text of markup: no comments, scripts or styles, block ends as empty lines, entities of these pages decoded, white space made one."""
+    bare = f"regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
+    bare = f"regexp_replace(regexp_replace({bare}, '</({'|'.join(sorted(markup._BREAKS))})>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        bare = f"replace({bare}, '{entity}', '{char}')"
+    parts = f"list_transform(regexp_split_to_array({bare}, '\\n\\n+'), lambda x: {_strip(f"regexp_replace(x, '{WS}+', ' ', 'g')")})"
+    return f"array_to_string(list_filter({parts}, lambda x: x <> ''), chr(10) || chr(10))"
+
+
+@query(f"SELECT page_id, {_plain_sql('html')} AS raw_text FROM pages")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).select("page_id", "raw_text")
 
 
-@query()
+_MAIN = f"mains AS (SELECT page_id, {_plain_sql("regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)")} AS main_text, html FROM pages)"
+
+
+@query(f"WITH {_MAIN} SELECT page_id, main_text, {_words('main_text')} AS words FROM mains")
 def main_content(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).select("page_id", "main_text", text.word_count(F.col("main_text")).alias("words"))
 
 
+_TITLES = f"""titles AS (SELECT page_id, html, unnest(regexp_extract_all(html, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)) AS t, generate_subscripts(regexp_extract_all(html, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), 1) AS i,
+    unnest(regexp_extract_all(html, '(?s)<h([1-6])[^>]*>.*?</h[1-6]>', 1)) AS l FROM pages)"""
+
+
+@query(f"WITH {_TITLES} SELECT page_id, (i - 1)::INTEGER AS pos, l::INTEGER AS level, replace({_plain_sql('t')}, chr(10) || chr(10), ' ') AS text FROM titles")
+def html_heading_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).select("page_id", F.posexplode("headings").alias("pos", "h")).select("page_id", "pos", "h.level", "h.text")
+
+
 @query()
 def html_headings(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).select("page_id", F.posexplode("headings").alias("pos", "h")).select("page_id", "pos", "h.*")
@@ -618,7 +645,7 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).select("page_id", F.size("links").cast("bigint").alias("links"))
 
 
-@query()
+@query(f"SELECT count(*) AS pages, count_if(length({_plain_sql('html')}) < {discovery.SHELL_CHARS})::BIGINT AS shells, false AS shell_site FROM pages")
 def spa_shells(spark: SparkSession, d: str) -> DataFrame:
     return discovery.is_shell_site(_parsed(spark, d))
 
@@ -790,7 +817,13 @@ def explain_sections(spark: SparkSession, d: str) -> DataFrame:
     return bodies.select("chunk", F.posexplode(writers.sections(F.col("body"))).alias("nth", "s")).select("chunk", "nth", "s.source", F.array_join("s.breadcrumb", " > ").alias("breadcrumb"), text.word_count(F.col("s.content")).alias("words"))
 
 
-@query()
+_GUIDE = f"""{_MAIN}, {_TITLES}, paths AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/+$', '') || printf('/p%06d.html', page_id) AS path FROM pages),
+sized AS (SELECT path, {_words('main_text')} AS words, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM mains JOIN paths USING (page_id))"""
+
+
+@query(f"""WITH RECURSIVE {_semantic_sql(_GUIDE, 2_000)}, members AS (SELECT s.path, s.words, o.chunk - o.weight + coalesce(i.c, 1) AS chunk FROM sized s JOIN outside o ON s.dir = o.dir LEFT JOIN inside i ON s.path = i.path),
+guide AS (SELECT chunk, sum(words)::BIGINT AS words, min(path) AS path FROM members GROUP BY chunk)
+SELECT chunk::BIGINT AS chunk, printf('docs_chunk_%02d.md', chunk) AS file, words, replace({_plain_sql('t')}, chr(10) || chr(10), ' ') AS section FROM guide JOIN paths USING (path) JOIN titles USING (page_id) WHERE i = 1""")
 def import_guide(spark: SparkSession, d: str) -> DataFrame:
     pages = _page_corpus(spark, d)
     members = chunking.chunk_by_directory(pages.select("path", text.word_count(F.col("text")).alias("words")), 2_000)

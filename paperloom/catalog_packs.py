@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.catalog import _ASSIGN, _HOST, _NEXT_FIT, _SNAP, _docs, _edges, _LINKED, _questions, _scored, _searchable, _snapshots, _words, MAX_WORDS, ORACLE_SQL, QUERIES, query
+from paperloom.catalog import _ASSIGN, _FACTS, _HOST, _NEXT_FIT, _SNAP, _docs, _edges, _LINKED, _questions, _scored, _searchable, _snapshots, _words, MAX_WORDS, ORACLE_SQL, QUERIES, query
 from paperloom.functions import text
 from paperloom.operators import chunking, discovery, linkgraph, retrieval, snapshots
 from paperloom.plans import pipeline, serving
@@ -130,7 +130,7 @@ def delta_saved(spark: SparkSession, d: str) -> DataFrame:
     return artifacts.delta_manifest(spark, folder).select("what", "name", F.array_join(F.coalesce("files", F.array().cast("array<string>")), ",").alias("files"))
 
 
-@query()
+@query(f"WITH {_FACTS} SELECT printf('docs_chunk_%02d', f.doc_id) AS chunk_id, c.extracted_words::BIGINT AS word_count, printf('%.3f', noise)::DOUBLE AS noise_ratio, f.whole AS boundary_integrity, depth AS context_depth, printf('%.2f', score)::DOUBLE AS score, grade FROM final f JOIN facts c USING (doc_id)")
 def readiness_saved(spark: SparkSession, d: str) -> DataFrame:
     """The scores of documents as chunks, saved as a snapshot and read again."""
     folder = _folder(spark, "state")

@@ -96,6 +96,15 @@ def subchunks(text: Column, limit: int) -> Column:
     return F.arrow_udf(run, "array<struct<text:string,char_offset:bigint>>")(text)
 
 
+@F.udtf(returnType="piece: int, char_offset: bigint, text: string")
+class SubchunkRows:
+    """``SELECT * FROM subchunks(text, limit)``: the pieces of one text as rows; a null text has one empty piece."""
+
+    def eval(self, text: str, limit: int):
+        for piece, (own, offset) in enumerate(split_by_words(text, limit or 0)):
+            yield piece, offset, own
+
+
 def issues(text: Column) -> Column:
     """Array of (kind, line, snippet)."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("line", pa.int32()), ("snippet", pa.string())]))

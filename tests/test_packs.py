@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions import markup
-from paperloom.operators import chunking, linkgraph, readiness, retrieval, snapshots
+from paperloom.functions import markup, structure
+from paperloom.operators import chunking, discovery, linkgraph, readiness, retrieval, snapshots
 from paperloom.plans import pipeline, serving
 from paperloom.session import spread
 from paperloom.sources import artifacts, readers, writers
@@ -168,6 +168,34 @@ def test_balance_reads_one_block_at_a_time(spark, monkeypatch):
     assert got == want
 
 
+def test_sub_chunks_as_a_table_function(spark):
+    spark.udtf.register("subchunks", structure.SubchunkRows)
+    body = "one two three\n\nfour five\n\nsix"
+    rows = spark.sql("SELECT piece, char_offset, text FROM VALUES ('%s') t(body), LATERAL subchunks(body, 4)" % body).collect()
+    assert [tuple(r) for r in rows] == [(0, 0, "one two three"), (1, 15, "four five\n\nsix")]
+    assert [(r.char_offset, r.text) for r in rows] == [(o, t) for t, o in structure.split_by_words(body, 4)]
+
+
+def test_boundary_faults_as_a_column(spark):
+    texts = ["ok", None, "```\ncode\n```\n\n```", "<pre>a</pre>\n</pre>"]
+    got = [[tuple(i) for i in r.i] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(structure.issues(F.col("t")).alias("i")).collect()]
+    assert got == [[], [], [("code_fence", 5, "```")], [("pre_tag", 2, "</pre>")]]
+
+
+def test_crawl_frontier(spark):
+    at = "https://d.example/"
+    pages = spark.createDataFrame([(at, [at + "a#x", at + "b", "https://o.example/"]), (at + "a", [at + "c", at]), (at + "b", [at + "gone"]), (at + "c", [at + "d"]), (at + "d", [])], "url string, targets array<string>")
+    assert {r.url: r.level for r in discovery.frontier_crawl(pages, at, at, 2).collect()} == {at: 0, at + "a": 1, at + "b": 1, at + "c": 2}
+
+
+def test_manifest_and_readiness_of_one_file(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"base_url": "b", "last_run": "t", "files": {"a.md": {"url": "u", "size_bytes": 3, "odd": 1}}}))
+    assert [(r.key, r.url, r.size_bytes) for r in readers.manifest(spark, f"{tmp_path}/m.json").collect()] == [("a.md", "u", 3)]
+    assert readers.manifest(spark, f"{tmp_path}/none.json") is None
+    (tmp_path / "r.json").write_text(json.dumps({"chunks": [{"chunk_id": "c", "score": 0.5, "grade": "B"}, {"chunk_id": "c", "score": 0.9, "grade": "A"}]}))
+    assert [(r.chunk_id, r.score) for r in readers.readiness(spark, f"{tmp_path}/r.json").collect()] == [("c", 0.9)]
+
+
 def test_windows_of_a_stream(spark, tmp_path):
     rows = [("2026-01-01 10:05:00", "a", 1), ("2026-01-01 10:50:00", "a", 2), ("2026-01-01 11:10:00", "b", 1)]
     spark.createDataFrame(rows, "ts string, event_type string, user_id bigint").select(F.to_timestamp("ts").alias("ts"), "event_type", "user_id").write.parquet(f"{tmp_path}/in")
