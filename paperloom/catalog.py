@@ -800,18 +800,55 @@ def _run(spark: SparkSession, d: str, **config) -> pipeline.Packed:
     return pipeline.pack(_page_corpus(spark, d), pipeline.PackConfig.preset("rag", max_words=2_000, **config))
 
 
-@query()
+_PAGE_PACK = f"""{_MAIN}, {_TITLES}, raws AS (SELECT page_id, {_plain_sql('html')} AS raw_text FROM pages),
+paths AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/+$', '') || printf('/p%06d.html', page_id) AS path FROM pages),
+lists AS (SELECT path, list_filter(list_transform(regexp_split_to_array(main_text, '\\n\\n'), lambda x: {_strip('x')}), lambda x: x <> '') AS l FROM mains JOIN paths USING (page_id)),
+blocks AS (SELECT path, unnest(l) AS block, generate_subscripts(l, 1) - 1 AS pos FROM lists),
+eligible AS (SELECT path, pos, {_norm('block')} AS norm, {_words('block')} AS words FROM blocks WHERE {_words('block')} >= {text.MIN_BLOCK_WORDS}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY md5(norm) ORDER BY path, pos) AS nth FROM eligible), firsts AS (SELECT * FROM ranked WHERE nth = 1),
+{_leaders_sql('firsts')}, gone AS (SELECT path, pos FROM ranked WHERE nth > 1 UNION ALL SELECT path, pos FROM fuzzy),
+texts AS (SELECT l.path, coalesce(string_agg(b.block, chr(10) || chr(10) ORDER BY b.pos), '') AS text FROM lists l LEFT JOIN (SELECT * FROM blocks ANTI JOIN gone USING (path, pos)) b ON l.path = b.path GROUP BY l.path),
+sized AS (SELECT path, {_words('text')} AS words, row_number() OVER (ORDER BY path) AS i FROM texts), fold AS (
+    SELECT i, path, words, 1::BIGINT AS chunk, CASE WHEN words > 2000 THEN -1 ELSE words END::BIGINT AS run FROM sized WHERE i = 1
+    UNION ALL
+    SELECT s.i, s.path, s.words, f.chunk + CASE WHEN f.run < 0 OR f.run + s.words > 2000 THEN 1 ELSE 0 END, CASE WHEN s.words > 2000 THEN -1 WHEN f.run < 0 OR f.run + s.words > 2000 THEN s.words ELSE f.run + s.words END
+    FROM fold f JOIN sized s ON s.i = f.i + 1
+), heads AS (SELECT page_id, count(*) AS n, max(l::INTEGER) AS level, arg_min(replace({_plain_sql('t')}, chr(10) || chr(10), ' '), i) AS crumb FROM titles GROUP BY page_id
+), facts AS (SELECT path, {_words('raw_text')} AS raw_words, {_words('main_text')} AS extracted_words, coalesce(n, 0) AS headings, coalesce(level, 0) AS level, crumb,
+    len(regexp_extract_all(text, '```')) AS fences, len(regexp_extract_all(text, '(?i)<pre[\\s>]')) - len(regexp_extract_all(text, '(?i)</pre>')) AS pres FROM paths JOIN mains USING (page_id) JOIN raws USING (page_id) JOIN texts USING (path) LEFT JOIN heads USING (page_id)
+), sums AS (SELECT chunk, sum(raw_words)::BIGINT AS raw_words, sum(extracted_words)::BIGINT AS extracted_words, sum(headings)::BIGINT AS headings, max(level)::INTEGER AS max_level, sum(fences) % 2 = 0 AND sum(pres) = 0 AS whole FROM fold JOIN facts USING (path) GROUP BY chunk
+), measured AS (SELECT *, CASE WHEN raw_words <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - extracted_words / raw_words)) END::DOUBLE AS noise, CASE WHEN headings > 0 THEN max_level ELSE 0 END AS depth FROM sums
+), weighed AS (SELECT *, (1 - noise) * 0.4::DOUBLE + CASE WHEN whole THEN 1.0 ELSE 0.0 END::DOUBLE * 0.3::DOUBLE + CASE WHEN depth >= 2 THEN 1.0 WHEN depth = 1 THEN 0.5 ELSE 0.0 END::DOUBLE * 0.3::DOUBLE AS score FROM measured
+), scores AS (SELECT *, CASE WHEN score >= 0.8::DOUBLE THEN 'A' WHEN score >= 0.5::DOUBLE THEN 'B' ELSE 'C' END AS grade FROM weighed
+), paras AS (SELECT path, para, i, {_words('para')} AS words FROM (SELECT path, unnest(string_split(text, chr(10) || chr(10))) AS para, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM texts)
+), cuts AS (
+    SELECT path, i, para, words, words AS run, 1::BIGINT AS piece FROM paras WHERE i = 1
+    UNION ALL
+    SELECT p.path, p.i, p.para, p.words, CASE WHEN c.run + p.words > 2000 AND crumb IS NOT NULL THEN p.words ELSE c.run + p.words END, c.piece + CASE WHEN c.run + p.words > 2000 AND crumb IS NOT NULL THEN 1 ELSE 0 END
+    FROM cuts c JOIN paras p ON p.path = c.path AND p.i = c.i + 1 JOIN facts x ON x.path = c.path
+), pieces AS (SELECT path, piece, string_agg(para, chr(10) || chr(10) ORDER BY i) AS text, sum(words)::BIGINT AS words, count(*) OVER (PARTITION BY path) AS n FROM cuts GROUP BY path, piece
+), records AS (SELECT f.path, f.chunk, p.piece, p.n, p.words, p.text, crumb, grade, printf('%.2f', score)::DOUBLE AS score, printf('%.3f', noise)::DOUBLE AS noise FROM fold f JOIN pieces p USING (path) JOIN facts USING (path) JOIN scores USING (chunk))"""
+
+
+@query(f"""WITH RECURSIVE {_PAGE_PACK} SELECT chunk, path, piece::INTEGER AS piece, '{{"id":' || to_json(CASE WHEN n > 1 THEN printf('%02d_%d_%s', chunk, piece, path) ELSE printf('%02d_%s', chunk, path) END)::VARCHAR || ',"source":' || to_json(path)::VARCHAR || ',"words":' || words || ',"content":' || to_json(text)::VARCHAR
+|| ',"schema_version":"v1"' || CASE WHEN crumb IS NULL THEN '' ELSE ',"breadcrumb":[' || to_json(crumb)::VARCHAR || ']' END || CASE WHEN n > 1 THEN ',"chunk_index":' || piece || ',"total_chunks":' || n ELSE '' END || ',"readiness_grade":"' || grade || '"}}' AS record FROM records""")
 def jsonl_records(spark: SparkSession, d: str) -> DataFrame:
     run = _run(spark, d)
     return writers.jsonl_records(run.pieces, grades=run.scores)
 
 
-@query()
+_NL = "chr(10)"
+
+
+@query(f"""WITH RECURSIVE {_PAGE_PACK} SELECT chunk, string_agg('<!-- paperloom-context-v1' || {_NL} || '{{' || {_NL} || '  "source": ' || to_json(path)::VARCHAR || ',' || CASE WHEN n > 1 THEN {_NL} || '  "chunk_index": ' || piece || ',' || {_NL} || '  "total_chunks": ' || n || ',' ELSE '' END || CASE WHEN words = 0 THEN '' ELSE {_NL} || '  "word_count": ' || words || ',' END
+|| CASE WHEN crumb IS NULL THEN '' ELSE {_NL} || '  "context_breadcrumb": [' || {_NL} || '    ' || to_json(crumb)::VARCHAR || {_NL} || '  ],' END
+|| {_NL} || '  "llm_readiness": {{' || {_NL} || '    "score": ' || score || ',' || {_NL} || '    "grade": "' || grade || '",' || {_NL} || '    "noise_ratio": ' || noise || {_NL} || '  }},'
+|| {_NL} || '  "schema_version": "v1"' || {_NL} || '}}' || {_NL} || '-->' || {_NL} || {_NL} || text, {_NL} || {_NL} ORDER BY path, piece) AS body FROM records GROUP BY chunk""")
 def context_header(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d, format="md").bodies
 
 
-@query()
+@query(f"WITH RECURSIVE {_PAGE_PACK} SELECT chunk, (row_number() OVER (PARTITION BY chunk ORDER BY path, piece) - 1)::INTEGER AS nth, path AS source, coalesce(crumb, '') AS breadcrumb, words FROM records")
 def explain_sections(spark: SparkSession, d: str) -> DataFrame:
     bodies = _run(spark, d, format="md").bodies
     return bodies.select("chunk", F.posexplode(writers.sections(F.col("body"))).alias("nth", "s")).select("chunk", "nth", "s.source", F.array_join("s.breadcrumb", " > ").alias("breadcrumb"), text.word_count(F.col("s.content")).alias("words"))
@@ -830,7 +867,7 @@ def import_guide(spark: SparkSession, d: str) -> DataFrame:
     return writers.import_guide(members, pages)
 
 
-@query()
+@query(f"WITH RECURSIVE {_PAGE_PACK} SELECT chunk, raw_words, extracted_words, headings, max_level, true AS whole, printf('%.3f', noise)::DOUBLE AS noise_ratio, depth AS context_depth, printf('%.2f', score)::DOUBLE AS score, grade FROM scores")
 def pack_scores(spark: SparkSession, d: str) -> DataFrame:
     return readiness.artifact_columns(_run(spark, d, dry_run=True).scores)
 
