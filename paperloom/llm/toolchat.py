@@ -22,7 +22,6 @@ import json
 import re
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,13 +53,19 @@ def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if value - value != 0:
+        raise ValueError(text)
+    return value
+
+
 def parsed(text: str | None) -> dict | None:
-    """The JSON object that the whole text is, or None; NaN and infinities are no JSON."""
+    """The JSON object that the whole text is, or None; NaN, infinities and numbers beyond floats are no JSON."""
     if text is None or not text.lstrip(" \t\r\n").startswith("{"):
         return None
     try:
-        value = json.loads(text, parse_constant=_refuse)
-        canonical(value)
+        value = json.loads(text, parse_constant=_refuse, parse_float=_finite)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -75,8 +80,14 @@ def _references(value: Any) -> list[str]:
 
 
 def parts(role: str | None, text: str | None) -> list[dict] | None:
-    """The calls or the result in a message and its remaining content; None for an ordinary message."""
-    whole = parsed(text)
+    """The calls or the result in a message and its remaining content; None for an ordinary message, or one nested too deep to be written."""
+    try:
+        return _parts_of(role, parsed(text))
+    except RecursionError:
+        return None
+
+
+def _parts_of(role: str | None, whole: dict | None) -> list[dict] | None:
     if whole is None:
         return None
     if role == "tool" and isinstance(whole.get("tool_call_id"), str):
@@ -90,7 +101,8 @@ def parts(role: str | None, text: str | None) -> list[dict] | None:
             continue
         arguments = call.get("arguments", {})
         if isinstance(arguments, str):
-            arguments = parsed(arguments) if parsed(arguments) is not None else arguments
+            inner = parsed(arguments)
+            arguments = arguments if inner is None else inner
         needs = call.get("depends_on")
         needs = [n for n in needs if isinstance(n, str)] if isinstance(needs, list) else []
         name = call.get("name")
@@ -148,7 +160,7 @@ def ordered(calls: list[dict]) -> list[tuple[dict, bool]]:
     if there is none, to the first after it; needs that name no other call order nothing. Ties go by that
     order.
     """
-    calls = sorted(calls, key=lambda c: (c["turn"] is not None, c["turn"] or 0, c["place"], c["call_id"] or ""))
+    calls = sorted(calls, key=lambda c: (c["turn"] is not None, c["turn"] or 0, c["place"], c["call_id"] or "", c.get("name") or "", c.get("arguments") or ""))
     places: dict[str, list[int]] = {}
     for k, c in enumerate(calls):
         if c["call_id"] is not None:
@@ -182,20 +194,16 @@ def ordered(calls: list[dict]) -> list[tuple[dict, bool]]:
     return out + [(c, True) for k, c in enumerate(calls) if k not in seen]
 
 
-def _linked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One row for a conversation with calls: their JSON in order, and counts."""
-    entries = rows.to_dict("records")
-    clean = lambda v: None if v is None or v is pd.NA or v != v else v
-    calls = [{"call_id": clean(r["call_id"]), "turn": clean(r["turn"]), "place": int(r["place"]), "needs": list(r["needs"]), "row": r} for r in entries if clean(r["is_call"])]
+def _linked(rows: list[dict]) -> tuple[int, int, int, list, list]:
+    """(calls, linked, valid, the calls in order with their results and errors, ids of results without a call) of a conversation."""
     out, linked, valid = [], 0, 0
-    for call, cyclic in ordered(calls):
-        row, body = call["row"], clean(call["row"]["body"])
-        errors = [*row["errors"], *["depends_on: cycle"] * cyclic, *["id: repeated"] * (int(row["times"]) > 1), *["result: missing"] * (body is None)]
+    for row, cyclic in ordered([r for r in rows if r["is_call"]]):
+        body = row["body"]
+        errors = [*row["errors"], *["depends_on: cycle"] * cyclic, *["id: repeated"] * (row["times"] > 1), *["result: missing"] * (body is None)]
         linked += body is not None
         valid += not errors
-        out.append({"id": call["call_id"], "name": clean(row["name"]), "arguments": json.loads(row["arguments"]), "result": None if body is None else json.loads(body), "errors": errors})
-    orphans = sorted(r["call_id"] for r in entries if not clean(r["is_call"]))
-    return pd.DataFrame({"link_conv": [entries[0]["conv_id"]], "n_calls": [len(calls)], "n_linked": [linked], "n_valid": [valid], "calls": [canonical(out)], "orphans": [canonical(orphans)]})
+        out.append({"id": row["call_id"], "name": row["name"], "arguments": json.loads(row["arguments"]), "result": None if body is None else json.loads(body), "errors": errors})
+    return len(out), linked, valid, out, sorted(r["call_id"] for r in rows if not r["is_call"])
 
 
 def _checked(schemas: dict[str, dict]):
@@ -215,15 +223,16 @@ def _checked(schemas: dict[str, dict]):
     return run
 
 
-def _serialise(messages: pa.Array, calls: pa.Array, orphans: pa.Array) -> pa.Array:
+_TOLD = pa.struct([("n_calls", pa.int64()), ("n_linked", pa.int64()), ("n_valid", pa.int64()), ("json", pa.string())])
+
+
+def _serialise(messages: pa.Array, calls: pa.Array) -> pa.Array:
     out = []
-    for own, call, orphan in zip(messages.to_pylist(), calls.to_pylist(), orphans.to_pylist(), strict=True):
-        texts = []
-        for m in own:
-            content = m["text"] if m["body"] is None else json.loads(m["body"])
-            texts.append({"role": m["role"], "turn": m["turn"], "content": content})
-        out.append(canonical({"messages": texts, "tool_calls": json.loads(call) if call else [], "unmatched_results": json.loads(orphan) if orphan else []}))
-    return pa.array(out, pa.string())
+    for own, rows in zip(messages.to_pylist(), calls.to_pylist(), strict=True):
+        texts = [{"role": m["role"], "turn": m["turn"], "content": m["text"] if m["body"] is None else json.loads(m["body"])} for m in own]
+        n_calls, n_linked, n_valid, linked, orphans = _linked(rows or [])
+        out.append({"n_calls": n_calls, "n_linked": n_linked, "n_valid": n_valid, "json": canonical({"messages": texts, "tool_calls": linked, "unmatched_results": orphans})})
+    return pa.array(out, _TOLD)
 
 
 def _parts(role: pa.Array, text: pa.Array) -> pa.Array:
@@ -243,17 +252,18 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     errors are kept, the errors beside them. No rows give no rows. A conversation is one row of the
     result, so its messages must fit in one value of Spark (2 GB).
     """
-    rows = messages.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").distinct()
+    rows = messages.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
     looks = F.col("text").rlike(_OPENS)
     rows = rows.withColumn("parts", F.when(looks, F.arrow_udf(_parts, _PARTS)("role", F.when(looks, F.col("text")))))
     rows = written(rows, "chat-rows")  # messages and calls are both made of it
-    part = rows.where("parts is not null").select("conv_id", "turn", F.explode("parts").alias("p")).select("conv_id", "turn", "p.*").where("kind <> 'content'")
+    part = rows.where("parts is not null").select("conv_id", "turn", "role", "text", F.explode("parts").alias("p")).select("conv_id", "turn", "role", "text", "p.*").where("kind <> 'content'")
+    part = part.withColumn("whole", F.xxhash64("role", "text")).drop("role", "text").distinct().drop("whole")  # repeated messages count once
     known, is_call = F.col("turn").isNotNull(), F.col("kind") == "call"
     same = Window.partitionBy("conv_id", "call_id")
     upto = same.orderBy(known, "turn", ~is_call, "place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     count = lambda w: F.sum(is_call.cast("int")).over(w)
     named = part.where("kind <> 'broken'").withColumn("times", count(same))
-    nth = F.when(is_call, F.row_number().over(same.orderBy(~is_call, known, "turn", "place"))).otherwise(F.greatest(F.lit(1), count(upto)))
+    nth = F.when(is_call, F.row_number().over(same.orderBy(~is_call, known, "turn", "place", "name", "arguments"))).otherwise(F.greatest(F.lit(1), count(upto)))
     named = named.withColumn("nth", nth)
     calls = named.where(is_call).select(F.struct("conv_id", "call_id", "nth").alias("k"), F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), "turn", "place", "name", "arguments", "needs", "times", F.lit(True).alias("is_call"))
     results = named.where(~is_call).groupBy("conv_id", "call_id", "nth").agg(F.min(F.struct(known.alias("known"), "turn", "body")).alias("r"))
@@ -263,10 +273,9 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     broken = part.where("kind = 'broken'").withColumn("times", F.lit(1)).withColumn("is_call", F.lit(True))
     both = both.unionByName(broken.select(*both.columns))
     both = both.withColumn("errors", F.arrow_udf(_checked(schemas), "array<string>")("is_call", "call_id", "name", "arguments"))
-    kind = dict(messages.dtypes)["conv_id"]
-    linked = both.groupBy("conv_id").applyInPandas(_linked, f"link_conv {kind}, n_calls bigint, n_linked bigint, n_valid bigint, calls string, orphans string")
+    linked = both.groupBy(F.col("conv_id").alias("link_conv")).agg(F.collect_list(F.struct(*(c for c in both.columns if c != "conv_id"))).alias("calls"))
     body = F.get(F.filter("parts", lambda p: p["kind"].isin("content", "result")), 0)["body"]
-    told = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", body.alias("body")))).alias("messages"))
+    told = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text", body.alias("body")))).alias("messages"))
     told = told.join(linked, F.col("conv_id").eqNullSafe(F.col("link_conv")), "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
-    return told.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"), zero("n_calls"), zero("n_linked"), zero("n_valid"), F.arrow_udf(_serialise, "string")("messages", "calls", "orphans").alias("json"))
+    told = told.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"), F.arrow_udf(_serialise, "n_calls bigint, n_linked bigint, n_valid bigint, json string").asNondeterministic()("messages", "calls").alias("t"))
+    return told.select("conv_id", "n_messages", "t.*")
