@@ -14,7 +14,7 @@ from paperloom.operators.snapshots import ENTRY
 MANIFEST, DELTA, READINESS, REFERENCES = "manifest", "delta-manifest", "readiness", "cross-references"
 TEXT_EXTENSIONS = ("html", "md", "txt")
 #: What a crawl for text leaves out; addresses without an extension pass.
-ASSETS = tuple("png jpg jpeg gif svg webp ico bmp tiff css js mjs map woff woff2 ttf eot otf pdf zip gz tar bz2 7z rar mp4 webm mov avi mp3 wav ogg exe dmg bin wasm".split())
+ASSETS = tuple("7z avi bin bmp bz2 css dmg eot exe gif gz ico jpeg jpg js map mjs mov mp3 mp4 ogg otf pdf png rar svg tar tiff ttf wasm wav webm webp woff woff2 zip".split())
 SITEMAP_NAMES = ("sitemap.xml", "sitemap_index.xml", "sitemap-index.xml")
 LLMS_NAMES = ("llms.txt", "llms-full.txt")
 
