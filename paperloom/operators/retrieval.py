@@ -126,37 +126,61 @@ class Index:
         """What :meth:`build` wrote to the folder."""
         return cls(*(spark.read.parquet(f"{folder}/{n}") for n in ("index-postings", "index-terms", "index-stats")))
 
-    def best(self, queries: DataFrame, k: int) -> DataFrame:
-        """(query_id, doc_id, score) of all documents that can be among the k best of a query, with their exact scores.
+    def weighed(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term, df, weight, bound) of the queries' terms that some document has, written."""
+        terms = query_terms(queries).join(self.terms, "term").crossJoin(F.broadcast(self.stats))  # one row
+        weight = F.col("times") * idf(F.col("n"), F.col("df"))
+        return written(terms.select("query_id", "term", "df", weight.alias("weight"), (weight * F.col("most")).alias("bound")), "search-terms")
+
+    def scored(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) of pairs (query_id, doc_id) that share a term, not rounded."""
+        parts = pairs.join(terms.select("query_id", "term", "weight"), "query_id").join(self.postings, ["doc_id", "term"])
+        return parts.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
-        A few documents that hold a query's rarest term are scored first; the k-th best of them is a floor. Terms
-        that even together, at their greatest weights, stay under the floor, the common ones, bring no document
+    def reaching(self, terms: DataFrame, floors: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) of all documents that reach the floor (query_id, floor) of a query, with their exact scores.
+
+        Terms that even together, at their greatest weights, stay under the floor, the common ones, bring no document
         up by themselves: only documents with another term of the query are looked at, and of these only those that can
-        still reach the floor are scored in full. So pairs of a query and all documents that share a common
-        word with it are never made.
+        still reach the floor are scored in full. A query without a floor gets all documents that share a term.
         """
-        terms = query_terms(queries).join(self.terms, "term").crossJoin(F.broadcast(self.stats))  # one row
-        weight = F.col("times") * idf(F.col("n"), F.col("df"))
-        terms = written(terms.select("query_id", "term", "df", weight.alias("weight"), (weight * F.col("most")).alias("bound")), "search-terms")
-        rare = terms.groupBy("query_id").agg(F.min_by(F.struct("term", "df"), F.struct("df", "term")).alias("r")).select("query_id", "r.term", "r.df")
-        thin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.expr(f"df div {SEEDS * k}"))) == 0
-        seeds = rare.join(self.postings.select("doc_id", "term"), "term").where(thin).select("query_id", "doc_id")
-        parts = seeds.join(terms.select("query_id", "term", "weight"), "query_id").join(self.postings, ["doc_id", "term"])
-        seen = parts.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-        floors = seen.withColumn("nth", place).where(F.col("nth") == k).select("query_id", (F.col("score") - FLOOR_SLACK).alias("floor"))
         under = F.sum("bound").over(Window.partitionBy("query_id").orderBy("bound", "term"))
-        ranked = terms.withColumn("under", under).join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        ranked = terms.withColumn("under", under).join(floors, "query_id", "left").withColumn("floor", F.coalesce(F.col("floor") - FLOOR_SLACK, F.lit(0.0)))
         ranked = written(ranked.withColumn("common", F.col("under") < F.col("floor")), "search-ranked")
         rest = ranked.where("common").groupBy("query_id").agg(F.max("under").alias("rest"))
         own = ranked.where("not common").select("query_id", "term", "weight", "floor")
         met = own.join(self.postings, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"), F.max("floor").alias("floor"))
         met = met.join(rest, "query_id", "left").where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor"))
         met = written(met.select("query_id", "doc_id", "score"), "search-met")
-        more = met.select("query_id", "doc_id").join(ranked.where("common").select("query_id", "term", "weight"), "query_id").join(self.postings, ["doc_id", "term"])
-        more = more.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("more"))
+        more = self.scored(met.select("query_id", "doc_id"), ranked.where("common")).withColumnRenamed("score", "more")
         return met.join(more, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), DIGITS).alias("score"))
 
+    def best(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, doc_id, score) of all documents that can be among the k best of a query.
+
+        A few documents that hold a query's rarest term are scored first; the k-th best of them is the floor of the rest.
+        """
+        terms = self.weighed(queries)
+        rare = terms.groupBy("query_id").agg(F.min_by(F.struct("term", "df"), F.struct("df", "term")).alias("r")).select("query_id", "r.term", "r.df")
+        thin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.expr(f"df div {SEEDS * k}"))) == 0
+        seeds = rare.join(self.postings.select("doc_id", "term"), "term").where(thin).select("query_id", "doc_id")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+        floors = self.scored(seeds, terms).withColumn("nth", place).where(F.col("nth") == k).select("query_id", F.col("score").alias("floor"))
+        return self.reaching(terms, floors)
+
+    def ranks(self, questions: DataFrame) -> DataFrame:
+        """(query_id, expected_id, rank) of questions (query_id, expected_id, text) that share a term with their expected document.
+
+        The document's own score is the floor: the rank is one more than the number of documents above it, so no document that
+        stays below is ever scored in full.
+        """
+        terms = self.weighed(questions)
+        own = self.scored(questions.select("query_id", F.col("expected_id").alias("doc_id")), terms)
+        own = written(own.select("query_id", F.col("doc_id").alias("expected_id"), F.round("score", DIGITS).alias("own")), "search-own")
+        found = self.reaching(terms, own.select("query_id", F.col("own").alias("floor")))
+        above = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("doc_id") < F.col("expected_id")))
+        return own.join(found, "query_id").groupBy("query_id", "expected_id").agg((F.count_if(above) + 1).alias("rank"))
+
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 5, pad: bool = False, index: Index | None = None) -> DataFrame:
     """Top k of each query. With ``pad`` documents without a score fill up to k, least doc_id first.
@@ -207,8 +231,17 @@ def golden_questions(pack: DataFrame) -> DataFrame:
 
 
 def outcomes(docs: DataFrame, questions: DataFrame, k: int = 5, pad: bool = True) -> DataFrame:
-    """(query_id, expected_id, rank): the place at which the expected document came, or null."""
-    found = search(docs, questions.select("query_id", "text"), k, pad).select("query_id", F.col("doc_id").alias("expected_id"), "rank")
+    """(query_id, expected_id, rank): the place at which the expected document came, or null where it isn't among the k best.
+
+    ``questions`` has (query_id, expected_id, text), each query once. Questions that share no term with their expected
+    document are searched for their k best, padded if that is asked.
+    """
+    check_k(k)
+    index = Index.build(docs, vocabulary=query_terms(questions).select("term").distinct())
+    ranks = written(index.ranks(questions), "search-ranks")
+    other = questions.join(ranks.select("query_id"), "query_id", "left_anti")
+    found = search(docs, other.select("query_id", "text"), k, pad, index).select("query_id", F.col("doc_id").alias("expected_id"), "rank")
+    found = ranks.where(F.col("rank") <= k).select("query_id", "expected_id", "rank").unionByName(found)
     return questions.select("query_id", "expected_id").join(found, ["query_id", "expected_id"], "left")
 
 

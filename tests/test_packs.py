@@ -119,6 +119,22 @@ def test_index_is_written_once_and_searched_exactly(spark, tmp_path):
     assert index.terms.count() == len({w for _, t in docs for w in (t or "").split()})
 
 
+def test_ranks_of_expected_documents_are_those_of_a_full_search(spark):
+    rng = np.random.default_rng(5)
+    weights = 1 / np.arange(1, 41)
+    docs = [(i, " ".join(rng.choice(WORDS, int(rng.integers(0, 12)), p=weights / weights.sum()))) for i in range(60)] + [(200, None), (-1, "")]
+    asked = [(q, int(rng.integers(0, 60)), " ".join(rng.choice(WORDS, 5))) for q in range(25)] + [(30, -1, "unknown"), (31, 200, "w0"), (32, 0, "unknown"), (33, 3, docs[3][1])]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    questions = spark.createDataFrame(asked, "query_id bigint, expected_id bigint, text string")
+    scored = {(r.query_id, r.doc_id): r.score for r in retrieval.scores(table, questions.select("query_id", "text")).collect()}
+    for pad in (True, False):
+        got = {r.query_id: r["rank"] for r in retrieval.outcomes(table, questions, 4, pad).collect()}
+        for q, expected, _ in asked:
+            own = {i: scored.get((q, i)) for i, _ in docs}
+            order = sorted((i for i in own if pad or own[i] is not None), key=lambda i: (-(own[i] or 0.0), i))[:4]
+            assert got[q] == (order.index(expected) + 1 if expected in order else None), (q, pad)
+
+
 def test_tools_answer_over_a_pack(spark):
     pack = spark.createDataFrame([("01_a.html", "a.html", "the quick fox", ["Intro"], "A"), ("02_b.html", "b.html", "slow turtle", [], "B")], "id string, source string, content string, breadcrumb array<string>, readiness_grade string")
     sets = spark.createDataFrame([("docs_chunk_01", ["docs_chunk_02"])], "chunk_id string, references_to array<string>")
