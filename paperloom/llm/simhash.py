@@ -10,10 +10,9 @@ that differ in at most 14 bits differ in at most 2 bits within some segment, and
 every segment under its Hamming ball of radius 1 (133 entries in all), and whoever shares an entry
 is verified on all 128 bits. A table is cut into blocks by the first bits of its keys; a fingerprint
 is sent to the few blocks that its ball touches and its entries are made there. Equal fingerprints
-are collapsed first. An entry that many share is
-worked off around pivots: what lies within 14 bits of a pivot is tied to it, and two such clusters
-are compared member by member only if their pivots are within 42 bits, which the triangle
-inequality requires of any verified pair. No entry is capped.
+are collapsed first. All pairs of an entry are compared, first on one half of the fingerprint, which
+most fail; only pairs that join two trees of the block's forest leave it, so clusters of many near
+copies give rows in proportion to their members, not to their pairs. No entry is capped.
 """
 
 from __future__ import annotations
@@ -32,11 +31,12 @@ BITS = 128
 MAX_BITS = 14
 SEGMENTS = ((0, 26), (26, 26), (52, 26), (78, 25), (103, 25))
 #: A block of a segment's table holds about as many fingerprints, or the bits that name it are at their limits.
-BLOCK_PRINTS, LEAST_TOP, MOST_TOP = 1 << 15, 4, 22
+BLOCK_PRINTS, LEAST_TOP, MOST_TOP = 1 << 14, 4, 22
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
-_POPCOUNT_ROWS = 1 << 20
-#: Runs of equal keys up to the first size are compared by shifts, up to the second by a matrix, beyond by pivots.
-_SMALL_RUN, _MATRIX_RUN = 32, 2048
+#: Runs of equal keys up to this size are compared together by shifts, longer ones each by tiles of so many rows and columns.
+_SHORT_RUN, _TILE = 256, (128, 1024)
+#: Table entries that a worker makes at a time.
+_ENTRIES = 1 << 21
 
 
 def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,99 +130,109 @@ def block_entries(block: int, top: int, points: np.ndarray) -> tuple[np.ndarray,
     moved = (value[guests] & np.uint64((1 << low) - 1)) | (bits << np.uint64(low))
     keys = np.concatenate([inside, moved])
     index = np.concatenate([np.repeat(at, low + 1), guests])
-    order = np.argsort(keys, kind="stable")
-    return keys[order], index[order]
+    both = np.sort((keys << np.uint64(32)) | index.astype(np.uint64))
+    return both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances of rows of two halves; shapes broadcast."""
-    return np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16) + np.bitwise_count(a[..., 1] ^ b[..., 1])
-
-
-def spanning_edges(points: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Index pairs within ``max_bits`` that connect exactly what all such pairs connect."""
-    edges: list[tuple[int, int]] = []
-    left = np.arange(len(points))
-    pivots, members = [], []
-    while len(left):
-        near = distances(points[left], points[left[0]]) <= max_bits
-        group = left[near]
-        edges += [(int(group[0]), int(x)) for x in group[1:]]
-        pivots.append(int(group[0]))
-        members.append(group)
-        left = left[~near]
-    parent = list(range(len(pivots)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i in range(len(pivots) - 1):
-        close = np.flatnonzero(distances(points[pivots[i + 1 :]], points[pivots[i]]) <= 3 * max_bits) + i + 1
-        for j in close:
-            if find(i) == find(int(j)):
-                continue
-            a, b = members[i], members[j]
-            step = max(1, _POPCOUNT_ROWS // len(b))
-            for k in range(0, len(a), step):
-                hit = np.argwhere(distances(points[a[k : k + step], None], points[None, b]) <= max_bits)
-                if len(hit):
-                    edges.append((int(a[k + hit[0][0]]), int(b[hit[0][1]])))
-                    parent[find(i)] = find(int(j))
-                    break
-    return edges
-
-
-def _matrix_edges(points: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Index pairs (member, first of its component) from all distances at once."""
-    near = distances(points[:, None], points[None]) <= max_bits
-    n = len(points)
-    if near.sum() == n:
-        return np.zeros((0, 2), np.int64)
-    label = np.arange(n)
-    while True:
-        after = np.where(near, label[None], n).min(1)
-        after = after[after]
-        if (after == label).all():
-            break
-        label = after
-    member = np.flatnonzero(label != np.arange(n))
-    return np.stack([label[member], member], 1)
-
-
-def _edges(key: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
-    """Rows of four halves that connect, within each run of equal keys, what verified pairs connect."""
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(first, len(key)))
-    out = []
-    small = (size > 1) & (size <= _SMALL_RUN)
-    last = np.repeat(first[small] + size[small], size[small])
-    at = np.arange(len(last)) + np.repeat(first[small] - (np.cumsum(size[small]) - size[small]), size[small])
-    for ahead in range(1, int(size[small].max(initial=1))):
-        going = at + ahead < last
-        at, last = at[going], last[going]
-        near = at[distances(points[at], points[at + ahead]) <= MAX_BITS]
-        out.append(np.concatenate([points[near], points[near + ahead]], 1))
-    for f, n in zip(first[size > _SMALL_RUN], size[size > _SMALL_RUN], strict=True):
-        own = points[f : f + n]
-        pairs = _matrix_edges(own) if n <= _MATRIX_RUN else np.array(spanning_edges(own), np.int64).reshape(-1, 2)
-        out.append(np.concatenate([own[pairs[:, 0]], own[pairs[:, 1]]], 1))
-    return out
+    # numpy counts the bits of a signed number's absolute value
+    apart = [np.bitwise_count((a[..., h] ^ b[..., h]).view(np.uint64)).astype(np.int16) for h in (0, 1)]
+    return apart[0] + apart[1]
+
+
+class Forest:
+    """Trees over the points of a block, and the near pairs that joined them: no cycle, every link kept."""
+
+    def __init__(self, points: np.ndarray, segment: int):
+        self.parent = np.arange(len(points))
+        self.pairs: list[np.ndarray] = []
+        halves = [np.ascontiguousarray(points[:, h]).view(np.uint64) for h in (0, 1)]
+        # of the half with fewer bits that a shared entry has made alike already, most pairs fail at once
+        self.sieve, self.other = halves[::-1] if segment < 2 else halves
+
+    def roots(self, points: np.ndarray) -> np.ndarray:
+        root = self.parent[points]
+        while not np.array_equal(up := self.parent[root], root):
+            root = up
+        self.parent[points] = root
+        return root
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins those of the pairs that are near."""
+        near = np.bitwise_count(self.sieve[a] ^ self.sieve[b]) + np.bitwise_count(self.other[a] ^ self.other[b]) <= MAX_BITS
+        a, b = a[near], b[near]
+        while len(a):
+            root_a, root_b = self.roots(a), self.roots(b)
+            apart = root_a != root_b
+            a, b, root_a, root_b = a[apart], b[apart], root_a[apart], root_b[apart]
+            upper, at = np.unique(np.maximum(root_a, root_b), return_index=True)
+            self.parent[upper] = np.minimum(root_a, root_b)[at]
+            self.pairs.append(np.stack([a[at], b[at]], 1))
+
+    def join_short(self, index: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Joins within many runs of ``index`` at once, by shifts; longest runs first, so that those still going stand in front."""
+        order = np.argsort(-size, kind="stable")
+        first, size = first[order], size[order]
+        ends = np.cumsum(size)
+        own = index[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
+        run, sieve = np.repeat(np.arange(len(size)), size), self.sieve[own]
+        for ahead in range(1, int(size[0])):
+            going = ends[np.searchsorted(-size, -ahead) - 1]
+            hit = np.flatnonzero(np.bitwise_count(sieve[: going - ahead] ^ sieve[ahead:going]) <= MAX_BITS)
+            hit = hit[run[hit] == run[hit + ahead]]
+            self.join(own[hit], own[hit + ahead])
+
+    def join_long(self, own: np.ndarray) -> None:
+        """Joins within one run, tile by tile; a tile whose points are all in one tree already is passed over."""
+        own = own[np.argsort(self.roots(own), kind="stable")]
+        sieve = self.sieve[own]
+        for i in range(0, len(own), _TILE[0]):
+            rows = own[i : i + _TILE[0]]
+            for j in range(i, len(own), _TILE[1]):
+                columns = own[j : j + _TILE[1]]
+                root = self.roots(rows)
+                if (root == root[0]).all() and (self.roots(columns) == root[0]).all():
+                    continue
+                hit = np.flatnonzero(np.bitwise_count(sieve[i : i + len(rows), None] ^ sieve[None, j : j + len(columns)]) <= MAX_BITS)
+                self.join(rows[hit // len(columns)], columns[hit % len(columns)])
+
+
+def _join_runs(forest: Forest, keys: np.ndarray, index: np.ndarray) -> None:
+    """Joins the near pairs within each run of equal keys."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    size = np.diff(np.append(first, len(keys)))
+    short = (size > 1) & (size <= _SHORT_RUN)
+    if short.any():
+        forest.join_short(index, first[short], size[short])
+    for f, n in zip(first[size > _SHORT_RUN], size[size > _SHORT_RUN], strict=True):
+        forest.join_long(index[f : f + n])
 
 
 def block_edges(block: int, top: int, points: np.ndarray) -> np.ndarray:
-    """The distinct edges that the entries of one block give, as rows of four halves.
+    """Edges, as rows of four halves, that connect what the near pairs sharing an entry of one block connect.
 
-    They depend on the set of points alone: a task that is run again gives the same edges.
+    Each is a near pair, and there are fewer than points. They depend on the set of points alone: a task that is run
+    again gives the same edges. A block of many entries is worked off by parts of its keys.
     """
     points = points[np.lexsort((points[:, 1], points[:, 0]))]
-    keys, index = block_entries(block, top, points)
-    same = keys[1:] == keys[:-1]
-    shared = np.append(same, False) | np.append(False, same)
-    found = _edges(keys[shared], points[index[shared]]) if shared.any() else []
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+    segment = block >> 32
+    size = SEGMENTS[segment][1]
+    value = segment_value(np.ascontiguousarray(points[:, 0]), np.ascontiguousarray(points[:, 1]), segment)
+    forest = Forest(points, segment)
+    todo = [(block & 0xFFFFFFFF, top, np.arange(len(points)))]
+    while todo:
+        bits, deep, rows = todo.pop()
+        home = int(((value[rows] >> np.uint64(size - deep)) == np.uint64(bits)).sum())
+        if deep < size and home * (size - deep) + len(rows) > _ENTRIES:
+            for part in (2 * bits, 2 * bits + 1):
+                reach = np.bitwise_count((value[rows] >> np.uint64(size - deep - 1)) ^ np.uint64(part)) <= 1
+                todo.append((part, deep + 1, rows[reach]))
+            continue
+        keys, index = block_entries(segment << 32 | bits, deep, points[rows])
+        _join_runs(forest, keys, rows[index])
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *forest.pairs])
+    return np.concatenate([points[pairs[:, 0]], points[pairs[:, 1]]], 1)
 
 
 def _verify(top: int):

@@ -97,6 +97,76 @@ def test_blocks_find_every_pair():
     assert near and all(find(a) == find(b) for a, b in near)
 
 
+def block_labels(points, top):
+    """The least index that the edges of all blocks connect with each point, and the number of edges of each block and its points."""
+    label, counts = {tuple(p): i for i, p in enumerate(points.tolist())}, []
+    edges = []
+    for batch in simhash._emit(top)(iter([pa.RecordBatch.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], names=["hi", "lo"])])):
+        block = batch.column(0).to_numpy()
+        own = np.stack([batch.column(c).to_numpy() for c in (1, 2)], 1)
+        for b in np.unique(block):
+            found = simhash.block_edges(int(b), top, own[block == b])
+            counts.append((len(found), int((block == b).sum())))
+            edges += [(tuple(e[:2]), tuple(e[2:])) for e in found.tolist()]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
+    return [label[tuple(p)] for p in points.tolist()], counts
+
+
+def true_labels(points):
+    """The same by Python's integers alone."""
+    value = [(int(hi) % 2**64) << 64 | int(lo) % 2**64 for hi, lo in points]
+    label = list(range(len(value)))
+    for i in range(len(value)):
+        todo = [i] if label[i] == i else []
+        while todo:
+            j = todo.pop()
+            for k, v in enumerate(value):
+                if label[k] > i and (value[j] ^ v).bit_count() <= simhash.MAX_BITS:
+                    label[k] = i
+                    todo.append(k)
+    return label
+
+
+def flipped(point, bits):
+    q = np.array(point).view(np.uint64).copy()
+    for b in bits:
+        q[b // 64] ^= np.uint64(1) << np.uint64(63 - b % 64)
+    return q.view(np.int64)
+
+
+def test_first_bit_of_a_half_counts_as_one():
+    point = np.array([5, -9], np.int64)
+    for bits in ([0], [64], [0, 64], [0, 1, 2, 64, 127], list(range(15))):
+        other = flipped(point, bits)
+        assert simhash.distances(point[None], other[None]).tolist() == [len(bits)]
+        labels, _ = block_labels(np.array([point, other]), 4)
+        assert labels == ([0, 0] if len(bits) <= simhash.MAX_BITS else [0, 1])
+
+
+def test_block_edges_are_a_forest_of_near_pairs(monkeypatch):
+    """Clusters of many near copies, members of entries longer than a tile, blocks in parts."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**62), 2**62, 2)
+    points = [base]
+    points += [flipped(base, rng.choice(78, int(rng.integers(1, 7)), replace=False)) for _ in range(260)]
+    points += [flipped(base, rng.choice(78, int(rng.integers(14, 24)), replace=False)) for _ in range(260)]
+    points += [flipped(points[i], rng.choice(128, int(rng.integers(5, 17)), replace=False)) for i in range(1, 261, 4)]
+    points = np.unique(np.array(points, np.int64), axis=0)
+    truth = true_labels(points)
+    for entries in (1 << 21, 500):
+        monkeypatch.setattr(simhash, "_ENTRIES", entries, raising=False)
+        labels, counts = block_labels(points, 4)
+        assert labels == truth
+        assert all(edges < own for edges, own in counts)
+    assert 1 < len(set(truth)) < len(points)
+
+
 LONG = ["the first line is long enough to count", "the second line is long enough too", "a third line that is long as well"]
 
 
