@@ -41,9 +41,11 @@ EPOCHS = 6
 _EMBED, _HIDDEN, _CHARS = 12, 20, 100
 #: Window lengths are rounded up to a multiple of this, so that a window's padding depends on the window alone.
 _STEP = 64
-_BATCH, _SLICE_CHARS = 256, 1 << 24
+_BATCH, _SLICE_CHARS = 384, 1 << 24
 _FORBIDDEN = -1e4
-#: More than the prefix sums of a window can err.
+#: What a half in a natural exponent is as a step of a float's bits, the bits of 1, and how far the logistic function is followed.
+_HALF_BITS, _ONE_BITS, _FAR = np.float32((1 << 23) / np.log(4)), np.int32(127 << 23), np.float32(160)
+#: More than the sums over a window can err.
 _ROUNDING = 0.05
 _CODE = np.concatenate([np.full(32, 96), np.arange(32, 127) - 31, [97]]).astype(np.uint8)
 
@@ -67,6 +69,28 @@ _RULES = _allowed()
 _START = np.array([_FORBIDDEN if t.startswith("I-") else 0.0 for t in TAGS])
 
 
+def _logistic_bits(at: np.ndarray, up: np.ndarray, down: np.ndarray) -> None:
+    """The network's logistic function, in place, of numbers times _HALF_BITS; ``up`` and ``down`` are int32 room of their shape.
+
+    It is ``e(x / 2) / (e(x / 2) + e(-x / 2))``, where ``e`` is exp with the mantissa taken in straight lines between powers of
+    two: a number's bits as they are. It differs from the exact one by 0.0026 at most. numpy has tanh and exp in vector
+    instructions on some processors only, and the rest of the work is less than they are on others.
+    """
+    np.copyto(up, at, casting="unsafe")
+    np.subtract(_ONE_BITS, up, out=down)
+    np.add(up, _ONE_BITS, out=up)
+    up, down = up.view(np.float32), down.view(np.float32)
+    np.add(up, down, out=down)
+    np.divide(up, down, out=at)
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    """The logistic function that training and search use."""
+    at = np.clip(x, -_FAR, _FAR).astype(np.float32) * _HALF_BITS
+    _logistic_bits(at, np.empty(at.shape, np.int32), np.empty(at.shape, np.int32))
+    return at
+
+
 def _both_ways(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
     """States (T, 2, B, H) over inputs (T, 2, B, E), direction 1 reversed in time, and what the gradient needs."""
     h_size = wh.shape[1]
@@ -75,11 +99,11 @@ def _both_ways(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) ->
     c, out, kept = np.zeros_like(h), np.empty((*z.shape[:3], h_size), x.dtype), []
     for t in range(len(z)):
         a = z[t] + h @ wh
-        ifo, g = 0.5 * (1 + np.tanh(0.5 * a[..., : 3 * h_size])), np.tanh(a[..., 3 * h_size :])
+        ifo, g = logistic(a[..., : 3 * h_size]), 2 * logistic(2 * a[..., 3 * h_size :]) - 1
         i, f, o = ifo[..., :h_size], ifo[..., h_size : 2 * h_size], ifo[..., 2 * h_size :]
         before = c
         c = f * c + i * g
-        tc = np.tanh(c)
+        tc = 2 * logistic(2 * c) - 1
         kept.append((i, f, o, g, before, tc, h))
         h = o * tc
         out[t] = h
@@ -151,46 +175,60 @@ class Tagger:
         return both @ w + bias, (turned, x, both, kept)
 
     def __post_init__(self) -> None:
-        """What :meth:`advantage` runs on: halved weights, because a sigmoid is ``(1 + tanh(x / 2)) / 2`` and
-        the states are kept doubled; state, input and bias weights in one matrix for each direction."""
+        """What :meth:`advantage` runs on: state, input and bias weights in one matrix for each direction, for states
+        kept halved, because tanh is ``2 (logistic(2 x) - 1 / 2)``, and in the unit that :func:`_logistic_bits` takes; below
+        them the output weights, so that a step also gives what the state before it adds to the advantages."""
         embed, wx, wh, b, w, bias, _ = self.theta
-        half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], wx.dtype), _HIDDEN)
-        self._steps = np.ascontiguousarray(np.concatenate([wh * 0.5, wx, b[:, None]], 1).swapaxes(1, 2) * half[:, None])
+        unit = np.repeat(np.array([1, 1, 1, 2], wx.dtype) * _HALF_BITS, _HIDDEN)
+        gates = np.concatenate([wh * 2, wx, b[:, None]], 1).swapaxes(1, 2) * unit[:, None]
+        told = np.zeros((2, len(TAGS) - 1, gates.shape[2]), wx.dtype)
+        told[:, :, :_HIDDEN] = (w[:, 1:] - w[:, :1]).T.reshape(-1, 2, _HIDDEN).swapaxes(0, 1) * 2
+        told[0, :, -1] = bias[1:] - bias[0]
+        self._steps = np.ascontiguousarray(np.concatenate([gates, told], 1))
+        self._wide = float(((np.abs(wh).sum(1) + np.abs(embed @ wx).max(1) + np.abs(b)) * unit).max()) > _FAR * _HALF_BITS
         self._chars = np.ascontiguousarray(embed.T)
-        self._out, self._bias = (w[:, 1:] - w[:, :1]).T * 0.5, (bias[1:] - bias[0])[:, None]
         self._held = np.empty(0, wx.dtype)
 
     def advantage(self, ids: np.ndarray) -> np.ndarray:
-        """(T, tags but O, B): how far the emission of each tag is above that of O."""
+        """(T, tags but O, B): how far the emission of each tag is above that of O; the next call writes over it."""
         n, t_max = ids.shape
         kind = self._steps.dtype
-        size = 2 * t_max * n * _HIDDEN
+        size = 2 * t_max * n * (len(TAGS) - 1)
         if len(self._held) < size:  # kept for the next batch: fresh pages would cost as much as the sums
             self._held = np.empty(size, kind)
-        states = self._held[:size].reshape(t_max, 2 * _HIDDEN, n)
+        ahead = self._held[:size].reshape(2, t_max, -1, n)
         turned = np.ascontiguousarray(ids.T).astype(np.intp)
         fed = np.zeros((2, _HIDDEN + _EMBED + 1, n), kind)
         fed[:, -1] = 1
         h, x = fed[:, :_HIDDEN], fed[:, _HIDDEN:-1]
         c, u = np.zeros((2, 2, _HIDDEN, n), kind)
-        a = np.empty((2, 4 * _HIDDEN, n), kind)
-        i, f, o, g = (a[:, k * _HIDDEN : (k + 1) * _HIDDEN] for k in range(4))
-        for t in range(t_max):
-            self._chars.take(turned[t], axis=1, out=x[0], mode="clip")
-            self._chars.take(turned[t_max - 1 - t], axis=1, out=x[1], mode="clip")
+        a = np.empty((2, self._steps.shape[1], n), kind)
+        gates, told = a[:, : 4 * _HIDDEN], a[:, 4 * _HIDDEN :]
+        bits, cell_bits, most = np.empty((2, *gates.shape), np.int32), np.empty((2, *c.shape), np.int32), _FAR * _HALF_BITS
+        half, scale = kind.type(0.5), 4 * _HALF_BITS
+        i, f, o, g = (gates[:, k * _HIDDEN : (k + 1) * _HIDDEN] for k in range(4))
+        for t in range(t_max + 1):
+            if t < t_max:
+                self._chars.take(turned[t], axis=1, out=x[0], mode="clip")
+                self._chars.take(turned[t_max - 1 - t], axis=1, out=x[1], mode="clip")
             np.matmul(self._steps, fed, out=a)
-            np.tanh(a, out=a)
-            np.multiply(f, c, out=u)
-            np.add(c, u, out=c)
-            np.multiply(i, g, out=u)
-            np.add(c, u, out=c)
+            if t:
+                ahead[0, t - 1], ahead[1, t_max - t] = told
+            if t == t_max:
+                break
+            if self._wide:
+                np.clip(gates, -most, most, out=gates)
+            _logistic_bits(gates, *bits)
+            np.subtract(g, half, out=g)
+            np.multiply(i, g, out=g)
+            np.multiply(f, c, out=c)
             np.add(c, g, out=c)
-            np.multiply(c, kind.type(0.5), out=c)
-            np.tanh(c, out=u)
+            np.multiply(c, scale, out=u)
+            np.clip(u, -most, most, out=u)
+            _logistic_bits(u, *cell_bits)
+            np.subtract(u, half, out=u)
             np.multiply(o, u, out=h)
-            np.add(h, u, out=h)
-            states[t, :_HIDDEN], states[t_max - 1 - t, _HIDDEN:] = h
-        return self._out @ states + self._bias
+        return np.add(ahead[0], ahead[1], out=ahead[0])
 
     def candidates(self, ahead: np.ndarray) -> np.ndarray:
         """The windows, of their advantages, on whose best path another tag than O may be.
@@ -198,17 +236,20 @@ class Tagger:
         A path that leaves O is made of runs of one kind. What a run can gain over O is at most the
         advantage of the tag that begins it with the best transition into it, those of its inside
         tags with the best transition within, and the best transition out of it; where no run
-        can gain, which prefix sums tell, the path O throughout is the best.
+        can gain, which the best run that ends at each place tells, the path O throughout is the best.
         """
         move = self.theta[-1] - self.theta[-1][0, 0]
         best_of = lambda v: v.max(0)[:, None].astype(ahead.dtype)
-        start = ahead[:, 0::2] + best_of(move[:, 1::2])
-        inside = ahead[:, 1::2] + best_of(np.where(_RULES == 0, move, _FORBIDDEN)[:, 2::2])
-        np.cumsum(inside, axis=0, out=inside)
-        np.subtract(inside, start, out=start)
-        np.minimum.accumulate(start, axis=0, out=start)
-        np.subtract(inside, start, out=inside)
-        return np.flatnonzero(inside.max((0, 1)) > -max(0.0, float(move[1:, 0].max())) - _ROUNDING)
+        into, within = best_of(move[:, 1::2]), best_of(np.where(_RULES == 0, move, _FORBIDDEN)[:, 2::2])
+        run, start = np.full((2, len(KINDS), ahead.shape[2]), _FORBIDDEN, ahead.dtype)
+        most = run.copy()
+        for now in ahead:
+            np.add(run, within, out=run)
+            np.add(run, now[1::2], out=run)
+            np.add(now[0::2], into, out=start)
+            np.maximum(run, start, out=run)
+            np.maximum(most, run, out=most)
+        return np.flatnonzero(most.max(0) > -max(0.0, float(move[1:, 0].max())) - _ROUNDING)
 
     def best_paths(self, ahead: np.ndarray) -> np.ndarray:
         """(B, T): the best tag sequence of each window, by Viterbi's algorithm."""
