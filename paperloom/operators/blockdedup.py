@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import MIN_BLOCK_WORDS, normalize, split_blocks
+from paperloom.functions.text import long_blocks, split_blocks
 from paperloom.session import discard, written
 
 FINGERPRINT_BITS = 64
@@ -101,14 +101,7 @@ def hamming(a: Column, b: Column) -> Column:
 
 def eligible(docs: DataFrame, delimiter: str = "\n\n") -> DataFrame:
     """(path, pos, norm, words) of blocks that are long enough to be compared."""
-    # normalised first: its single spaces are counted without a second pass over white space, and a filter on an array's
-    # member isn't pushed below the explode, where it would be counted again
-    def judged(block: Column) -> Column:
-        norm = normalize(block)
-        return F.struct(norm.alias("norm"), (F.length(norm) - F.length(F.replace(norm, F.lit(" "))) + 1).cast("bigint").alias("words"))
-
-    b = docs.select("path", F.posexplode(F.transform(split_blocks(F.col("text"), delimiter), judged)).alias("pos", "b"))
-    return b.where(F.col("b.words") >= MIN_BLOCK_WORDS).select("path", "pos", "b.norm", "b.words")
+    return docs.select("path", F.explode(long_blocks(F.col("text"), delimiter)).alias("b")).select("path", "b.pos", "b.norm", "b.words")
 
 
 def exact_removed(eligible_blocks: DataFrame) -> DataFrame:

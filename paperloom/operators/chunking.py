@@ -25,7 +25,12 @@ _STEP = "block int, total long, below array<long>, exits array<long>, counts arr
 
 
 def _in_blocks(df: DataFrame, order: list[str], label: str) -> DataFrame:
-    """``df`` in total order, written once, with the number of its block (``_block``)."""
+    """``df`` in total order, written once, with the number of its block (``_block``).
+
+    What ``df`` is made of is worked off once and in the partitions that it has: counting, sampling for the ranges and the
+    few blocks come after its rows are written.
+    """
+    df = written(df, f"{label}-rows")
     parts = max(1, -(-df.count() // BLOCK_ROWS))
     ranged = df.repartitionByRange(parts, *order) if parts > 1 else df.coalesce(1)
     return written(ranged.withColumn("_block", F.spark_partition_id()), label)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.structure import marks
 from paperloom.functions.text import round_half_even_binary, split_blocks
 
 WEIGHTS = {"noise": 0.4, "boundary": 0.3, "context": 0.3}
@@ -68,8 +69,7 @@ def score_chunks(members: DataFrame, pages: DataFrame) -> DataFrame:
 
 def boundary_counts(text: Column) -> list[Column]:
     """Columns fences, pre_open, pre_close."""
-    count = lambda p: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).cast("bigint")
-    return [count("```").alias("fences"), count(r"(?i)<pre[\s>]").alias("pre_open"), count("(?i)</pre>").alias("pre_close")]
+    return [F.coalesce(n, F.lit(0)).cast("bigint").alias(name) for n, name in zip(marks(text), ("fences", "pre_open", "pre_close"), strict=True)]
 
 
 def summary(scores: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions import markup, structure
+from paperloom.functions import markup, structure, text
 from paperloom.operators import chunking, discovery, linkgraph, readiness, retrieval, snapshots
 from paperloom.plans import pipeline, serving
 from paperloom.session import spread
@@ -269,3 +269,33 @@ def test_vocabularies_are_read_from_a_path(spark, name):
         tokens.file_counter("vocabulary.txt")
     with pytest.raises(ValueError):
         tokens.tiktoken_counter("no such encoding")
+
+
+@pytest.mark.parametrize("order", ["numbered", "chunk_by_size"])
+def test_an_ordered_input_is_made_once_in_its_own_partitions(spark, order):
+    from pyspark import TaskContext
+
+    rows = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def task(i):
+        rows.add(1)
+        return TaskContext.get().partitionId()
+
+    made = spark.range(0, 40, 1, 4).select(F.format_string("p%02d", "id").alias("path"), task("id").cast("bigint").alias("words"))
+    out = (chunking.numbered(made, ["path"], "n") if order == "numbered" else chunking.chunk_by_size(made, 5)).collect()
+    assert len(out) == 40 and {r.words for r in out} == {0, 1, 2, 3} and rows.value == 40
+
+
+@pytest.mark.parametrize("of", [text.word_count, text.line_words, text.normalize, text.split_blocks, text.long_blocks])
+def test_words_and_blocks_need_no_regular_expression(spark, of):
+    df = spark.createDataFrame([(" A\u00a0b\n\n c \u2003 d\x1c e ",), (None,), ("",)], "t string").select(of(F.col("t")).alias("x"))
+    assert "regexp" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    want = {"word_count": [5, 0, 0], "line_words": [[2, 3], [], []], "normalize": ["a b c d e", None, ""], "split_blocks": [["A\u00a0b", "c \u2003 d\x1c e"], None, []], "long_blocks": [[], None, []]}
+    assert [r.x for r in df.collect()] == want[of.__name__]
+
+
+def test_marks_are_counted_with_and_without_tags(spark):
+    texts = ["``` ```` ```", "<PRE >``` </pre> <pre>", "<pr", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(*(m.alias(n) for m, n in zip(structure.marks(F.col("t")), "abc", strict=True)), structure.intact(F.col("t")).alias("d")).collect()
+    assert list(map(tuple, rows)) == [(3, 0, 0, False), (1, 2, 1, False), (0, 0, 0, True), (0, 0, 0, True), (None, None, None, None)]
