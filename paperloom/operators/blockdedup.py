@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import long_blocks, split_blocks
-from paperloom.session import discard, written
+from paperloom.session import discard, shuffled, written
 
 FINGERPRINT_BITS = 64
 
@@ -112,7 +112,7 @@ def exact_removed(eligible_blocks: DataFrame) -> DataFrame:
     """
     keyed = written(eligible_blocks.select("path", "pos", "words", F.md5("norm").alias("digest")), "block-digests")
     first = keyed.groupBy("digest").agg(F.min(F.struct("path", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(first, "digest").where(F.struct("path", "pos") != F.col("first")).select("path", "pos", "words")
+    return keyed.join(shuffled(first), "digest").where(F.struct("path", "pos") != F.col("first")).select("path", "pos", "words")
 
 
 def key_plan(threshold: int, fingerprints: int) -> list[tuple[tuple[int, int], ...]]:
@@ -151,7 +151,7 @@ def similar_pairs(prints: DataFrame, threshold: int = 3) -> DataFrame:
     prints = written(prints.select("fp"), "similar-prints")
     keyed = prints.select("fp", F.explode(_keys(F.col("fp"), threshold, prints.count())).alias("key"))
     left, right = keyed.select(F.col("fp").alias("a"), "key"), keyed.select(F.col("fp").alias("b"), "key")
-    pairs = left.join(right, "key").where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")).cast("bigint"))
+    pairs = left.join(shuffled(right), "key").where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")).cast("bigint"))
     return pairs.where(F.col("distance") <= threshold).select("a", "b", "distance").distinct()
 
 
@@ -163,15 +163,15 @@ def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     place = nodes.select(F.col("fp").alias("b"), F.col("place").alias("place_b"))
-    before = both.join(nodes.select(F.col("fp").alias("a"), "place"), "a").join(place, "b").where("place_b < place")
+    before = both.join(shuffled(nodes.select(F.col("fp").alias("a"), "place")), "a").join(shuffled(place), "b").where("place_b < place")
     before = written(before.select(F.col("a").alias("fp"), F.col("b").alias("earlier")), "leader-edges")
     touched = before.select("fp").distinct().withColumn("blocked", F.lit(True))
-    state = written(nodes.select("fp").join(touched, "fp", "left").select("fp", F.when(F.col("blocked"), F.lit(None)).otherwise(F.lit(True)).cast("boolean").alias("stays")), "leader-state")
+    state = written(nodes.select("fp").join(shuffled(touched), "fp", "left").select("fp", F.when(F.col("blocked"), F.lit(None)).otherwise(F.lit(True)).cast("boolean").alias("stays")), "leader-state")
     while state.where("stays is null").limit(1).count():
-        known = before.join(state.select(F.col("fp").alias("earlier"), F.col("stays").alias("e")), "earlier")
+        known = before.join(shuffled(state.select(F.col("fp").alias("earlier"), F.col("stays").alias("e"))), "earlier")
         verdict = known.groupBy("fp").agg(F.max("e").alias("any"), F.count_if(F.col("e").isNull()).alias("open"))
         rule = F.when(F.col("any"), F.lit(False)).when(F.col("open") == 0, F.lit(True))
-        after = written(state.join(verdict, "fp", "left").select("fp", F.coalesce("stays", rule).alias("stays")), "leader-state")
+        after = written(state.join(shuffled(verdict), "fp", "left").select("fp", F.coalesce("stays", rule).alias("stays")), "leader-state")
         discard(state)
         state = after
     return state
@@ -186,8 +186,8 @@ def fuzzy_removed(eligible_blocks: DataFrame, threshold: int = 3) -> DataFrame:
     prints = written(eligible_blocks.select("path", "pos", "words", simhash(F.col("norm")).alias("fp")), "block-prints")
     nodes = written(prints.groupBy("fp").agg(F.min(F.struct("path", "pos")).alias("place")), "block-nodes")
     state = leaders(nodes, similar_pairs(nodes, threshold))
-    verdict = nodes.join(state, "fp")
-    return prints.join(verdict, "fp").where(~F.col("stays") | (F.struct("path", "pos") != F.col("place"))).select("path", "pos", "words")
+    verdict = nodes.join(shuffled(state), "fp")
+    return prints.join(shuffled(verdict), "fp").where(~F.col("stays") | (F.struct("path", "pos") != F.col("place"))).select("path", "pos", "words")
 
 
 def removed_blocks(docs: DataFrame, mode: str = "both", threshold: int = 3, delimiter: str = "\n\n") -> DataFrame:
@@ -203,7 +203,7 @@ def removed_blocks(docs: DataFrame, mode: str = "both", threshold: int = 3, deli
     if mode == "exact":
         return exact
     exact = written(exact, "exact-removed")
-    rest = left.join(exact.select("path", "pos"), ["path", "pos"], "left_anti")
+    rest = left.join(shuffled(exact.select("path", "pos")), ["path", "pos"], "left_anti")
     return exact.unionByName(fuzzy_removed(rest, threshold).withColumn("how", F.lit("fuzzy")))
 
 
@@ -212,7 +212,7 @@ def deduplicate(docs: DataFrame, mode: str = "both", threshold: int = 3, delimit
     gone = removed_blocks(docs, mode, threshold, delimiter).groupBy("path").agg(F.collect_set("pos").alias("gone"))
     b = split_blocks(F.col("text"), delimiter)
     kept = F.when(F.col("gone").isNull(), b).otherwise(F.filter(b, lambda x, i: ~F.array_contains("gone", i)))
-    return docs.select("path", "text").join(gone, "path", "left").select("path", F.array_join(kept, delimiter).alias("text"))
+    return docs.select("path", "text").join(shuffled(gone), "path", "left").select("path", F.array_join(kept, delimiter).alias("text"))
 
 
 def dedup_stats(docs: DataFrame, removed: DataFrame, delimiter: str = "\n\n") -> DataFrame:

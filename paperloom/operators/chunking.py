@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import parent_dir
-from paperloom.session import new_folder, written
+from paperloom.session import new_folder, shuffled, written
 
 #: Rows of (order, words) in a block, about.
 BLOCK_ROWS = 200_000
@@ -148,14 +148,14 @@ def chunk_by_directory(files: DataFrame, max_words: int) -> DataFrame:
     own = files.select("path", "words", parent_dir(F.col("path")).alias("dir"))
     groups = own.groupBy("dir").agg(F.sum("words").alias("words"), F.min("path").alias("first"))
     large = groups.where(F.col("words") > max_words).select("dir", "first")
-    inner = own.join(large, "dir").select("dir", "path", "words", F.lit(1).alias("weight"), (F.col("path") == F.col("first")).alias("reset"))
+    inner = own.join(shuffled(large), "dir").select("dir", "path", "words", F.lit(1).alias("weight"), (F.col("path") == F.col("first")).alias("reset"))
     inner = written(fold_chunks(inner, ["dir", "path"], max_words), "chunk-inner")
     spans = inner.groupBy("dir").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    sized = groups.join(spans, "dir", "left").select("dir", "words", F.coalesce(F.col("high") - F.col("low") + 1, F.lit(1)).alias("weight"), F.lit(False).alias("reset"))
+    sized = groups.join(shuffled(spans), "dir", "left").select("dir", "words", F.coalesce(F.col("high") - F.col("low") + 1, F.lit(1)).alias("weight"), F.lit(False).alias("reset"))
     outer = fold_chunks(sized, ["dir"], max_words).select("dir", "weight", "chunk")
-    base = outer.join(spans, "dir").select("dir", (F.col("chunk") - F.col("weight") + 1 - F.col("low")).alias("shift"))
-    split = inner.select("dir", "path", "words", "chunk").join(base, "dir").select("path", "words", (F.col("chunk") + F.col("shift")).alias("chunk"))
-    whole = own.join(outer.select("dir", "chunk"), "dir").join(spans.select("dir"), "dir", "left_anti").select("path", "words", "chunk")
+    base = outer.join(shuffled(spans), "dir").select("dir", (F.col("chunk") - F.col("weight") + 1 - F.col("low")).alias("shift"))
+    split = inner.select("dir", "path", "words", "chunk").join(shuffled(base), "dir").select("path", "words", (F.col("chunk") + F.col("shift")).alias("chunk"))
+    whole = own.join(shuffled(outer.select("dir", "chunk")), "dir").join(shuffled(spans.select("dir")), "dir", "left_anti").select("path", "words", "chunk")
     return whole.unionByName(split)
 
 

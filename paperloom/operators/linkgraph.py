@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import shuffled
+
 _OUTSIDE = ("http://", "https://", "mailto:", "javascript:")
 
 
@@ -55,10 +57,10 @@ def edges(links: DataFrame, members: DataFrame) -> DataFrame:
     """
     known = members.select("path", "chunk")
     alias = known.where(F.col("path").endswith("/index.html")).select(F.regexp_replace("path", "/index\\.html$", "").alias("path"), "chunk")
-    alias = alias.join(known, "path", "left_anti")
+    alias = alias.join(shuffled(known), "path", "left_anti")
     target = known.union(alias).groupBy("path").agg(F.min("chunk").alias("target_chunk")).withColumnRenamed("path", "target_path")
     source = known.select(F.col("path").alias("source_path"), F.col("chunk").alias("source_chunk"))
-    return links.join(source, "source_path").join(target, "target_path", "left")
+    return links.join(shuffled(source), "source_path").join(shuffled(target), "target_path", "left")
 
 
 def reference_sets(edge_table: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def annotated_pages(pages: DataFrame, edge_table: DataFrame, prefix: str = "docs
     """(path, text): pages (path, text) annotated by their own links."""
     named = edge_table.where("target_chunk is not null").select("source_path", "pos", F.struct("pos", F.col("link_text").alias("text"), F.format_string(f"{prefix}%02d", "target_chunk").alias("chunk")).alias("l"))
     own = named.groupBy(F.col("source_path").alias("path")).agg(F.sort_array(F.collect_list("l")).alias("links"))
-    joined = pages.select("path", "text").join(own, "path", "left")
+    joined = pages.select("path", "text").join(shuffled(own), "path", "left")
     return joined.select("path", annotate(F.col("text"), F.transform("links", lambda l: F.struct(l["text"].alias("text"), l["chunk"].alias("chunk")))).alias("text"))
 
 

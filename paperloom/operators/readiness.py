@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.structure import marks
 from paperloom.functions.text import round_half_even_binary, split_blocks
+from paperloom.session import shuffled
 
 WEIGHTS = {"noise": 0.4, "boundary": 0.3, "context": 0.3}
 GRADE_A, GRADE_B = 0.8, 0.5
@@ -60,7 +61,7 @@ def score_chunks(members: DataFrame, pages: DataFrame) -> DataFrame:
 
     Boundaries of a chunk follow from the counts of its pages, so no text is joined together.
     """
-    joined = members.select("path", "chunk").join(pages, "path").groupBy("chunk").agg(
+    joined = members.select("path", "chunk").join(shuffled(pages), "path").groupBy("chunk").agg(
         F.sum("raw_words").alias("raw_words"), F.sum("extracted_words").alias("extracted_words"), F.sum("headings").alias("headings"),
         F.max("max_level").alias("max_level"), ((F.sum("fences") % 2 == 0) & (F.sum("pre_open") == F.sum("pre_close"))).alias("whole"),
     )

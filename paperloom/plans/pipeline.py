@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import word_count
 from paperloom.operators import blockdedup, chunking, linkgraph, readiness, retrieval
-from paperloom.session import written
+from paperloom.session import shuffled, written
 from paperloom.sources import artifacts, writers
 
 PRESETS: dict[str, dict[str, Any]] = {
@@ -112,14 +112,14 @@ def pack(pages: DataFrame, config: PackConfig, queries: DataFrame | None = None,
     if config.score:
         facts = pages.select("path", word_count(F.col("raw_text")).alias("raw_words"), word_count(F.col("text")).alias("extracted_words"), F.coalesce(F.size("headings"), F.lit(0)).alias("headings"), F.coalesce(F.array_max(F.transform("headings", lambda h: h["level"])), F.lit(0)).alias("max_level"))
         seen = texts.select("path", *readiness.boundary_counts(F.lit("") if config.dry_run else F.col("text")))
-        scores = readiness.score_chunks(members, facts.join(seen, "path"))
+        scores = readiness.score_chunks(members, facts.join(shuffled(seen), "path"))
     shown = texts
     if config.cross_refs:
         edges = linkgraph.edges(linkgraph.link_table(pages.select("path", "links")), members)
         if not config.dry_run:
             shown = linkgraph.annotated_pages(texts, edges, config.prefix)
     urls = artifacts.original_urls(pages, manifest) if manifest is not None else None
-    named = shown.join(members.select("path", "chunk"), "path").join(pages.select("path", "headings"), "path")
+    named = shown.join(shuffled(members.select("path", "chunk")), "path").join(shuffled(pages.select("path", "headings")), "path")
     cut = writers.pieces(named, config.max_words if config.context_header or config.score else 0)
     bodies = None if config.dry_run else writers.chunk_bodies(cut, config.format, config.context_header, config.with_index, urls, scores)
     return Packed(texts, members, cut, bodies, scores, edges, urls, artifacts.pack_summary(members, None, config.max_chunks, config.max_words))

@@ -86,6 +86,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast.
+
+    The size of compressed files, by which Spark would choose, tells little of their rows: a table that is small on disk can take
+    hundreds of megabytes of the driver as a broadcast.
+    """
+    return df.hint("merge")
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files behind a table made by :func:`written` that nothing reads any more."""
     spark = df.sparkSession

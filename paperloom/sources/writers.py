@@ -13,6 +13,7 @@ from paperloom.functions.text import word_count
 from paperloom.operators.chunking import chunk_id
 from paperloom.operators.linkgraph import active_headings
 from paperloom.operators.readiness import artifact_columns, dominant_penalty, penalties
+from paperloom.session import shuffled
 
 FORMATS = ("md", "txt", "jsonl")
 MARKS = {"md": ("<!-- SOURCE: ", " -->\n"), "txt": ("=== SOURCE: ", " ===\n")}
@@ -61,7 +62,7 @@ def pieces(files: DataFrame, max_words: int) -> DataFrame:
 
 def jsonl_records(cut: DataFrame, urls: DataFrame | None = None, grades: DataFrame | None = None) -> DataFrame:
     """(chunk, path, piece, record): one JSON object a piece; absent members are left out, never null."""
-    rows = cut.join(urls.select("path", "url"), "path", "left") if urls is not None else cut.withColumn("url", F.lit(None).cast("string"))
+    rows = cut.join(shuffled(urls.select("path", "url")), "path", "left") if urls is not None else cut.withColumn("url", F.lit(None).cast("string"))
     rows = rows.join(grades.select("chunk", "grade"), "chunk", "left") if grades is not None else rows.withColumn("grade", F.lit(None).cast("string"))
     many = F.col("pieces") > 1
     name = F.when(many, F.format_string("%02d_%d_%s", "chunk", "piece", "path")).otherwise(F.format_string("%02d_%s", "chunk", "path"))
@@ -93,7 +94,7 @@ def chunk_bodies(cut: DataFrame, fmt: str = "md", headers: bool = False, index:
     head = F.lit("")
     if headers:
         none = lambda kind: F.lit(None).cast(kind)
-        cut = cut.join(urls.select("path", "url"), "path", "left") if urls is not None else cut.withColumn("url", none("string"))
+        cut = cut.join(shuffled(urls.select("path", "url")), "path", "left") if urls is not None else cut.withColumn("url", none("string"))
         if scores is not None:
             cut = cut.join(header_scores(scores), "chunk", "left")
         else:

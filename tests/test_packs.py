@@ -350,3 +350,16 @@ def test_marks_are_counted_with_and_without_tags(spark):
     texts = ["``` ```` ```", "<PRE >``` </pre> <pre>", "<pr", "", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(*(m.alias(n) for m, n in zip(structure.marks(F.col("t")), "abc", strict=True)), structure.intact(F.col("t")).alias("d")).collect()
     assert list(map(tuple, rows)) == [(3, 0, 0, False), (1, 2, 1, False), (0, 0, 0, True), (0, 0, 0, True), (None, None, None, None)]
+
+
+def test_tables_that_grow_are_never_broadcast(spark, monkeypatch):
+    """Neither in the plans of the results nor in those of the tables written for them."""
+    from paperloom.operators import blockdedup
+
+    plans, plan_of = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (blockdedup, chunking, pipeline):
+        monkeypatch.setattr(module, "written", lambda df, label, real=module.written: plans.append(plan_of(df)) or real(df, label))
+    pages = site(spark).withColumn("text", F.concat("text", F.lit("\n\n" + " ".join(WORDS))))
+    run = pipeline.pack(pages, pipeline.PackConfig.preset("rag", strategy="semantic", max_words=50))
+    plans += [plan_of(df) for df in (run.pieces, run.members, run.scores)]
+    assert len(plans) > 15 and not [p for p in plans if "BroadcastHashJoin" in p]
