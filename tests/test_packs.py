@@ -363,3 +363,26 @@ def test_tables_that_grow_are_never_broadcast(spark, monkeypatch):
     run = pipeline.pack(pages, pipeline.PackConfig.preset("rag", strategy="semantic", max_words=50))
     plans += [plan_of(df) for df in (run.pieces, run.members, run.scores)]
     assert len(plans) > 15 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_texts_are_tokenised_once_for_scores_and_index(spark, monkeypatch):
+    """The statistics and the postings come from one table of counts, which nothing with a regular expression of the JVM makes."""
+    made, real = [], retrieval.written
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "written", lambda df, label: made.append((label, plan_of(df))) or real(df, label))
+    docs = spark.createDataFrame([(0, "A b b é1"), (1, None), (2, "")], "doc_id bigint, text string")
+    retrieval.scores(docs, spark.createDataFrame([(7, "b 1")], "query_id bigint, text string"))
+    retrieval.Index.build(docs)
+    assert [label for label, _ in made].count("term-counts") == 2
+    assert not [p for label, p in made if label not in ("query-terms", "query-weights") and "regexp" in p.lower()]
+    rows = {r.doc_id: (r.dl, {(t.term, t.tf) for t in r.terms}) for r in retrieval.counted(docs).collect()}
+    assert rows == {0: (4, {("a", 1), ("b", 2), ("1", 1)}), 1: (0, set()), 2: (0, set())}
+
+
+def test_documents_above_are_counted_with_ties_and_tiny_scores():
+    import pandas as pd
+
+    docs = pd.DataFrame({"doc_id": ["a", "b", "c", "d"], "t": [1, 1, 1, 2], "part": [2.0, 1.0, 1.0, 1e-9]})
+    asked = pd.DataFrame({"query_id": [1, 2, 3, 4], "expected_id": ["c", "b", "d", "zz"], "own": [1.0, 1.0, 0.0, 5.0], "t": [1, 1, 2, 9], "weight": [1.0, 1.0 + 4e-7, 1.0, 1.0]})
+    assert retrieval._above(docs, asked)["above"].tolist() == [2, 1, 0, 0]
+    assert retrieval._rounded(0.1234565) == 0.123457 and retrieval._rounded(2.5e-7) == 0.0
